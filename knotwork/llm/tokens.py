@@ -8,6 +8,7 @@ reader can fetch the metadata columns, or the tokens of a few documents, without
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +23,16 @@ from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
-CACHE_WORDS = 400_000
+#: White space next to white space, or a space at the end: there a space may not be where a pre-token begins.
+RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+CACHE_WORDS = 500_000
 
 
 class Encoder:
-    """The tokenizers library behind a cache of pre-token ids.
+    """The tokenizers library behind caches of what it gave for a word.
 
-    A byte-level BPE encodes each pre-token by itself, so a word seen before needs no second encoding.
+    A byte-level BPE encodes each pre-token by itself, and a single space always begins one; so a text can
+    be cut at its spaces, and a word seen before needs no second encoding.
     """
 
     def __init__(self, path: str):
@@ -39,26 +43,67 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.cache: dict[str, bytes] = {}
+        self.opens = np.zeros(self.own.get_vocab_size(), dtype=bool)
+        self.opens[[i for t, i in self.own.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.plain = re.compile(PLAIN).fullmatch
+        self.words: dict[str, bytes] = {}  # by what stands between spaces; the ids are those with the space before it
+        self.tokens: dict[str, bytes] = {}  # by pre-token, for those that are not a space and letters
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.plain(text):
-            return self._raw([text])[0]
-        words = self.split(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(set(words))
-        self.cache.update(zip(new, self._raw(new), strict=True))
-        return b"".join(map(self.cache.__getitem__, words))
+    def _letters(self, new: list[str]) -> None:
+        """Learn words of letters, many in one text, cut again where an id holds a space, which none but a word's first does."""
+        for lo in range(0, len(new), 4000):
+            part = new[lo : lo + 4000]
+            ids = np.array(self.own.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.opens[ids])[1:]
+            if len(cuts) + 1 == len(part):
+                raw, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+                self.words.update(zip(part, (raw[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+            else:
+                self.words.update(zip(part, self._raw([" " + w for w in part]), strict=True))
+
+    def _token(self, t: str) -> bytes:
+        return self.words[t[1:]] if t[0] == " " and t[1:].isalpha() else self.tokens[t]
+
+    def _pieces(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as pre-tokens."""
+        each = {t for p in parts for t in p}
+        lettered = {t[1:] for t in each if t[0] == " " and t[1:].isalpha()}
+        if len(self.tokens) > CACHE_WORDS // 3:
+            self.tokens.clear()
+        other = [t for t in each if t not in self.tokens and (t[0] != " " or t[1:] not in lettered)]
+        self.tokens.update(zip(other, self._raw(other), strict=True))
+        self._letters(list(lettered.difference(self.words)))
+        return [b"".join(map(self._token, p)) for p in parts]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        odd, ragged, even = [], [], []
+        for i, t in enumerate(texts):
+            (odd if not self.plain(t) else ragged if t[-1:] == " " or any(r in t for r in RUNS) else even).append(i)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        for i in odd:
+            out[i] = self._raw([texts[i]])[0]
+        for i in ragged:
+            out[i] = self._pieces([self.split(texts[i])])[0]
+        cut = [texts[i].split(" ") for i in even]
+        heads = self._pieces([self.split(c.pop(0)) for c in cut])
+        new = set().union(*cut).difference(self.words)
+        mixed = [w for w in new if not w.isalpha()]
+        ending = [w for w in mixed if w[:-1].isalpha()]  # letters and one other character, a pre-token of its own
+        self._letters(list({w for w in new if w.isalpha()} | {w[:-1] for w in ending}.difference(self.words)))
+        last = {c: self._raw([c])[0] for c in {w[-1] for w in ending}}
+        self.words.update([(w, self.words[w[:-1]] + last[w[-1]]) for w in ending])
+        mixed = [w for w in mixed if w not in self.words]
+        self.words.update(zip(mixed, self._pieces([self.split(" " + w) for w in mixed]), strict=True))
+        get = self.words.__getitem__
+        for i, head, c in zip(even, heads, cut, strict=True):
+            out[i] = head + b"".join(map(get, c))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -79,9 +124,9 @@ def _encode(path: str, end: int):
         encode, shard, at = encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], dtype="<u4").tobytes()
         for b in it:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                raw = [encode(x.as_py() or "") + tail for x in part.column(1)]
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                raw = [x + tail for x in encode([t or "" for t in part.column(1).to_pylist()])]
                 sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
