@@ -17,6 +17,18 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.urls import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_min_cost_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.mixing import mix_sources
 
@@ -31,8 +43,14 @@ def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.pii import personal_spans
+
+    return personal_spans(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_gray_index, op8_min_cost_flow_mix, op9_token_lists)
+    f.__name__: f for f in (op3_simhash_gray_index, op4_bloom_cascade, op7_prefix_join, op8_min_cost_flow_mix, op9_token_lists, op10_disclosure)
 }
 
 ORACLE_SQL: dict[str, str] = {}
