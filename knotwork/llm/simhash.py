@@ -74,26 +74,41 @@ class GrayIndex:
             low[0] = low[0] & ~up
         self.levels = levels
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pieces of (query number, code number) within the radius."""
-        todo = [(np.arange(i, min(i + 2048, len(queries)))) for i in range(0, len(queries), 2048)]
-        work = [(len(self.levels) - 1, q, np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)) for q in todo[::-1]]
+    def uniform(self, label: np.ndarray) -> list[np.ndarray]:
+        """For each level and node, the label that all its codes carry, or -1."""
+        low = high = label[: len(self.codes)]
+        out = [low]
+        for masks, _ in self.levels[1:]:
+            cuts = np.arange(0, len(low), self.fanout)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            out.append(np.where(low == high, low, -1)[: len(masks)])
+        return out
+
+    def search(self, queries: np.ndarray, radius: int, labels: np.ndarray, settled: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of (query number, code number) within the radius, without nodes whose codes all carry the query's label."""
+        top = len(self.levels) - 1
+        zero = np.zeros(len(queries), dtype=np.int64)
+        work = [(top, *self._near(top, queries, np.arange(len(queries)), zero, zero, radius, labels, settled))]
         while work:
             level, q, node, gone = work.pop()
-            mask, value = self.levels[level]
-            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
-            keep = gone <= radius
-            q, node, gone = q[keep], node[keep], gone[keep]
             if not len(q):
                 continue
             if level == 0:
                 yield q, node
                 continue
-            for i in range(0, len(q), 32_768):  # the frontier stays bounded
-                a, b, c = q[i : i + 32_768], node[i : i + 32_768], gone[i : i + 32_768]
-                child = (b[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                ok = child < len(self.levels[level - 1][0])
-                work.append((level - 1, np.repeat(a, self.fanout)[ok], child[ok], np.repeat(c, self.fanout)[ok]))
+            if len(q) > 16_384:  # what is open stays small: pairs are expanded a part at a time
+                half = len(q) // 2
+                work += [(level, q[half:], node[half:], gone[half:]), (level, q[:half], node[:half], gone[:half])]
+                continue
+            child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+            ok = child < len(self.levels[level - 1][0])
+            work.append((level - 1, *self._near(level - 1, queries, np.repeat(q, self.fanout)[ok], child[ok], np.repeat(gone, self.fanout)[ok], radius, labels, settled)))
+
+    def _near(self, level: int, queries: np.ndarray, q: np.ndarray, node: np.ndarray, gone: np.ndarray, radius: int, labels: np.ndarray, settled: list[np.ndarray]):
+        mask, value = self.levels[level]
+        gone = gone + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+        keep = (gone <= radius) & (settled[level][node] != labels[q])
+        return q[keep], node[keep], gone[keep]
 
 
 def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -118,8 +133,11 @@ def _links(radius: int):
         index = GrayIndex(fp[own])
         every = np.concatenate([index.codes, fp[~own]])
         label = np.arange(len(every))
-        for q, node in index.search(every, radius):
-            label = unite(label, q, node)
+        # Neighbours in Gray order come together, so a crowd is soon one component and its nodes are passed over.
+        for lo in range(0, len(every), 512):
+            settled, mine = index.uniform(label), label[lo : lo + 512]
+            for q, node in index.search(every[lo : lo + 512], radius, mine, settled):
+                label = unite(label, q + lo, node)
         linked = np.flatnonzero(label != np.arange(len(every)))
         return pd.DataFrame({"a": every[label[linked]].view(np.int64), "b": every[linked].view(np.int64)})
 
