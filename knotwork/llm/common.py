@@ -70,6 +70,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def parts(text: Column, gap: str) -> Column:
+    """Number of non-empty parts between gaps; null has none. Long. Splitting is several times faster than counting matches."""
+    split = F.split(F.coalesce(text, F.lit("")), gap)
+    ends = F.when(F.get(split, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(split) > 1) & (F.get(split, F.size(split) - 1) == ""), 1).otherwise(0)
+    return (F.size(split) - ends).cast("long")
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a long, b long) by alternating large-star and small-star rounds.
 

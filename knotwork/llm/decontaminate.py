@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import Scratch, ascii_lower
+from knotwork.llm.common import Scratch, ascii_lower, parts
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 200_000
 
 
@@ -94,9 +94,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
     count = hits.groupBy("doc_id", "h").agg(covered.alias("n_hit"))
     ids = hits.select("doc_id", "h", "wid").distinct().join(win, "wid").select("doc_id", "h", F.explode("ids").alias("i")).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("i")).alias("ids"))
     found = scratch.write(count.join(ids, (count["doc_id"].eqNullSafe(ids["doc_id"])) & (count["h"] == ids["h"])).select(count["doc_id"].alias("d"), count["h"].alias("h2"), "n_hit", "ids"), "found")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), n_words.alias("n_words"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), parts(F.col("text"), GAP_ANY_CASE).alias("n_words"))
     out = every.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("h2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+#: So many keys, sixteen bytes each, may be broadcast; a longer list is joined by shuffling.
+MOST_BROADCAST = 500_000
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
+    """The rows of docs without an occurrence of a window of items, with all their columns."""
+    scratch = Scratch(docs.sparkSession, "uncontaminated")
+    hits, _ = occurrences(docs, items, size, shingle, scratch)
+    hit = scratch.write(hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "hit")
+    hit = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")), "left_anti")

@@ -243,3 +243,22 @@ def simhash_dedup(docs: DataFrame, size: int = 3, radius: int = 2, seed: int = 4
     ids = scratch.write(named.join(lows, "root").select("fp", "component_id"), "ids")
     scratch.drop("classes", "roots", "named", "lows")
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: So many ids, eight bytes each, may be broadcast; a longer list is joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
+def keep_representatives(docs: DataFrame, size: int = 3, radius: int = 4) -> DataFrame:
+    """The rows of docs that stand for their near-duplicate groups, with all their columns: of each group the row with the smallest doc_id.
+
+    Of repeated rows that share a doc_id one stays. Rows with a null doc_id cannot be named and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = scratch.write(simhash_dedup(docs, size, radius), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
