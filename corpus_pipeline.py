@@ -9,8 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm.common import Scratch
+from knotwork.llm.decontaminate import keep_uncontaminated
+from knotwork.llm.mixing import mixed_documents
+from knotwork.llm.shards import sharded
+from knotwork.llm.simhash import keep_representatives
+from knotwork.llm.toxicity import keep_clean
 
-STAGES = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier does not reject."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    return keep_representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as read back from the live shards, with their shards."""
+    return sharded(docs, Scratch(spark, "pipeline-shards").path("store"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+#: Classifiers, fingerprints and file layouts are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

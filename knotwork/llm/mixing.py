@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.llm.common import Scratch
+from knotwork.llm.common import Scratch, parts
 
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: F.Column) -> F.Column:
     """Words of a text; null has none. Long."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return parts(text, GAP)
 
 
 def weights_in_order(sources: Sequence[str | None], weights: Sequence[float] = (5, 2, 1)) -> dict[str | None, float]:

@@ -11,6 +11,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.mtree import mtree_top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return mtree_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.preferences import preference_rows
+
+    return preference_rows(_table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.simhash import simhash_dedup
 
@@ -23,6 +36,20 @@ def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from knotwork.llm.common import Scratch
+    from knotwork.llm.shards import sharded
+
+    rows = sharded(_table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("store"))
+    return rows.select("doc_id", "n_chars", "shard", "shard_rows", "shard_tier")
+
+
 def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from knotwork.llm.decontaminate import decontaminate
 
@@ -50,7 +77,15 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_gray_index, op4_bloom_cascade, op7_prefix_join, op8_min_cost_flow_mix, op9_token_lists, op10_disclosure)
+    f.__name__: f for f in (
+        op1_mtree_top_k,
+        op2_preference_format,
+        op3_simhash_gray_index,
+        op4_bloom_cascade,
+        op5_weak_toxicity,
+        op6_tiered_shards,
+        op7_prefix_join,
+        op8_min_cost_flow_mix, op9_token_lists, op10_disclosure)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -12,6 +12,7 @@ and the voters (MOST_VOTERS).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,29 +27,52 @@ LEXICON = ("clown", "disgusting", "dumb", "idiot", "jerk", "loser", "moron", "pa
 #: Patterns that vote toxic.
 PATTERNS = (r"[!?]{3,}", r"\b(?:shut up|go away|get lost)\b", r"\b(?:[A-Z]{4,}\s+){3,}", r"\b(?:you are|you're|du bist|eres|tu es) an? \w+")
 FIT_ROWS, MOST_VOTERS = 8000, 400
-BEGINNINGS = (4, 5, 6)
+#: Lengths of word beginnings that can be voters, and how many different words with one make it fire.
+BEGINNINGS, TIMES = (4, 5, 6, 7, 8), (1, 2, 4)
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 
 
-def evidence(text: str | None) -> set[str]:
-    """Distinct lower-cased words and their beginnings (with a trailing *)."""
-    words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in BEGINNINGS))
+def words_of(text: str | None) -> set[str]:
+    """Distinct lower-cased words."""
+    return set(WORD.findall((text or "").lower()))
+
+
+def evidence(text: str | None) -> Counter:
+    """Words (once each), and word beginnings (with a trailing *) with the number of different words that have them."""
+    words = words_of(text)
+    out = Counter(w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n)
+    out.update(words)
+    return out
 
 
 class Voters:
+    """Terms are words, or a beginning, * and the number of words it takes."""
+
     def __init__(self, terms: list[str]):
-        self.terms = {t: i for i, t in enumerate(terms)}
+        self.names = terms
+        self.words = {t: i for i, t in enumerate(terms) if "*" not in t}
+        self.starts: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(terms):
+            if "*" in t:
+                head, _, least = t.partition("*")
+                self.starts.setdefault(head, []).append((int(least), i))
+        self.heads = {h[: BEGINNINGS[0]] for h in self.starts}
         self.patterns = [re.compile(p) for p in PATTERNS]
         self.size = len(terms) + len(self.patterns)
 
     def votes(self, text: str | None) -> np.ndarray:
         """1 where a voter calls the text toxic; the others abstain."""
         out = np.zeros(self.size)
-        out[[self.terms[t] for t in evidence(text) if t in self.terms]] = 1
+        words = words_of(text)
+        out[[self.words[w] for w in words if w in self.words]] = 1
+        short = BEGINNINGS[0]
+        found = Counter(w[:n] for w in words if w[:short] in self.heads for n in BEGINNINGS if len(w) >= n)
+        for head, count in found.items():
+            for least, i in self.starts.get(head, ()):
+                out[i] = count >= least
         for k, p in enumerate(self.patterns):
-            out[len(self.terms) + k] = bool(p.search(text or ""))
+            out[len(self.names) + k] = bool(p.search(text or ""))
         return out
 
 
@@ -129,19 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [sorted(evidence(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, type=pa.list_(pa.string()))], names=["doc_id", "toxic", "terms"])
+            found = [list(evidence(t).items()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(found, type=pa.map_(pa.string(), pa.int32()))], names=["toxic", "terms"])
 
     joined = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
-    with batches(spark, 256):
-        fitted = scratch.write(joined.select("doc_id", "text", "toxic"), "fitted")
-        told = scratch.write(fitted.mapInArrow(gather, "doc_id long, toxic int, terms array<string>"), "evidence")
-        pos, neg = (told.where(F.col("toxic") == y).count() for y in (1, 0))
-        counts = told.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("n"))
-        least = 2 if pos < 200 else 3
-        sure = (F.col("p") + 0.0) / (F.col("p") + F.col("n") * F.lit(float(pos / max(1, neg))) + F.lit(0.5 if pos >= 200 else 0.1))
-        stand_out = counts.where((F.col("p") >= least) & (F.col("n") * 20 * pos <= F.col("p") * max(1, neg)) & (sure > 0.8))
-        mined = [r["t"] for r in stand_out.orderBy(F.desc("p"), "n", F.length("t"), "t").limit(MOST_VOTERS).collect()]
+    with batches(spark, 128):
+        fitted = scratch.write(joined, "fitted")
+        sums = fitted.groupBy("toxic").count().collect()
+        pos, neg = (sum(r["count"] for r in sums if (r["toxic"] == 1) == y) for y in (True, False))
+        told = fitted.mapInArrow(gather, "toxic int, terms map<string,int>").select((F.col("toxic") == 1).alias("y"), F.explode("terms").alias("t", "c"))
+        counts = told.groupBy("t").agg(*[F.sum(F.when((F.col("c") >= c) & (F.col("y") == y), 1).otherwise(0)).alias(f"{'p' if y else 'n'}{c}") for c in TIMES for y in (True, False)])
+        least = max(3, -(-pos // 100))
+        each = [F.struct(F.when(F.endswith("t", F.lit("*")), F.concat("t", F.lit(str(c)))).otherwise(F.col("t")).alias("t"), F.col(f"p{c}").alias("p"), F.col(f"n{c}").alias("n"), F.lit(c).alias("c")) for c in TIMES]
+        terms = counts.where(F.col(f"p{TIMES[0]}") >= least).select(F.inline(F.array(*each))).where((F.col("c") == TIMES[0]) | F.contains("t", F.lit("*")))
+        # How much more often in toxic than in clean documents, and often enough for that to be no chance.
+        lift = ((F.col("p") + 0.1) / F.lit(pos + 0.2)) / ((F.col("n") + 0.1) / F.lit(neg + 0.2))
+        stand_out = terms.where((F.col("p") >= least) & (lift >= 20))
+        mined = [r["t"] for r in stand_out.orderBy(F.desc(F.col("p") * F.log2(lift)), F.length("t"), "t").limit(MOST_VOTERS).collect()]
         voters = Voters(list(dict.fromkeys([*LEXICON, *mined])))
 
         def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     votes = np.zeros((len(rows), voters.size))
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
-    # EM starts at the labels that may be used; without positive ones, at any vote.
+    # The labels that may be used are one more voter, heard by the label model only.
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    start = y if y.any() else votes.any(1).astype(float) * 0.5
-    model = LabelModel(votes, np.clip(start, 0.02, 0.98))
+    start = np.clip(y if y.any() else votes.any(1) * 0.5, 0.02, 0.98)
+    model = LabelModel(np.concatenate([votes, y[:, None]], axis=1), start)
     weights, bias = train_linear(features(votes), model.post)
     return Model(voters, weights, bias)
 
