@@ -127,12 +127,17 @@ def find_personal(docs: DataFrame, alpha: float = 0.9, support: int = 3, reach:
     reveals = None
     if by_pair.head(1):
         ents = by_pair.select("ent").distinct()
-        by_ent = kept.where("size(near) > 0").select(F.explode(F.array_distinct(F.transform("near", lambda w: w["ent"]))).alias("ent")).join(_small(ents), "ent").groupBy("ent").agg(F.count("*").alias("ce"))
+        told = kept.where("size(near) > 0")
+        by_ent = told.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["ent"]))).alias("ent")).join(_small(ents), "ent").groupBy("ent").agg(F.count("*").alias("ce"))
+        # A word is in as many documents at least as it stands beside entities in; pairs that fail even so need no look at the corpus.
+        beside = told.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["t"]))).alias("t")).join(_small(by_pair.select("t").distinct()), "t").groupBy("t").agg(F.count("*").alias("ct"))
+        pmi = F.log2(F.col("c") * F.lit(float(every)) / (F.col("ce") * F.col("ct")))
+        near_enough = (F.col("ce") < every) & (pmi >= alpha * F.log2(F.lit(float(every)) / F.col("ce")))
+        by_pair = scratch.write(by_pair.join(by_ent, "ent").join(beside, "t").where(near_enough).select("ent", "t", "c", "ce"), "likely")
         terms = scratch.write(by_pair.select("t").distinct(), "terms")
         # Words are cut as the neighbourhoods cut them: runs of letters, three or more.
         words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("t")).join(_small(terms), "t").groupBy("t").agg(F.count("*").alias("ct"))
-        pmi = F.log2(F.col("c") * F.lit(float(every)) / (F.col("ce") * F.col("ct")))
-        reveals = by_pair.join(by_ent, "ent").join(words, "t").where((F.col("ce") < every) & (pmi >= alpha * F.log2(F.lit(float(every)) / F.col("ce")))).select("ent", "t")
+        reveals = by_pair.join(words, "t").where(near_enough).select("ent", "t")
         reveals = scratch.write(reveals, "reveals")
         if not reveals.head(1):
             reveals = None
