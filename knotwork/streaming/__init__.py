@@ -1 +1 @@
-"""Knotwork: property-graph queries as DataFrame plans."""
+"""Edge streams: incremental counts and edge uniqueness with watermarks."""
