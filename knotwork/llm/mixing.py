@@ -199,7 +199,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: i
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: int = 3, seed: int = 7) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes them, with the columns of docs."""
-    with_id = docs.withColumn("members", F.array(F.col("source").cast("string")))
-    mixed, _, _ = mix(with_id, weights=weights, passes=passes, seed=seed)
-    return mixed.where("copies > 0").withColumn("members", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it takes them, with the columns of docs, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = packed.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.array(F.col("row.source").cast("string")).alias("members"))
+    mixed, _, _ = mix(rows, weights=weights, passes=passes, seed=seed)
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

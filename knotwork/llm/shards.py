@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import delete, hadoop_fs
 
 TARGET_BYTES, FAN, MERGES_A_JOB = 128 << 20, 4, 64
+#: What a reader learns of a row's shard.
+COLUMNS = (("shard", "string"), ("shard_rows", "long"), ("shard_bytes", "long"), ("shard_tier", "int"))
 
 
 @dataclass(frozen=True)
@@ -146,15 +148,15 @@ class ShardStore:
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of the live shards, each with its shard's name, rows, bytes and tier."""
+        """The rows of the live shards, each with its shard's name, rows, bytes and tier; a column that has one of those names is replaced."""
         shards = self.live(version)
         if not shards:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
-        about = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.name, s.rows, s.bytes, s.tier) for s in shards], "shard_file string, shard string, shard_rows long, shard_bytes long, shard_tier int")
+        about = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.name, s.rows, s.bytes, s.tier) for s in shards], f"__file string, {', '.join(f'{c} {t}' for c, t in COLUMNS)}")
         # A row for each live file, some hundred bytes: a thousandth of a thousandth of the data.
-        named = rows.withColumn("shard_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-        return named.join(F.broadcast(about) if len(shards) <= 200_000 else about, "shard_file").drop("shard_file")
+        named = rows.drop(*[c for c, _ in COLUMNS]).withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        return named.join(F.broadcast(about) if len(shards) <= 200_000 else about, "__file").drop("__file")
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET_BYTES, fan: int = FAN) -> ShardStore:
@@ -174,5 +176,5 @@ def sharded(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET_
     """docs as read back from its live shards, with shard, shard_rows, shard_bytes and shard_tier."""
     store = shard_documents(docs, root, arrivals, target, fan)
     if not store.live():
-        return docs.limit(0).select("*", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).alias("shard_tier"))
+        return docs.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS})
     return store.read()

@@ -23,9 +23,9 @@ from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
-#: White space next to white space, or a space at the end: there a space may not be where a pre-token begins.
-RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-CACHE_WORDS = 500_000
+#: A space next to white space, or at the end, may not be where a pre-token begins.
+RUNS = (" \t", "\t ", " \r", "\r ")
+CACHE_WORDS = 900_000
 
 
 class Encoder:
@@ -42,6 +42,7 @@ class Encoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
+        self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.opens = np.zeros(self.own.get_vocab_size(), dtype=bool)
         self.opens[[i for t, i in self.own.get_vocab().items() if t.startswith("Ġ")]] = True
@@ -50,16 +51,17 @@ class Encoder:
         self.tokens: dict[str, bytes] = {}  # by pre-token, for those that are not a space and letters
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, new: list[str]) -> None:
         """Learn words of letters, many in one text, cut again where an id holds a space, which none but a word's first does."""
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
-            ids = np.array(self.own.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.own.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
             cuts = np.flatnonzero(self.opens[ids])[1:]
             if len(cuts) + 1 == len(part):
-                raw, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+                width = ids.itemsize
+                raw, ends = ids.tobytes(), [0, *(width * cuts).tolist(), width * len(ids)]
                 self.words.update(zip(part, (raw[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
             else:
                 self.words.update(zip(part, self._raw([" " + w for w in part]), strict=True))
@@ -71,38 +73,52 @@ class Encoder:
         """Ids of texts given as pre-tokens."""
         each = {t for p in parts for t in p}
         lettered = {t[1:] for t in each if t[0] == " " and t[1:].isalpha()}
-        if len(self.tokens) > CACHE_WORDS // 3:
-            self.tokens.clear()
         other = [t for t in each if t not in self.tokens and (t[0] != " " or t[1:] not in lettered)]
         self.tokens.update(zip(other, self._raw(other), strict=True))
         self._letters(list(lettered.difference(self.words)))
         return [b"".join(map(self._token, p)) for p in parts]
 
+    def _learn(self, new: set[str]) -> None:
+        """Words as they stand between spaces."""
+        letters = {w for w in new if w.isalpha()}
+        ending = [w for w in new if w[:-1].isalpha() and w not in letters]  # letters and one other character, a pre-token of its own
+        self._letters(list(letters | {w[:-1] for w in ending}.difference(self.words)))
+        marks = [c for c in {w[-1] for w in ending} if c not in self.tokens]
+        self.tokens.update(zip(marks, self._raw(marks), strict=True))
+        self.words.update([(w, self.words[w[:-1]] + self.tokens[w[-1]]) for w in ending])
+        mixed = [w for w in new if w not in self.words]
+        self.words.update(zip(mixed, self._pieces([self.split(" " + w) for w in mixed]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text in the bytes of self.kind."""
         out: list[bytes] = [b""] * len(texts)
-        odd, ragged, even = [], [], []
-        for i, t in enumerate(texts):
-            (odd if not self.plain(t) else ragged if t[-1:] == " " or any(r in t for r in RUNS) else even).append(i)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        for i in odd:
-            out[i] = self._raw([texts[i]])[0]
-        for i in ragged:
-            out[i] = self._pieces([self.split(texts[i])])[0]
-        cut = [texts[i].split(" ") for i in even]
-        heads = self._pieces([self.split(c.pop(0)) for c in cut])
-        new = set().union(*cut).difference(self.words)
-        mixed = [w for w in new if not w.isalpha()]
-        ending = [w for w in mixed if w[:-1].isalpha()]  # letters and one other character, a pre-token of its own
-        self._letters(list({w for w in new if w.isalpha()} | {w[:-1] for w in ending}.difference(self.words)))
-        last = {c: self._raw([c])[0] for c in {w[-1] for w in ending}}
-        self.words.update([(w, self.words[w[:-1]] + last[w[-1]]) for w in ending])
-        mixed = [w for w in mixed if w not in self.words]
-        self.words.update(zip(mixed, self._pieces([self.split(" " + w) for w in mixed]), strict=True))
-        get = self.words.__getitem__
-        for i, head, c in zip(even, heads, cut, strict=True):
-            out[i] = head + b"".join(map(get, c))
+        if len(self.tokens) > CACHE_WORDS // 3:
+            self.tokens.clear()
+        even, words, ends = [], [], []
+        for i, t in enumerate(texts):
+            if not self.plain(t):
+                out[i] = self._raw([t])[0]
+            elif t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or (("\t" in t or "\r" in t) and any(r in t for r in RUNS)):
+                out[i] = self._pieces([self.split(t)])[0]
+            else:
+                even.append(i)
+                cut = t.split(" ")
+                out[i] = cut.pop(0)
+                words += cut
+                ends.append(len(words))
+        ids = list(map(self.words.get, words))  # one look-up a word; what is new is filled in
+        missing = [k for k, v in enumerate(ids) if v is None]
+        if missing:
+            self._learn({words[k] for k in missing})
+            for k in missing:
+                ids[k] = self.words[words[k]]
+        heads = self._pieces([self.split(out[i]) for i in even])
+        low = 0
+        for i, head, high in zip(even, heads, ends, strict=True):
+            out[i] = head + b"".join(ids[low:high])
+            low = high
         return out
 
 
@@ -122,14 +138,15 @@ def encoder(path: str) -> Encoder:
 def _encode(path: str, end: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, at = encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], dtype="<u4").tobytes()
+        tail = np.array([end], dtype=encode.kind).tobytes()
         for b in it:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
                 raw = [x + tail for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+                sizes = np.array([len(r) // encode.kind.itemsize for r in raw], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                flat = np.frombuffer(b"".join(raw), dtype=encode.kind).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(raw), shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(sizes), lists], names=["doc_id", "shard", "local_start", "n_tokens", "tokens"])
                 at += int(offsets[-1])
 
