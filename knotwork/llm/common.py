@@ -54,17 +54,21 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows inside; long texts then stay within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting inside, and what it was after."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows inside; long texts then stay within a worker's memory."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() is the same where all characters are ASCII, and faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import delete, hadoop_fs
+from knotwork.llm.common import delete, hadoop_fs, setting
 
 TARGET_BYTES, FAN, MERGES_A_JOB = 128 << 20, 4, 64
 #: What a reader learns of a row's shard.
@@ -137,7 +137,9 @@ class ShardStore:
         for k in range(0, len(groups), MERGES_A_JOB):
             folder = f"data/c{now + 1:06d}-{k:06d}-{uuid.uuid4().hex[:8]}"
             parts = [self.spark.read.parquet(*[f"{self.root}/{shards[i].path}" for i in g]).coalesce(1) for g in groups[k : k + MERGES_A_JOB]]
-            reduce(DataFrame.unionByName, parts).write.parquet(f"{self.root}/{folder}")
+            # Else a union of single partitions is itself a single one.
+            with setting(self.spark, "spark.sql.unionOutputPartitioning", "false"):
+                reduce(DataFrame.unionByName, parts).write.parquet(f"{self.root}/{folder}")
             merged += self._register(folder, now + 1)
         merged = [Shard(f"v{now + 1:06d}-{k:06d}", s.path, s.bytes, s.rows, s.tier) for k, s in enumerate(merged)]
         gone = {i for g in groups for i in g}

@@ -21,12 +21,14 @@ def test_small_files_wait_for_their_run():
 
 def test_every_row_is_in_one_live_shard(spark, documents):
     root = Scratch(spark, "t").path("store")
-    store = shard_documents(documents.repartition(6), root, arrivals=3, target=200_000)
+    store = shard_documents(documents.repartition(6), root, arrivals=3, target=200_000, fan=2)
     rows = store.read()
     assert sorted(r["doc_id"] for r in rows.collect()) == sorted(r["doc_id"] for r in documents.collect())
     live = store.live()
     assert {r["shard"]: r["count"] for r in rows.groupBy("shard").count().collect()} == {s.name: s.rows for s in live}
-    assert len(live) < len(store.live(3)) and max(s.bytes for s in live) < 400_000
+    planned = plan_merges([s.bytes for s in store.live(3)], 200_000, store.fan)
+    assert len(planned) > 1 and len(live) == len(store.live(3)) - sum(map(len, planned)) + len(planned)
+    assert max(s.bytes for s in live) < 250_000
     fs, _ = hadoop_fs(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     assert not any(fs.exists(path(f"{root}/{s.path}")) for s in set(store.live(3)) - set(live))
