@@ -64,20 +64,20 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str, high: int | None =
     steps = scratch.write(oriented(edges, direction).select("frm", "to").distinct())
     front = roots.select("root", F.col("root").alias("next")).distinct()
     levels: list[DataFrame] = []
-    while high is None or len(levels) < high:
+    depth = 0
+    while high is None or depth < high:
+        depth += 1
         new = front.join(steps, F.col("next") == F.col("frm")).select("root", F.col("to").alias("next")).distinct()
         if levels:
             new = new.join(_union(levels).select("root", "next"), ["root", "next"], "left_anti")
-        front = scratch.write(new.withColumn("depth", F.lit(len(levels) + 1)))
-        if not front.head(1):
+        level = scratch.write(new.withColumn("depth", F.lit(depth)))
+        if not level.head(1):
             break
-        levels.append(front)
-        if len(levels) % 8 == 0:  # the plan stays short however deep the graph is
-            levels = [*levels[:-8], *[scratch.write(_union(levels[-8:]))]] if high is None else levels
-        front = front.select("root", "next")
-    if not levels:
-        return front.select("root", "next", F.lit(0).alias("depth")).limit(0)
-    return _union(levels)
+        levels.append(level)
+        if len(levels) == 8:  # the plan stays short however deep the graph is
+            levels = [scratch.write(_union(levels))]
+        front = level.select("root", "next")
+    return _union(levels) if levels else front.select("root", "next", F.lit(0).alias("depth")).limit(0)
 
 
 def shortest(edges: DataFrame, roots: DataFrame, direction: str, high: int, all_paths: bool, terminals: DataFrame | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def load(spark: SparkSession, nodes: DataFrame, edges: DataFrame, verify: bool =
     ids = rows.select("id", "node_id")
     a, b = ids.select(F.col("id").alias("start_id"), F.col("node_id").alias("s")), ids.select(F.col("id").alias("end_id"), F.col("node_id").alias("t"))
     placed = edges.withColumn("at", F.monotonically_increasing_id()).join(a, "start_id").join(b, "end_id")
-    merged = placed.groupBy("s", "t", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "props"))).alias("all"))
+    merged = placed.groupBy("s", "t", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "props")), lambda a, b: F.signum(a["at"] - b["at"]).cast("int")).alias("all"))
     props = F.aggregate("all", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(x["props"], k)), x["props"]))
     made = scratch.write(merged.select(F.monotonically_increasing_id().alias("id"), F.col("s").alias("start_id"), F.col("t").alias("end_id"), "kind", props.alias("props")))
     return Loaded(PropertyGraph.dynamic(spark, rows.select(F.col("node_id").alias("id"), "kinds", "props"), made), ids)
