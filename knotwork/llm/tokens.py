@@ -25,7 +25,7 @@ from knotwork.llm.common import Scratch, batches
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
 #: A space next to white space, or at the end, may not be where a pre-token begins.
 RUNS = (" \t", "\t ", " \r", "\r ")
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_500_000
 
 
 class Encoder:
