@@ -88,4 +88,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_min_cost_flow_mix, op9_token_lists, op10_disclosure)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _turns(z: str) -> str:
+    return f"array_to_string(list_transform({z}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '')"
+
+
+def _mask(z: str) -> str:
+    size = "lambda t: length(t.role) + length(t.text) + 13"
+    before = f"coalesce(list_sum(list_transform(({z})[1:i], {size})), 0)::BIGINT"
+    upto = f"coalesce(list_sum(list_transform(({z})[1:i + 1], {size})), 0)::BIGINT"
+    return f"array_to_string(list_transform(list_filter(range(len({z})), lambda i: ({z})[i + 1].role = 'assistant'), lambda i: ({before} + length(({z})[i + 1].role) + 5) || ':' || {upto}), ',')"
+
+
+def _words(col: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({col}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
+                   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS rank
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+        WHERE rank <= 10""",
+    "op2_preference_format": f"""
+        WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) t
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+             p AS (SELECT a.conv_id c, a.t x, b.t y FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+             q AS (SELECT c, x, y, coalesce(list_min(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1])), least(len(x), len(y))) n FROM p),
+             r AS (SELECT c, n, x[1:n] h, x[n + 1:] x, y[n + 1:] y FROM q)
+        SELECT c // 2 AS pair_id, c AS chosen_id, c + 1 AS rejected_id, n::INT AS prompt_turns, {_turns("h")} AS prompt, {_turns("x")} AS chosen, {_turns("y")} AS rejected,
+               {_mask("x")} AS chosen_mask, {_mask("y")} AS rejected_mask FROM r""",
+    "op4_bloom_cascade": f"""
+        WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
+             h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM p),
+             r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(rh, rp, a)),
+             m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) rule, arg_max(a, length(rh || rp)) a FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+        SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""",
+    "op7_prefix_join": f"""
+        WITH d AS (SELECT doc_id, {_words("text")} w FROM documents),
+             b AS (SELECT item_id::VARCHAR item, {_words("text")} w FROM benchmark),
+             bw AS (SELECT item, least(len(w), 10) n, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i + 1:i + 10], ' '))) win FROM b WHERE len(w) > 0),
+             dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') win FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) i FROM d, (SELECT DISTINCT n FROM bw))),
+             hit AS (SELECT DISTINCT doc_id, item, i, n FROM dw JOIN bw USING (win, n)),
+             ids AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1),
+             cov AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}

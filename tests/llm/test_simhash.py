@@ -3,7 +3,8 @@ import collections
 import numpy as np
 import xxhash
 
-from knotwork.llm.simhash import GrayIndex, fingerprint, gray_rank, keep_representatives, simhash_dedup, unite
+from knotwork.llm import simhash
+from knotwork.llm.simhash import GrayIndex, fingerprint, gray_rank, keep_representatives, near_duplicates, signature, simhash_dedup, unite
 
 
 def plain(text, size=3):
@@ -13,24 +14,33 @@ def plain(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def groups(prints, radius=2):
-    """Smallest id by component, all pairs compared. prints: (id, fingerprint)."""
-    up = list(range(len(prints)))
+def joined_groups(rows, linked):
+    """(id, smallest id of its component), all pairs compared. rows: (id, code)."""
+    up = list(range(len(rows)))
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for i in range(len(prints)):
+    for i in range(len(rows)):
         for j in range(i):
-            if (prints[i][1] ^ prints[j][1]).bit_count() <= radius:
+            if linked(rows[i][1], rows[j][1]):
                 up[root(i)] = root(j)
     ids = collections.defaultdict(list)
-    for i, (d, _) in enumerate(prints):
+    for i, (d, _) in enumerate(rows):
         ids[root(i)].append(d)
     low = {k: min((d for d in v if d is not None), default=None) for k, v in ids.items()}
-    return [(d, f, low[root(i)]) for i, (d, f) in enumerate(prints)]
+    return [(d, low[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def groups(prints, radius=2):
+    found = joined_groups(prints, lambda a, b: (a ^ b).bit_count() <= radius)
+    return [(d, f, low) for (d, f), (_, low) in zip(prints, found, strict=True)]
+
+
+def alike(a, b, radius=4, limit=48):
+    return (a[0] ^ b[0]).bit_count() <= radius and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= limit
 
 
 def key(r):
@@ -86,11 +96,57 @@ def test_a_crowd_of_near_copies(spark):
     assert sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash_dedup(df).collect()) == sorted(want)
 
 
+def test_crowded_ranges_are_cut(spark, documents, monkeypatch):
+    """Small pieces and blocks give what one task would."""
+    rows = [(r["doc_id"], plain(r["text"])) for r in documents.collect()]
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 4)
+    monkeypatch.setattr(simhash, "RANGES", 2)
+    monkeypatch.setattr(simhash, "NODES", 4)
+    monkeypatch.setattr(simhash, "ASKING_ROWS", 5)
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash_dedup(documents, radius=4).collect()) == sorted((d, c) for d, _, c in groups(rows, 4))
+
+
+def test_signatures():
+    assert signature(None) == signature(" \n") == [0] * 5
+    words = "One two  three four five six one".lower().split()
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert signature("One two  three\tfour five six one")[0] == want
+    grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(3)}
+    assert signature("One two  three\tfour five six one")[1] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in grams) > len(grams))
+    assert len(set(signature("a b c d e f g")[1:])) == 4
+
+
+def test_near_duplicates(spark, documents, odd_docs, no_docs):
+    for df in (documents, odd_docs):
+        rows = [(r["doc_id"], signature(r["text"])) for r in df.collect()]
+        got = sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=repr)
+        assert got == sorted(joined_groups(rows, alike), key=repr)
+    assert near_duplicates(no_docs).collect() == []
+
+
+def test_a_few_changed_words_are_caught_and_other_texts_stay(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)] + ["the", "of", "and"] * 400
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocabulary, 300))
+        rows.append((i, " ".join(words)))
+        for k in range(2):
+            changed = list(words)
+            for at in rng.choice(300, 3, replace=False):
+                changed[at] = str(rng.choice(vocabulary))
+            rows.append((1000 + 2 * i + k, " ".join(changed)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    caught = sum(r["component_id"] == (r["doc_id"] - 1000) // 2 for r in found if r["doc_id"] >= 1000)
+    assert caught >= 114 and all(r["component_id"] == r["doc_id"] for r in found if r["doc_id"] < 1000)
+
+
 def test_representatives(spark, odd_docs, no_docs):
     kept = keep_representatives(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    want = {d for d, _, c in groups([(r["doc_id"], plain(r["text"])) for r in odd_docs.collect()], 4) if d is not None and d == c}
+    want = {d for d, c in joined_groups([(r["doc_id"], signature(r["text"])) for r in odd_docs.collect()], alike) if d is not None and d == c}
     assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want)
     assert ids.count(None) == 2
     assert keep_representatives(no_docs).collect() == []
