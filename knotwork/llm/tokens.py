@@ -153,6 +153,13 @@ def _encode(path: str, end: int):
     return run
 
 
+def _place(doc_id: F.Column, bounds: list[int]) -> F.Column:
+    """Number of bounds at or below an id; nulls come first."""
+    if not bounds:
+        return F.lit(0)
+    return F.when(doc_id.isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= doc_id)))
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, partitions: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Encode docs (doc_id, text, ...) and write (doc_id, shard, local_start, n_tokens, tokens) to out in ascending doc_id order, null ids first.
 
@@ -164,9 +171,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, partit
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with batches(spark, 256):
-        ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        # Bounds from the ids alone: repartitionByRange would sample by reading the texts once more.
+        bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+        ranged = docs.repartitionById(n, _place(F.col("doc_id"), sorted(set(bounds or [])))).sortWithinPartitions("doc_id", "text")
         rows = ranged.mapInArrow(_encode(tokenizer, end), "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>")
-        options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
+        options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "PARQUET_2_0", "compression": "snappy"}
         rows.write.mode("overwrite").options(**options).parquet(out)
 
 
