@@ -500,3 +500,74 @@ def _scrub(spark, sf_dir):
 @query("plain_sql", "SELECT 'TOP_TRADE' AS kind, count(*) AS n FROM (WITH " + TT + " SELECT * FROM tt)")
 def _plain_sql(spark, sf_dir):
     return Engine(table_graph(spark, sf_dir)).sql("SELECT kind, count(*) AS n FROM edges WHERE kind = 'TOP_TRADE' GROUP BY 1")
+
+
+# set-level operations
+
+@query("hydrate", f"SELECT {num('Nation', 'n_nationkey')} AS id, n_name, n_regionkey FROM nation WHERE n_nationkey < 4")
+def _hydrate(spark, sf_dir):
+    from knotwork.operators import sets
+
+    return sets.hydrate(table_graph(spark, sf_dir), spark.range(4).select(ident("Nation", "id").alias("id")), ["n_name", "n_regionkey"])
+
+
+@query("node_relationships", f"WITH {TT} SELECT {num('Nation', 's')} AS start_id, {num('Nation', 'e')} AS end_id, 'TOP_TRADE' AS kind FROM tt WHERE s < 3 OR e < 3")
+def _relationships(spark, sf_dir):
+    from knotwork.operators import sets
+
+    ids = spark.range(3).select(ident("Nation", "id").alias("id"))
+    return sets.relationships(table_graph(spark, sf_dir), ids, "both", ["TOP_TRADE"]).drop("id")
+
+
+@query("far_nodes", f"SELECT DISTINCT {num('Part', 'l_partkey')} AS id FROM lineitem WHERE l_orderkey < 50")
+def _far(spark, sf_dir):
+    from knotwork.operators import sets
+
+    g = table_graph(spark, sf_dir)
+    ids = g.node_scan(["Order"], ["o_orderkey"])[0].where("`p:o_orderkey` < 50")
+    return sets.far_nodes(g, ids, "out", ["CONTAINS"])
+
+
+@query("wipe_retain", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n")
+def _wipe(spark, sf_dir):
+    from knotwork.operators import sets
+
+    g = sets.wipe(table_graph(spark, sf_dir), F.array_contains("kinds", "Place"))
+    return Engine(g).query("MATCH (n) RETURN count(n) AS n")
+
+
+@query("upsert_relationship", "SELECT n_name AS a, 'R' || n_nationkey AS b, n_nationkey * 2 AS w FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'N9', 'R9', 18")
+def _upsert_relationship(spark, sf_dir):
+    from knotwork.operators import sets
+
+    g = table_graph(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 3").select(F.col("n_name").alias("start_n_name"), F.concat(F.lit("R"), "n_nationkey").alias("end_title"), (F.col("n_nationkey") * 2).alias("w")).union(spark.sql("select 'N9', 'R9', 18"))
+    for _ in range(2):  # the second time changes nothing
+        g = sets.upsert_relationships(g, rows, "RULED_BY", (["Nation"], ["n_name"]), (["Ruler"], ["title"]))
+    return Engine(g).query("MATCH (a:Nation)-[r:RULED_BY]->(b:Ruler) RETURN a.n_name AS a, b.title AS b, r.w AS w")
+
+
+@query("schema_faults", "SELECT 'node kind' AS fault, 'Place' AS name, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS count UNION ALL SELECT 'unique', 'Nation.n_regionkey', (SELECT count(DISTINCT n_regionkey) FROM nation)")
+def _schema(spark, sf_dir):
+    from knotwork.operators import sets
+
+    g = table_graph(spark, sf_dir)
+    nodes = [s for s in g.nodes if "Place" in s.static]
+    edges = [s for s in g.edges if "IN_REGION" in s.static]
+    schema = sets.Schema(frozenset(["Region", "Nation"]), frozenset(["IN_REGION"]), {"Nation": "n_regionkey", "Region": "r_name"})
+    return schema.faults(type(g)(spark, nodes, edges))
+
+
+@query("zones", f"{_R}{REACHED} SELECT {num('Nation', 'root')} AS root, {num('Nation', 'nxt')} AS next, depth FROM rc WHERE root < 2")
+def _zones(spark, sf_dir):
+    from knotwork.operators import sets
+    from knotwork.scratch import Scratch
+
+    roots = spark.range(2).select(ident("Nation", "id").alias("root"))
+    return sets.write_zones(table_graph(spark, sf_dir), roots, Scratch(spark, "zones").root, "out", ["TOP_TRADE"])
+
+
+def plan_corpus(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Planner notes and formatted plan of every query text."""
+    engines = {d: Engine((events_dynamic if d else table_graph)(spark, sf_dir)) for d in (False, True)}
+    return {name: engines[name.startswith("dynamic")].explain(text, **({"p": {"n_regionkey": 1}, "low": 6} if name == "param_props" else {})) for name, text in TEXTS.items()}

@@ -213,7 +213,7 @@ def delete_by_kinds(graph: PropertyGraph, include=(), exclude=()) -> PropertyGra
 def upsert_nodes(graph: PropertyGraph, rows: DataFrame, kinds, identity: list[str]) -> PropertyGraph:
     """Nodes by identity properties: one that has the kinds and equal identity takes the other columns of rows, a missing one is made. rows has a column for each property; the last of equal identity counts."""
     others = [c for c in rows.columns if c not in identity]
-    rows = rows.groupBy(*identity).agg(*[F.last(c, True).alias(c) for c in others])
+    rows = rows.groupBy(*identity).agg(*[F.last(c, True).alias(c) for c in others]) if others else rows.distinct()
     scan, _ = graph.node_scan(kinds, identity)
     known = scan.select(F.col("id").alias("__id"), *[F.col(f"`p:{c}`").alias(f"__i{k}") for k, c in enumerate(identity)])
     on = [F.col(c).cast("string") == F.col(f"__i{k}").cast("string") for k, c in enumerate(identity)]
