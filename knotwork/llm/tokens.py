@@ -26,6 +26,8 @@ PLAIN = r"[\t\n\r -~¡-ɏ]*"
 #: A space next to white space, or at the end, may not be where a pre-token begins.
 RUNS = (" \t", "\t ", " \r", "\r ")
 CACHE_WORDS = 1_500_000
+#: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
+MOST_BOUNDS = 1024
 
 
 class Encoder:
@@ -171,9 +173,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, partit
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with batches(spark, 256):
-        # Bounds from the ids alone: repartitionByRange would sample by reading the texts once more.
-        bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-        ranged = docs.repartitionById(n, _place(F.col("doc_id"), sorted(set(bounds or [])))).sortWithinPartitions("doc_id", "text")
+        if 1 < n <= MOST_BOUNDS:  # from the ids alone: repartitionByRange would sample by reading the texts once more
+            bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+            ranged = docs.repartitionById(n, _place(F.col("doc_id"), sorted(set(bounds or []))))
+        else:
+            ranged = docs.repartitionByRange(n, "doc_id")
+        ranged = ranged.sortWithinPartitions("doc_id", "text")
         rows = ranged.mapInArrow(_encode(tokenizer, end), "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>")
         options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "PARQUET_2_0", "compression": "snappy"}
         rows.write.mode("overwrite").options(**options).parquet(out)

@@ -60,3 +60,15 @@ def test_whole_table_round_trip_and_layout(spark, documents):
     assert all(own.decode(got[r["doc_id"]][:-1], skip_special_tokens=False) == r["text"] for r in documents.limit(20).collect())
     plan = read_index(spark, out)._jdf.queryExecution().toString()
     assert "tokens:array" not in plan.split("ReadSchema")[-1]
+
+
+def test_many_ranges_and_one(spark, odd_docs, monkeypatch):
+    """Both ways of dealing out give the same files' contents."""
+    from knotwork.llm import tokens
+
+    want = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+    for most, n in ((0, 3), (1024, 1)):
+        monkeypatch.setattr(tokens, "MOST_BOUNDS", most)
+        out = Scratch(spark, "t").path("ids")
+        write_tokens(odd_docs, out, PATH, partitions=n)
+        assert sorted((tuple(r) for r in tokens.token_digests(spark, out).collect()), key=lambda r: r[1]) == want
