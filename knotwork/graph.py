@@ -26,6 +26,7 @@ class Source:
     props: dict[str, str] = field(default_factory=dict)  # key -> column
     static: frozenset[str] | None = None  # kinds that every row has; None if rows differ
     bag: str | None = None
+    ends: tuple[frozenset[str], frozenset[str]] | None = None  # edges: kinds that every start node and every end node has
 
     def type_of(self, key: str) -> Ty | None:
         if self.bag:
@@ -71,17 +72,22 @@ class PropertyGraph:
         df = df.select(F.col(id_col).cast("long").alias("id"), kinds_literal(kinds).alias("kinds"), *[F.col(c).alias(f"p:{c}") for c in keep])
         return PropertyGraph(self.spark, [*self.nodes, Source(df, {c: f"p:{c}" for c in keep}, frozenset(kinds))], self.edges)
 
-    def with_edges(self, df: DataFrame, kind: str, props: Iterable[str] = ()) -> PropertyGraph:
-        """Typed edges of one kind: id, start_id, end_id and columns of properties."""
+    def with_edges(self, df: DataFrame, kind: str, props: Iterable[str] = (), start_kinds: Iterable[str] = (), end_kinds: Iterable[str] = ()) -> PropertyGraph:
+        """Typed edges of one kind: id, start_id, end_id and columns of properties. Kinds that all their ends have save a check."""
         props = list(props)
         df = df.select(*[F.col(c).cast("long").alias(c) for c in EDGE[:3]], F.lit(kind).alias("kind"), *[F.col(c).alias(f"p:{c}") for c in props])
-        return PropertyGraph(self.spark, self.nodes, [*self.edges, Source(df, {c: f"p:{c}" for c in props}, frozenset([kind]))])
+        return PropertyGraph(self.spark, self.nodes, [*self.edges, Source(df, {c: f"p:{c}" for c in props}, frozenset([kind]), ends=(frozenset(start_kinds), frozenset(end_kinds)))])
 
     @classmethod
     def dynamic(cls, spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
         """Nodes (id, kinds, props map) and edges (id, start_id, end_id, kind, props map) whose rows differ in kind."""
         return cls(spark, [Source(nodes.select(*NODE, "props"), bag="props")], [Source(edges.select(*EDGE, "props"), bag="props")])
 
+    def end_kinds(self, kinds: Iterable[str], side: int) -> frozenset[str]:
+        """Kinds that the start (0) or end (1) nodes of all such edges have."""
+        known = [s.ends[side] if s.ends else frozenset() for s in self._edges(kinds)]
+        return frozenset.intersection(*known) if known else frozenset()
+
     # scans
 
     def node_type(self, key: str, kinds: Iterable[str] = ()) -> Ty:

@@ -172,7 +172,9 @@ def change_kinds(graph: PropertyGraph, ids: DataFrame, add, remove) -> PropertyG
         df = df.withColumn("kinds", F.when(F.col("__id").isNotNull(), new).otherwise(F.col("kinds"))).drop("__id")
         return replace(s, df=df, static=None)
 
-    return PropertyGraph(graph.spark, [one(s) for s in graph.nodes], graph.edges)
+    # Ends may have lost a kind that their edges' sources vouch for.
+    edges = [replace(s, ends=None) for s in graph.edges] if list(remove) else graph.edges
+    return PropertyGraph(graph.spark, [one(s) for s in graph.nodes], edges)
 
 
 def delete(planner, frame: Frame, clause: S.Delete) -> tuple[Frame, PropertyGraph]:

@@ -298,8 +298,21 @@ class Planner:
             cond = cond & c
         return Frame(frame.df.join(right, cond, "left").drop(*[f"{k}_r" for k in idents]), {**frame.names, **new})
 
-    def bind_node(self, frame: Frame, n: S.NodePattern, name: str, pending, coming, at: str | None = None) -> Frame:
-        """The node pattern as a binding; at: the column that holds its id, if the frame has come to it by an edge."""
+    def _plain(self, n: S.NodePattern, name: str) -> bool:
+        """Whether nothing but its kinds is asked of a node."""
+        need = self.needs.get(name, Need())
+        return self.config.trust_endpoints and n.props is None and not (need.keys or need.kinds or need.whole or name in self.path_nodes)
+
+    def _known(self, rel: S.RelPattern, direction: str) -> frozenset[str]:
+        """Kinds that a node has for coming to it over an edge in that direction."""
+        if rel.variable and rel.low == 0:
+            return frozenset()
+        if direction == "both":
+            return self.graph.end_kinds(rel.kinds, 0) & self.graph.end_kinds(rel.kinds, 1)
+        return self.graph.end_kinds(rel.kinds, 1 if direction == "out" else 0)
+
+    def bind_node(self, frame: Frame, n: S.NodePattern, name: str, pending, coming, at: str | None = None, known: frozenset[str] = frozenset()) -> Frame:
+        """The node pattern as a binding; at: the column that holds its id, if the frame has come to it by an edge; known: kinds it has then."""
         inline = map_literal(n.props, self.params)
         if name in frame.names:
             b = frame.names[name]
@@ -313,11 +326,10 @@ class Planner:
                 scan, own = self._filtered(n, inline, frame)
                 df = df.join(scan.select(F.col(own.id).alias(b.id)).distinct(), b.id, "left_semi")
             return Frame(df, frame.names)
-        need = self.needs.get(name, Need())
-        if at and self.config.trust_endpoints and not (n.kinds or inline or need.keys or need.kinds or need.whole or name in self.path_nodes):
+        if at and self._plain(n, name) and set(n.kinds) <= known:
             self.report.note("node join left out", name)
             return self.settle(frame.bind(frame.df, **{name: NodeB(at)}), pending, coming)
-        if at and self.config.trust_endpoints and not inline and not (need.keys or need.kinds or need.whole or name in self.path_nodes):
+        if at and self._plain(n, name):
             scan, own = self._filtered(n, inline, frame)
             self.report.note("kind check by semi-join", name)
             return self.settle(frame.bind(frame.df.join(scan.select(F.col(own.id).alias(at)), at, "left_semi"), **{name: NodeB(at)}), pending, coming)
@@ -364,10 +376,14 @@ class Planner:
         if frame.df is None:
             scores = [self._score(n, set(), pending) for n in part.nodes]
             start = max(range(len(scores)), key=lambda i: (scores[i], -i)) if start == 0 else start
-        frame = self.bind_node(frame, part.nodes[start], names[start], pending, coming)
+        order = [*range(start, len(part.rels)), *range(start - 1, -1, -1)]
+        if frame.df is None and order and self._entered_by_edge(part, names, start, order[0]):
+            self.report.note("entered by its edges", names[start])
+        else:
+            frame = self.bind_node(frame, part.nodes[start], names[start], pending, coming)
         used: list[tuple[str, str, tuple]] = []  # (fixed or list, column, kinds) of each step
         segments: dict[int, tuple] = {}
-        for i in [*range(start, len(part.rels)), *range(start - 1, -1, -1)]:
+        for i in order:
             forward = i >= start
             a, b = (i, i + 1) if forward else (i + 1, i)
             frame = self._step(frame, part, i, names, a, b, forward, used, segments, pending, coming)
@@ -376,6 +392,17 @@ class Planner:
             frame = self.settle(frame, pending, coming)
         return frame
 
+    def _entered_by_edge(self, part: S.PatternPart, names, start: int, i: int) -> bool:
+        """Whether the first step's edges tell all of the node they leave."""
+        rel = part.rels[i]
+        if rel.variable or rel.direction == "both" or rel.var in self.bound_edges:
+            return False
+        leaves = rel.direction if i >= start else {"out": "in", "in": "out"}[rel.direction]
+        back = {"out": "in", "in": "out"}[leaves]
+        return self._plain(part.nodes[start], names[start]) and set(part.nodes[start].kinds) <= self._known(rel, back)
+
+    bound_edges: frozenset[str] = frozenset()
+
     def _distinct_edges(self, df: DataFrame, used, kind: str, col: str, kinds) -> DataFrame:
         """No edge twice within a pattern part; steps of different kinds cannot meet."""
         for k, c, ks in used:
@@ -393,8 +420,9 @@ class Planner:
         return df
 
     def _step(self, frame: Frame, part, i, names, a, b, forward, used, segments, pending, coming) -> Frame:
-        rel, here = part.rels[i], frame.names[names[a]]
+        rel, here = part.rels[i], frame.names.get(names[a])
         direction = rel.direction if forward or rel.direction == "both" else {"out": "in", "in": "out"}[rel.direction]
+        known = self._known(rel, direction)
         in_path = bool(part.var and self.elements)
         if rel.variable:
             return self._variable(frame, part, i, names, a, b, forward, direction, used, segments, pending, coming)
@@ -409,7 +437,7 @@ class Planner:
                 near, at = (e.start, e.end) if direction == "out" else (e.end, e.start)
                 df = df.where(F.col(near) == F.col(here.id))
             segments[i] = ("fixed", e)
-            return self.bind_node(Frame(df, frame.names), part.nodes[b], names[b], pending, coming, at)
+            return self.bind_node(Frame(df, frame.names), part.nodes[b], names[b], pending, coming, at, known)
         scan, e = self.edge_columns(rel.var, rel.kinds, inline, in_path)
         env = Env({**frame.names, "__e": e}, self.params, lenient=self.config.lenient)
         for k, v in inline.items():
@@ -420,10 +448,13 @@ class Planner:
             scan = scan.withColumns({near: F.col(e.start), far: F.col(e.end)}).unionByName(scan.withColumns({near: F.col(e.end), far: F.col(e.start)}))
         else:
             near, far = (e.start, e.end) if direction == "out" else (e.end, e.start)
-        on = F.col(here.id) == F.col(near)
-        if names[b] in frame.names and names[b] != names[a]:  # both ends are bound: one join on both
-            on = on & (F.col(far) == F.col(frame.names[names[b]].id))
-        df = frame.df.join(scan, on)
+        if here is None:  # the edges are where the pattern is entered
+            frame, df = Frame(scan, {names[a]: NodeB(near)}), scan
+        else:
+            on = F.col(here.id) == F.col(near)
+            if names[b] in frame.names and names[b] != names[a]:  # both ends are bound: one join on both
+                on = on & (F.col(far) == F.col(frame.names[names[b]].id))
+            df = frame.df.join(scan, on)
         df = self._distinct_edges(df, used, "fixed", e.id, rel.kinds)
         need = self.needs.get(rel.var, Need()) if rel.var else Need()
         for side, keys, at in (("start_node", need.start, e.start), ("end_node", need.end, e.end)):
@@ -435,7 +466,7 @@ class Planner:
                 e = replace(e, **{side: nb})
         frame = Frame(df, {**frame.names, **({rel.var: e} if rel.var else {})})
         segments[i] = ("fixed", e)
-        frame = self.bind_node(frame, part.nodes[b], names[b], pending, coming, far)
+        frame = self.bind_node(frame, part.nodes[b], names[b], pending, coming, far, known)
         return self.settle(frame, pending, coming)
 
     def _element(self, node: bool) -> Ty:
@@ -520,7 +551,7 @@ class Planner:
         else:
             segments[i] = ("ids", cols["edge_ids"], cols["node_ids"], forward)
         frame = Frame(df, {**frame.names, **new})
-        return self.settle(self.bind_node(frame, part.nodes[b], names[b], pending, coming, cols["next"]), pending, coming)
+        return self.settle(self.bind_node(frame, part.nodes[b], names[b], pending, coming, cols["next"], self._known(rel, direction)), pending, coming)
 
     only_reach = False
 

@@ -50,20 +50,20 @@ def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     g = g.with_nodes(events.select("user_id").distinct().withColumn("id", ident("User", "user_id")), ["User"], "id")
     g = g.with_nodes(turns.withColumn("id", ident("Message", message_key())), ["Message"], "id")
 
-    g = g.with_edges(_edge(nation, ident("Nation", "n_nationkey"), ident("Region", "n_regionkey"), 1), "IN_REGION")
+    g = g.with_edges(_edge(nation, ident("Nation", "n_nationkey"), ident("Region", "n_regionkey"), 1), "IN_REGION", (), ["Nation", "Place"], ["Region", "Place"])
     homes = customer.select(ident("Customer", "c_custkey").alias("s"), ident("Nation", "c_nationkey").alias("e")).union(supplier.select(ident("Supplier", "s_suppkey"), ident("Nation", "s_nationkey")))
-    g = g.with_edges(_edge(homes, F.col("s"), F.col("e"), 2), "IN_NATION")
-    g = g.with_edges(_edge(orders, ident("Customer", "o_custkey"), ident("Order", "o_orderkey"), 3), "PLACED")
+    g = g.with_edges(_edge(homes, F.col("s"), F.col("e"), 2), "IN_NATION", (), ["Party"], ["Nation", "Place"])
+    g = g.with_edges(_edge(orders, ident("Customer", "o_custkey"), ident("Order", "o_orderkey"), 3), "PLACED", (), ["Customer", "Party"], ["Order"])
     pairs = line.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
-    g = g.with_edges(_edge(pairs, ident("Order", "l_orderkey"), ident("Part", "l_partkey"), 4, "quantity", "lines"), "CONTAINS", ["quantity", "lines"])
+    g = g.with_edges(_edge(pairs, ident("Order", "l_orderkey"), ident("Part", "l_partkey"), 4, "quantity", "lines"), "CONTAINS", ["quantity", "lines"], ["Order"], ["Part"])
     pairs = line.select("l_orderkey", "l_suppkey").distinct()
-    g = g.with_edges(_edge(pairs, ident("Order", "l_orderkey"), ident("Supplier", "l_suppkey"), 5), "SUPPLIED_BY")
-    g = g.with_edges(_edge(events, ident("User", "user_id"), ident("Event", "event_id"), 6), "PERFORMED")
+    g = g.with_edges(_edge(pairs, ident("Order", "l_orderkey"), ident("Supplier", "l_suppkey"), 5), "SUPPLIED_BY", (), ["Order"], ["Supplier", "Party"])
+    g = g.with_edges(_edge(events, ident("User", "user_id"), ident("Event", "event_id"), 6), "PERFORMED", (), ["User"], ["Event"])
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    g = g.with_edges(_edge(events.withColumn("after", after), ident("Event", "event_id"), ident("Event", "after"), 7), "NEXT")
+    g = g.with_edges(_edge(events.withColumn("after", after), ident("Event", "event_id"), ident("Event", "after"), 7), "NEXT", (), ["Event"], ["Event"])
     key = message_key()
-    g = g.with_edges(_edge(turns.withColumn("after", F.lead(key).over(Window.partitionBy("conv_id").orderBy("turn"))), ident("Message", key), ident("Message", F.col("after")), 8), "REPLIES")
-    return g.with_edges(_edge(top_trade(customer, orders, line, supplier), F.col("s"), F.col("e"), 9), "TOP_TRADE")
+    g = g.with_edges(_edge(turns.withColumn("after", F.lead(key).over(Window.partitionBy("conv_id").orderBy("turn"))), ident("Message", key), ident("Message", F.col("after")), 8), "REPLIES", (), ["Message"], ["Message"])
+    return g.with_edges(_edge(top_trade(customer, orders, line, supplier), F.col("s"), F.col("e"), 9), "TOP_TRADE", (), ["Nation", "Place"], ["Nation", "Place"])
 
 
 def top_trade(customer: DataFrame, orders: DataFrame, line: DataFrame, supplier: DataFrame, best: int = 2) -> DataFrame:
@@ -91,5 +91,5 @@ def events_dynamic(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     more = F.create_map(F.lit("type"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("value"), as_json(F.col("value"), FLOAT))
     nodes = e.select(ident("Event", "event_id").alias("id"), F.array(F.lit("Event"), F.initcap("event_type")).alias("kinds"), F.map_concat(more, F.coalesce(F.transform_values(bag, as_fragment), F.create_map().cast("map<string,string>"))).alias("props"))
     users = e.select("user_id").distinct().select(ident("User", "user_id").alias("id"), F.array(F.lit("User")).alias("kinds"), F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("props"))
-    edges = e.select(F.xxhash64(F.lit(6), ident("User", "user_id"), ident("Event", "event_id")).alias("id"), ident("User", "user_id").alias("start_id"), ident("Event", "event_id").alias("end_id"), F.lit("PERFORMED").alias("kind"), F.create_map().cast("map<string,string>").alias("props"))
+    edges = e.select(F.xxhash64(F.lit(6), ident("User", "user_id"), ident("Event", "event_id")).alias("id"), ident("User", "user_id").alias("start_id"), ident("Event", "event_id").alias("end_id"), F.lit("PERFORMED", (), ["User"], ["Event"]).alias("kind"), F.create_map().cast("map<string,string>").alias("props"))
     return PropertyGraph.dynamic(spark, nodes.unionByName(users), edges)

@@ -177,7 +177,24 @@ def test_plans_and_reports(spark, ring):
     text = "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.c_mktsegment = 'BUILDING' RETURN count(o) AS n"
     plan = e.explain(text)
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan and "o_totalprice" not in plan and "Python" not in plan
-    assert ("kind check by semi-join", "o") in e.report(text).steps
+    assert ("node join left out", "o") in e.report(text).steps  # its edges say that it is an Order
+    assert "kind check by semi-join" in dict(e.report("MATCH (n:Nation:Place)-[:IN_REGION]->(r:Region:Odd) RETURN count(n) AS n").steps)
+    assert ("entered by its edges", "o") in e.report("MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN sum(r.quantity) AS q").steps
     assert ("count fast path", "edges") in e.report("MATCH (a)-[r:PLACED]->(b) RETURN count(r) AS n").steps
     assert any(rule == "reach instead of paths" for rule, _ in ring.report("MATCH (a)-[:E*]->(b) RETURN DISTINCT b.name AS b").steps)
     assert any(rule == "traversal direction" for rule, _ in e.report("MATCH (a)-[:PLACED]->(o:Order {o_orderkey: 3}) RETURN a").steps)
+
+
+def test_kinds_known_from_edges_follow_updates(spark):
+    from knotwork.engine import Engine
+    from knotwork.sources.mapping import table_graph
+
+    e = Engine(table_graph(spark, "/root/testdata/sf0.001"))
+    count = "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN count(*) AS n"
+    assert rows(e.query(count)) == [(25,)]
+    changed = e.update("MATCH (r:Region {r_regionkey: 0}) REMOVE r:Region")
+    assert rows(changed.query(count)) == [(20,)] and rows(e.query(count)) == [(25,)]
+    assert rows(e.update("MATCH (n:Nation) WHERE n.n_nationkey < 5 DETACH DELETE n").query(count)) == [(20,)]
+    assert rows(e.query("MATCH (a:Nation)-[:TOP_TRADE]->(b:Supplier) RETURN count(*) AS n")) == [(0,)]
+    assert rows(e.query("MATCH (a:Region)-[:TOP_TRADE*0..1]->(b:Nation) RETURN count(*) AS n")) == [(0,)]
+    assert rows(e.query("MATCH (a)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n) WHERE id(c) = id(c) RETURN count(*) AS n")) == rows(e.query("MATCH ()-[:PLACED]->() RETURN count(*) AS n"))
