@@ -23,9 +23,7 @@ from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
-#: A space next to white space, or at the end, may not be where a pre-token begins.
-RUNS = (" \t", "\t ", " \r", "\r ")
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 #: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
 MOST_BOUNDS = 1024
 
@@ -46,27 +44,32 @@ class Encoder:
         self.own.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.opens = np.zeros(self.own.get_vocab_size(), dtype=bool)
-        self.opens[[i for t, i in self.own.get_vocab().items() if t.startswith("Ġ")]] = True
+        vocabulary = self.own.get_vocab()
+        self.opens = {lead: np.zeros(self.own.get_vocab_size(), dtype=bool) for lead in " \n"}
+        self.opens[" "][[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.opens["\n"][[i for t, i in vocabulary.items() if t == "Ċ"]] = True
         self.plain = re.compile(PLAIN).fullmatch
-        self.words: dict[str, bytes] = {}  # by what stands between spaces; the ids are those with the space before it
+        # By what stands between spaces, the ids being those with the space before it; or by a line's first word
+        # with the line break before it, which is a pre-token of its own.
+        self.words: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}  # by pre-token, for those that are not a space and letters
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, new: list[str]) -> None:
-        """Learn words of letters, many in one text, cut again where an id holds a space, which none but a word's first does."""
+    def _letters(self, new: list[str], lead: str, mark: str) -> None:
+        """Learn words of letters, many in one text, cut again where an id opens with the lead, which none but a word's first does."""
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
-            ids = np.array(self.own.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            cuts = np.flatnonzero(self.opens[ids])[1:]
-            if len(cuts) + 1 == len(part):
+            ids = np.array(self.own.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cuts = np.flatnonzero(self.opens[lead][ids])
+            keys = [mark + w for w in part] if mark else part
+            if len(cuts) == len(part):
                 width = ids.itemsize
-                raw, ends = ids.tobytes(), [0, *(width * cuts).tolist(), width * len(ids)]
-                self.words.update(zip(part, (raw[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+                raw, ends = ids.tobytes(), [*(width * cuts).tolist(), width * len(ids)]
+                self.words.update(zip(keys, [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
             else:
-                self.words.update(zip(part, self._raw([" " + w for w in part]), strict=True))
+                self.words.update(zip(keys, self._raw([lead + w for w in part]), strict=True))
 
     def _token(self, t: str) -> bytes:
         return self.words[t[1:]] if t[0] == " " and t[1:].isalpha() else self.tokens[t]
@@ -77,19 +80,27 @@ class Encoder:
         lettered = {t[1:] for t in each if t[0] == " " and t[1:].isalpha()}
         other = [t for t in each if t not in self.tokens and (t[0] != " " or t[1:] not in lettered)]
         self.tokens.update(zip(other, self._raw(other), strict=True))
-        self._letters(list(lettered.difference(self.words)))
+        self._letters(list(lettered.difference(self.words)), " ", "")
         return [b"".join(map(self._token, p)) for p in parts]
 
     def _learn(self, new: set[str]) -> None:
-        """Words as they stand between spaces."""
-        letters = {w for w in new if w.isalpha()}
-        ending = [w for w in new if w[:-1].isalpha() and w not in letters]  # letters and one other character, a pre-token of its own
-        self._letters(list(letters | {w[:-1] for w in ending}.difference(self.words)))
-        marks = [c for c in {w[-1] for w in ending} if c not in self.tokens]
-        self.tokens.update(zip(marks, self._raw(marks), strict=True))
-        self.words.update([(w, self.words[w[:-1]] + self.tokens[w[-1]]) for w in ending])
-        mixed = [w for w in new if w not in self.words]
-        self.words.update(zip(mixed, self._pieces([self.split(" " + w) for w in mixed]), strict=True))
+        """Words as they stand between spaces, and lines' first words after a line break."""
+        for lead, mark, own in ((" ", "", [w for w in new if w[0] != "\n"]), ("\n", "\n", [w for w in new if w[0] == "\n"])):
+            letters, ending, mixed = set(), [], []
+            for w in own:
+                body = w[1:] if mark else w
+                if body.isalpha():
+                    letters.add(body)
+                elif body[:-1].isalpha():  # letters and one other character, a pre-token of its own
+                    ending.append(body)
+                else:
+                    mixed.append(w)
+            letters.update(b[:-1] for b in ending if mark + b[:-1] not in self.words)
+            self._letters(list(letters), lead, mark)
+            last = [c for c in {b[-1] for b in ending} if c not in self.tokens]
+            self.tokens.update(zip(last, self._raw(last), strict=True))
+            self.words.update([(mark + b, self.words[mark + b[:-1]] + self.tokens[b[-1]]) for b in ending])
+            self.words.update(zip(mixed, self._pieces([self.split(w if mark else " " + w) for w in mixed]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text in the bytes of self.kind."""
@@ -102,11 +113,12 @@ class Encoder:
         for i, t in enumerate(texts):
             if not self.plain(t):
                 out[i] = self._raw([t])[0]
-            elif t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or (("\t" in t or "\r" in t) and any(r in t for r in RUNS)):
+            elif t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\t" in t or "\r" in t:
+                # White space next to white space, where a space or line break may not begin a pre-token.
                 out[i] = self._pieces([self.split(t)])[0]
             else:
                 even.append(i)
-                cut = t.split(" ")
+                cut = t.replace("\n", " \n").split(" ")
                 out[i] = cut.pop(0)
                 words += cut
                 ends.append(len(words))
