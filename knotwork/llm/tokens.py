@@ -23,7 +23,7 @@ from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_300_000  # a table of Python's doubles at 1.4 million
 #: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
 MOST_BOUNDS = 1024
 
