@@ -23,7 +23,8 @@ from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
 PLAIN = r"[\t\n\r -~¡-ɏ]*"
-CACHE_WORDS = 1_300_000  # a table of Python's doubles at 1.4 million
+#: In two generations, each below the size at which a table of Python's doubles (0.7 million).
+CACHE_WORDS = 1_350_000
 #: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
 MOST_BOUNDS = 1024
 
@@ -52,6 +53,7 @@ class Encoder:
         # By what stands between spaces, the ids being those with the space before it; or by a line's first word
         # with the line break before it, which is a pre-token of its own.
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}  # by pre-token, for those that are not a space and letters
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -105,8 +107,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text in the bytes of self.kind."""
         out: list[bytes] = [b""] * len(texts)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS // 2:  # what is not met again before the next time goes
+            self.old, self.words = self.words, {}
         if len(self.tokens) > CACHE_WORDS // 3:
             self.tokens.clear()
         even, words, ends = [], [], []
@@ -125,7 +127,10 @@ class Encoder:
         ids = list(map(self.words.get, words))  # one look-up a word; what is new is filled in
         missing = [k for k, v in enumerate(ids) if v is None]
         if missing:
-            self._learn({words[k] for k in missing})
+            new = {words[k] for k in missing}
+            kept = {w: v for w in new if (v := self.old.get(w)) is not None}
+            self.words.update(kept)
+            self._learn(new.difference(kept))
             for k in missing:
                 ids[k] = self.words[words[k]]
         heads = self._pieces([self.split(out[i]) for i in even])
