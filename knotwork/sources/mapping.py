@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from knotwork.graph import PropertyGraph
@@ -31,8 +32,21 @@ def _edge(df: DataFrame, start: Column, end: Column, tag: int, *props: str) -> D
     return out.withColumn("id", F.xxhash64(F.lit(tag), "start_id", "end_id"))
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is looked up once for each state of the file or folder, which saves a job."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    key = (spark.sparkContext.applicationId, path, changed)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = lambda name: read_table(spark, f"{sf_dir}/{name}.parquet")
     region, nation, customer, supplier = t("region"), t("nation"), t("customer"), t("supplier")
     part, orders, line, events, docs, turns = t("part"), t("orders"), t("lineitem"), t("events"), t("documents"), t("conversations")
     g = PropertyGraph.empty(spark)
@@ -84,7 +98,7 @@ def events_dynamic(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Events as a graph with property bags: the JSON column's keys, and type and value."""
     from knotwork.functions.types import FLOAT, as_json
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = read_table(spark, f"{sf_dir}/events.parquet")
     bag = F.from_json("props", "map<string,string>")
     # from_json gives texts; numbers keep their look, all else becomes a JSON string.
     as_fragment = lambda k, v: F.when(v.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?$") | v.isin("true", "false"), v).when(v.startswith("["), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
