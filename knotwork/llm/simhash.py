@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import Scratch, batches, components
+from knotwork.llm.jaccard import alike_documents
 
 RANGES, NODES, RANGE_ROWS, FANOUT, ASKING_ROWS = 16, 64, 65_536, 16, 1_000_000
 
@@ -374,13 +375,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, limit: int
 MOST_BROADCAST = 1_000_000
 
 
-def keep_representatives(docs: DataFrame, size: int = 5, radius: int = 4, limit: int = 48) -> DataFrame:
+def keep_representatives(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs that stand for their near-duplicate groups, with all their columns: of each group the row with the smallest doc_id.
 
-    Of repeated rows that share a doc_id one stays. Rows with a null doc_id cannot be named and stay.
+    Groups are those of texts alike in num/den or more of their shingles (jaccard.py). Of repeated rows that share
+    a doc_id one stays. Rows with a null doc_id cannot be named and stay.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
-    found = scratch.write(near_duplicates(docs, size, radius, limit), "components")
+    found = scratch.write(alike_documents(docs, size, num, den), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
