@@ -38,13 +38,14 @@ class Encoder:
     be cut at its spaces, and a word seen before needs no second encoding.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
+        """literal: an added token's literal in a text is text like other; else it is that token, as the library has it unless told otherwise."""
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = literal
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         vocabulary = self.own.get_vocab()
@@ -52,6 +53,8 @@ class Encoder:
         self.opens[" "][[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.opens["\n"][[i for t, i in vocabulary.items() if t == "Ċ"]] = True
         self.plain = re.compile(PLAIN).fullmatch
+        # Added tokens are found in the text before it is cut, so a text that may hold one goes to the library whole.
+        self.added = [] if literal else [t.content for t in self.own.get_added_tokens_decoder().values()]
         # By what stands between spaces, the ids being those with the space before it; or by a line's first word
         # with the line break before it, which is a pre-token of its own.
         self.words: dict[str, bytes] = {}
@@ -115,7 +118,7 @@ class Encoder:
             self.tokens.clear()
         even, words, ends = [], [], []
         for i, t in enumerate(texts):
-            if not self.plain(t):
+            if not self.plain(t) or any(a in t for a in self.added):
                 out[i] = self._raw([t])[0]
             elif t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\t" in t or "\r" in t:
                 # White space next to white space, where a space or line break may not begin a pre-token.
@@ -152,7 +155,7 @@ def encoder(path: str) -> Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, literal=False)
     return _ENCODERS[path]
 
 

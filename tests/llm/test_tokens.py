@@ -72,3 +72,17 @@ def test_many_ranges_and_one(spark, odd_docs, monkeypatch):
         out = Scratch(spark, "t").path("ids")
         write_tokens(odd_docs, out, PATH, partitions=n)
         assert sorted((tuple(r) for r in tokens.token_digests(spark, out).collect()), key=lambda r: r[1]) == want
+
+
+def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
+    own = Tokenizer.from_file(PATH)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n c", "one <|endoftext| > two", "one two", "日 <|endoftext|> 本"]
+    encode = Encoder(PATH, literal=False)
+    for t, raw in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(raw, dtype=encode.kind).tolist() == own.encode(t, add_special_tokens=False).ids, t
+    want, at = [], 0
+    for d, t in enumerate(texts):
+        ids = own.encode(t, add_special_tokens=False).ids + [0]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    assert digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == want
