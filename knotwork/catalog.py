@@ -312,7 +312,7 @@ def _message_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def _weighted(spark, sf_dir):
     nodes, edges = _message_edges(spark, sf_dir)
     roots = nodes.where("id % 1024 = 0").select(F.col("id").alias("root"))
-    return A.weighted_terminals(edges.withColumn("w", F.lit(0.5)), roots, "w", "out", 20)
+    return A.weighted_terminals(edges.withColumn("w", F.lit(0.5)), roots, "w", "out")
 
 
 # traversals

@@ -6,6 +6,8 @@ edges are counted to be few are found on the driver, larger ones by colouring.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,19 +210,22 @@ def walks(edges: DataFrame, roots: DataFrame, direction: str, max_depth: int) ->
     return ended, front
 
 
-def weighted_terminals(edges: DataFrame, roots: DataFrame, weight: str, direction: str, max_depth: int) -> DataFrame:
-    """(root, next, weight): weights multiplied along every walk of up to max_depth edges to where no edge goes on, added up by terminal. edges holds the column weight."""
+def weighted_terminals(edges: DataFrame, roots: DataFrame, weight: str, direction: str, max_depth: int | None = None) -> DataFrame:
+    """(root, next, weight): weights multiplied along every walk (of up to max_depth edges, if given) to where no edge goes on, added up by terminal. edges holds the column weight. Without max_depth a cycle in reach is an error."""
     scratch = Scratch(edges.sparkSession, "weights")
     a, b = ("start_id", "end_id") if direction == "out" else ("end_id", "start_id")
     steps = scratch.write(edges.select(F.col(a).alias("frm"), F.col(b).alias("to"), F.col(weight).cast("double").alias("w")))
     tails = steps.select("frm").distinct()
     front = roots.select("root", F.col("root").alias("next"), F.lit(1.0).alias("weight")).distinct()
     out = None
-    for _ in range(max_depth):
+    most = tails.count() if max_depth is None else max_depth
+    for depth in itertools.count() if max_depth is None else range(max_depth):
         # Walks that meet go on as one: their weights add up.
         front = scratch.write(front.join(steps, F.col("next") == F.col("frm")).groupBy("root", F.col("to").alias("next")).agg(F.sum(F.col("weight") * F.col("w")).alias("weight")))
         if not front.head(1):
             break
+        if depth >= most:  # more edges than nodes with edges: one comes twice
+            raise ValueError("a cycle in reach: its walks do not end")
         stop = front.join(tails, F.col("next") == F.col("frm"), "left_anti")
         out = stop if out is None else out.union(stop)
         front = front.join(tails, F.col("next") == F.col("frm"), "left_semi")

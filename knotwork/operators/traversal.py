@@ -15,22 +15,24 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.select("root", F.col("root").alias("next"), F.array().cast("array<bigint>").alias("edge_ids"), F.array("root").alias("node_ids"))
 
 
-def paths(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int = 15, acyclic: bool = True, most_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def paths(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int | None = None, acyclic: bool = True, most_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(maximal, every): paths (root, next, edge_ids, node_ids with the root). Maximal ones cannot go on.
 
-    acyclic: no node twice; else no edge twice. most_rows stops a traversal that grows beyond so many rows
+    acyclic: no node twice; else no edge twice. max_depth None: until no path goes on; else paths that could go on
+    beyond it are among every, not among the maximal. most_rows stops a traversal that grows beyond so many rows
     in one level with an error.
     """
     scratch = Scratch(edges.sparkSession, "paths")
     steps = scratch.write(oriented(edges, direction))
     front, every, maximal = _empty(roots.select("root").distinct()), None, None
-    for depth in range(max_depth + 1):
+    depth = 0
+    while True:
         on = F.col("next") == F.col("frm")
         on = on & (~F.array_contains("node_ids", F.col("to")) if acyclic else ~F.array_contains("edge_ids", F.col("eid")))
         new = front.join(steps, on)
         longer = new.select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"))
-        end = front if depth == max_depth else front.join(new.select("root", "edge_ids").distinct(), ["root", "edge_ids"], "left_anti").select(*front.columns)
-        end = end.where(F.size("edge_ids") > 0)
+        end = front.join(new.select("root", "edge_ids").distinct(), ["root", "edge_ids"], "left_anti").select(*front.columns)
+        end = scratch.write(end.where(F.size("edge_ids") > 0))  # the plan stays short however deep the graph is
         maximal = end if maximal is None else maximal.union(end)
         every = front if every is None else every.union(front)
         if depth == max_depth:
@@ -40,10 +42,11 @@ def paths(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth:
             raise MemoryError(f"a level of more than {most_rows} paths")
         if not front.head(1):
             break
+        depth += 1
     return maximal, every.where(F.size("edge_ids") > 0)
 
 
-def intermediary_paths(edges: DataFrame, roots: DataFrame, ends: DataFrame, direction: str = "out", max_depth: int = 15) -> DataFrame:
+def intermediary_paths(edges: DataFrame, roots: DataFrame, ends: DataFrame, direction: str = "out", max_depth: int | None = None) -> DataFrame:
     """Every prefix of a traversal whose last node is among ends (id)."""
     return paths(edges, roots, direction, max_depth, acyclic=False)[1].join(ends.select(F.col("id").alias("next")), "next", "left_semi").select("root", "next", "edge_ids", "node_ids")
 
@@ -77,11 +80,11 @@ class Step:
 class Continuation:
     """Chained expansions, each with its own kinds and edge condition; only matches that no further expansion extends count.
 
-    A negative low is 1, low 0 makes the step optional, high 0 has no bound. Nodes do not come twice on a path.
+    A negative low is 1, low 0 makes the step optional, high 0 has no bound but max_depth, if there is one. Nodes do not come twice on a path.
     """
 
     steps: tuple[Step, ...] = field(default=())
-    max_depth: int = 15
+    max_depth: int | None = None
 
     def outbound(self, low: int = 1, high: int = 1, kinds=(), where: Column | None = None) -> Continuation:
         return self._add("out", low, high, kinds, where)
@@ -105,14 +108,14 @@ class Continuation:
             while True:
                 on = (F.col("next") == F.col("frm")) & ~F.array_contains("node_ids", F.col("to"))
                 longer = level.join(steps, on).select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"))
-                longer = scratch.write(longer) if depth < high else level.limit(0)
+                longer = scratch.write(longer) if high is None or depth < high else level.limit(0)
                 if depth >= s.low:  # only where the step goes no further
                     n = F.size("edge_ids")
                     before = longer.select("root", F.slice("edge_ids", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("edge_ids")).distinct()
                     ends = level.join(before, ["root", "edge_ids"], "left_anti").select(*level.columns)
                     kept = ends if kept is None else kept.union(ends)
                 level, depth = longer, depth + 1
-                if depth > high or not level.head(1):
+                if (high is not None and depth > high) or not level.head(1):
                     break
             front = scratch.write(kept) if kept is not None else level.limit(0)
         return front.where(F.size("edge_ids") > 0)

@@ -87,6 +87,24 @@ def test_traversals(spark):
     assert sorted(r["node_ids"] for r in steps.run(g, root).collect()) == [[1, 2, 3], [1, 2, 4]]
 
 
+def test_traversals_have_no_depth_of_their_own(spark):
+    names = [f"n{i}" for i in range(24)]
+    nodes, edges = plain(names, *zip(names, names[1:], strict=False))
+    g = engine(spark, nodes, edges).graph
+    e, root = g.all_edges(), spark.createDataFrame([(1,)], "root long")
+    maximal, every = traversal.paths(e, root)
+    assert [r["node_ids"] for r in maximal.collect()] == [list(range(1, 25))] and every.count() == 23
+    cut, some = traversal.paths(e, root, max_depth=5)
+    assert cut.count() == 0 and some.count() == 5  # a path that could go on is not maximal
+    assert traversal.intermediary_paths(e, root, spark.createDataFrame([(24,)], "id long")).count() == 1
+    assert [r["next"] for r in traversal.Continuation().outbound(1, 0, ["E"]).run(g, root).collect()] == [24]
+    halves = e.selectExpr("*", "0.5D as w")
+    assert [(r["next"], r["weight"]) for r in A.weighted_terminals(halves, root, "w", "out").collect()] == [(24, 0.5**23)]
+    ring = spark.createDataFrame([(1, 0, 1, 1.0), (2, 1, 0, 1.0)], "id long, start_id long, end_id long, w double")
+    with pytest.raises(ValueError):
+        A.weighted_terminals(ring, spark.createDataFrame([(0,)], "root long"), "w", "out")
+
+
 def test_id_sets(spark):
     a, b = idsets.IdSet.values(spark, [1, 2, 3]), idsets.IdSet.values(spark, [3, 4])
     ids = lambda s: sorted(r[0] for r in s.df.collect())
