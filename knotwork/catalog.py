@@ -352,6 +352,13 @@ def _continuation(spark, sf_dir):
     return traversal.Continuation().inbound(1, 1, ["PLACED"]).outbound(1, 1, ["IN_NATION"]).run(g, roots).select("root", "next").distinct()
 
 
+@query("continuation_all_orders", f"SELECT DISTINCT {num('Order', 'o_orderkey')} AS root, {num('Nation', 'c_nationkey')} AS next FROM orders JOIN customer ON o_custkey = c_custkey")
+def _continuation_all(spark, sf_dir):
+    g = table_graph(spark, sf_dir)
+    roots = g.node_scan(["Order"])[0].select(F.col("id").alias("root"))
+    return traversal.Continuation().inbound(1, 1, ["PLACED"]).outbound(1, 1, ["IN_NATION"]).run(g, roots).select("root", "next").distinct()
+
+
 # id sets
 
 @query("bitmap_ops", "WITH a AS (SELECT DISTINCT o_custkey id FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey id FROM orders WHERE o_orderpriority = '1-URGENT') SELECT (SELECT count(*) FROM (SELECT id FROM a UNION SELECT id FROM b)) AS u, (SELECT count(*) FROM (SELECT id FROM a INTERSECT SELECT id FROM b)) AS i, (SELECT count(*) FROM (SELECT id FROM a EXCEPT SELECT id FROM b)) AS d, (SELECT count(*) FROM (SELECT id FROM a UNION SELECT id FROM b)) - (SELECT count(*) FROM (SELECT id FROM a INTERSECT SELECT id FROM b)) AS x")
@@ -528,6 +535,14 @@ def _far(spark, sf_dir):
     return sets.far_nodes(g, ids, "out", ["CONTAINS"])
 
 
+@query("far_nodes_all_orders", f"SELECT DISTINCT {num('Part', 'l_partkey')} AS id FROM lineitem")
+def _far_all(spark, sf_dir):
+    from knotwork.operators import sets
+
+    g = table_graph(spark, sf_dir)
+    return sets.far_nodes(g, g.node_scan(["Order"])[0], "out", ["CONTAINS"])
+
+
 @query("wipe_retain", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n")
 def _wipe(spark, sf_dir):
     from knotwork.operators import sets
