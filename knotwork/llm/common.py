@@ -15,15 +15,27 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the one given to setCheckpointDir. Where neither is set a local folder on a local master (tests), else an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or _LOCAL.get(sc.applicationId)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _LOCAL.get(sc.applicationId)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores as it takes to be none of the frame's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Parquet tables in the shared folder. A written table cuts lineage and survives lost executors."""
 

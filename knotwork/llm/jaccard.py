@@ -1,10 +1,14 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix-filtered self-join.
-
-Two sets alike in num/den or more share a member among the first n - ceil(n * num / den) + 1 of each, in any order
-common to all. Shingles found often in a sample of the texts come last in that order, the others by hash; the sample
-decides how many candidates there are, not which pairs are found. Candidates are compared by their whole sets. The
-first round compares each text with two of those it shares a shingle with, the smallest and the largest node; the
-second one all others that share a shingle and are not in one component yet.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links first, then an exact prefix-filtered self-join.
+
+The SimHash of a text's shingle set goes through the Gray-order index (simhash.py); what it links is compared by the
+whole sets. That finds copies with hardly a change; at a similarity of 0.8 SimHashes differ in ten bits, too many for any
+index of them, so the rest is found by a join. Two sets alike in num/den or more share a member among the first
+n - ceil(n * num / den) + 1 of each, in any order common to all. Shingles found often in a sample of the texts come
+last in that order, the others by hash; the sample decides how many candidates there are, not which pairs are found.
+A candidate needs enough left after the place where the two meet, and parity sketches that differ in no more bits
+than the sets may in members; both bounds are exact. What is left is compared by the whole sets. The first
+round compares the index's links, and each text with two of those it shares a shingle with, the smallest and the
+largest node; the second all others that share a shingle and are not in one component yet.
 """
 
 from __future__ import annotations
@@ -18,10 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import Scratch, batches, components
+from knotwork.llm.common import Scratch, batches, components, fresh
+from knotwork.llm.simhash import linked_components, set_fingerprint
 
 #: One text of SAMPLE counts shingles; one that OFTEN of those have is common. The most common ones, MOST_COMMON at most, come last.
 SAMPLE, OFTEN, MOST_COMMON = 16, 4, 200_000
+#: Longs of a parity sketch, and their columns.
+LONGS = 4
+SKETCH = [f"p{i}" for i in range(LONGS)]
 #: So many nodes may be broadcast; a longer list is joined by shuffling.
 MOST_BROADCAST = 1_000_000
 
@@ -64,6 +72,11 @@ def _node(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7)
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each value of the low bits, whether an odd number of members has it. Each bit in which two sketches differ is a member that but one of the sets has."""
+    return np.packbits((np.bincount((h & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -79,12 +92,42 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("token").collect()], dtype=np.int64).view(np.uint64))
 
 
-def _pairs(left: DataFrame, right: DataFrame, where: Column, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) of nodes that share a first shingle and have enough left from it on to be alike."""
-    x, y = (df.select("token", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "token"]) for df, k in ((left, "x"), (right, "y")))
+def _possible(x, y, num: int, den: int) -> Column:
+    """Whether two sets that meet at a first shingle can be alike; x and y give a set's columns."""
     # From the first shingle that both have, no more can be common than what follows it in either.
-    enough = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) * (num + den) >= (F.col("nx") + F.col("ny")) * num
-    return x.join(y, "token").where(where & enough).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+    enough = F.least(x("n") - x("pos"), y("n") - y("pos")) * (num + den) >= (x("n") + y("n")) * num
+    apart = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in SKETCH[1:]), F.bit_count(x(SKETCH[0]).bitwiseXOR(y(SKETCH[0]))))
+    return enough & (apart * (num + den) <= (x("n") + y("n")) * (den - num))
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _end_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b): each node with the smallest and the largest that share a first shingle with it. A row of met gives two at most."""
+    own = F.struct("node", "n", "pos", *SKETCH)
+    ends = met.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    both = met.join(ends, "token").withColumn("other", F.explode(F.array("lo", "hi")))
+    ok = _possible(F.col, lambda c: F.col("other")[c], num, den) & (F.col("node") != F.col("other.node"))
+    return both.where(ok).select(*_ordered(F.col("node"), F.col("other.node"))).distinct()
+
+
+def _pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b) of nodes in different components that share a first shingle and may be alike."""
+    x, y = (met.select("token", *[F.col(c).alias(f"{c}_{k}") for c in met.columns if c != "token"]) for k in "xy")
+    where = (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _possible(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"), num, den)
+    return x.join(y, "token").where(where).select(*_ordered(F.col("node_x"), F.col("node_y"))).distinct()
+
+
+def _index_pairs(sets: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of nodes linked by the Gray-order index of their fingerprints (op 3): each with its component's root, never all pairs. sets: (node, fp)."""
+    nodes = scratch.write(sets.distinct(), "nodes")
+    classes = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    with batches(sets.sparkSession, 20_000):
+        roots = scratch.write(linked_components(classes, radius, scratch), "index-roots")
+    alike = nodes.join(classes.select("fp", F.col("node").alias("low")), "fp").where("node <> low").select(*_ordered(F.col("node"), F.col("low")))
+    return alike.union(roots.select(*_ordered(F.col("node"), F.col("root"))))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -122,14 +165,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, size: int,
     return out
 
 
-def alike_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def alike_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, radius: int = 2) -> DataFrame:
     """(doc_id, key, root) of every row of docs (doc_id, text, ...): key is a hash of the text, root the same for all rows linked by
-    texts alike in num/den or more of their shingles. Texts without words are alike."""
+    texts alike in num/den or more of their shingles. Texts without words are alike. An empty table gives an empty one."""
     with _tidy(docs.sparkSession):
-        return _alike_rows(docs, size, num, den)
+        return _alike_rows(docs, size, num, den, radius)
 
 
-def _alike_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _alike_rows(docs: DataFrame, size: int, num: int, den: int, radius: int) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     with batches(spark, 256):
         common = spark.sparkContext.broadcast(_common(docs, size))
@@ -140,31 +183,35 @@ def _alike_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 first = [prefix(h, common.value, num, den).view(np.int64) for h in each]
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], dtype=np.int64), *first])))
-                nodes = np.array([_node(h) for h in each], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(h) for h in each], type=pa.int64()), lists], names=["doc_id", "key", "node", "n", "first"])
+                nodes, prints = (np.array([f(h) for h in each], dtype=np.uint64).view(np.int64) for f in (_node, set_fingerprint))
+                sketches = np.frombuffer(b"".join(map(parity, each)), dtype="<i8").reshape(-1, LONGS)
+                cols = [b.column(0), b.column(1), pa.array(nodes), pa.array(prints), pa.array([len(h) for h in each], type=pa.int64()), *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(LONGS)], lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", "fp", "n", *SKETCH, "first"])
 
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
-        each = scratch.write(texts.mapInArrow(run, "doc_id long, key long, node long, n long, first array<long>"), "rows")
+        schema = f"doc_id long, key long, node long, fp long, n long, {', '.join(f'{p} long' for p in SKETCH)}, first array<long>"
+        each = scratch.write(texts.mapInArrow(run, schema), "rows")
     rows = scratch.write(each.select("doc_id", "key", "node"), "ids")
     carriers = scratch.write(each.groupBy("node").agg(F.min("key").alias("key")), "carriers")
-    shared = each.select("node", F.explode("first").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = each.select("node", F.explode("first").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     shared = scratch.write(shared, "shared")
-    # (token, node, n, pos) of the first shingles that several sets have
-    met = each.select("node", "n", F.posexplode("first").alias("pos", "token")).join(shared, "token").groupBy("token", "node", "n", "pos", "lo", "hi").agg(F.lit(1).alias("one"))
+    # The first shingles that several sets have; a row for each set, not for each of its copies.
+    met = each.select("node", "n", *SKETCH, F.posexplode("first").alias("pos", "token")).join(shared, "token").groupBy("token", "node", "n", "pos", *SKETCH).agg(F.lit(1).alias("one"))
     met = scratch.write(met.drop("one"), "met")
-    scratch.drop("rows", "shared")
-    ends = _pairs(met.where("node = lo or node = hi"), met, F.col("nodex") != F.col("nodey"), num, den)
-    links = _verified(ends, docs, carriers, size, num, den, scratch, "ends")
+    by_index = scratch.write(_index_pairs(each.select("node", "fp"), radius, scratch), "by-index")
+    scratch.drop("rows", "shared", "nodes", "classes", "index-roots")
+    links = _verified(by_index.union(_end_pairs(met, num, den)).distinct(), docs, carriers, size, num, den, scratch, "ends")
     roots = scratch.write(components(spark, links, scratch), "roots")
-    named = scratch.write(met.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    named = scratch.write(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    scratch.drop("met", "by-index")
     # What is left: texts that share a shingle and are in different components.
     mixed = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     left = scratch.write(named.join(mixed, "token"), "left")
-    across = _pairs(left, left, (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")), num, den)
-    rest = _verified(across, docs, carriers, size, num, den, scratch, "rest")
+    scratch.drop("named")
+    rest = _verified(_pairs(left, num, den), docs, carriers, size, num, den, scratch, "rest")
     if rest.head(1):
         roots = scratch.write(components(spark, links.union(rest), scratch), "all-roots")
-    scratch.drop("met", "named", "left", "carriers")
+    scratch.drop("left", "carriers")
     return rows.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 
 
@@ -173,3 +220,23 @@ def alike_documents(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     scratch = Scratch(docs.sparkSession, "alike")
     rows = scratch.write(alike_rows(docs, size, num, den), "rows")
     return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs that stand for their near-duplicate groups, with all their columns: of each group the row with the smallest doc_id.
+
+    Groups are those of texts alike in num/den or more of their shingles. Of several rows with that doc_id in a
+    group one stays; a doc_id whose rows are in different groups can stand for each of them. Rows with a null doc_id
+    cannot be named and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = scratch.write(alike_rows(docs, size, num, den).where("doc_id is not null"), "components")
+    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("lead"))
+    gone = scratch.write(found.join(lead, "root").where(F.struct("doc_id", "key") != F.col("lead")).select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), "gone")
+    d, k = fresh(docs, "__d", "__k")
+    gone = gone.toDF(d, k)
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col(d)) & (_key(F.col("text")) == F.col(k)), "left_anti")
+    if found.groupBy("doc_id", "key").count().where("count > 1").head(1):  # repeated rows
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    return kept

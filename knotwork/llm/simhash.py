@@ -1,14 +1,15 @@
-"""SimHash near-duplicates over a Gray-order hierarchical index (op 3).
-
-Distinct fingerprints are sorted by Gray rank and cut into ranges of equal counts. Nearby Gray ranks
-share many bits, so a run of fingerprints has a mask of bits on which all agree; an upper node holds
-that pattern, a lower node only the bits that its parent does not already fix. A search adds up the
-differences on its way down and drops a whole group as soon as they exceed the radius.
-
-The top of the index (RANGES ranges of NODES nodes: a bound that does not depend on the corpus but for
-very large ones, and then is a range per 65,536 fingerprints) goes to every executor and routes each
-fingerprint to the ranges it can reach. Each range then builds the lower levels for itself. A range
-returns one edge for each linked fingerprint, to the root of its local component, never the pairs.
+"""SimHash near-duplicates over Gray-order hierarchical indexes (op 3).
+
+Two fingerprints at `radius` differing bits agree in one at least of radius + 1 blocks of bits. So each
+fingerprint is dealt out once for each block, by the block's bits: that many copies, however large the corpus.
+A block value that very many fingerprints share is cut again by the blocks of its other bits, and so on; by then
+so few bits are left that a group is bounded.
+
+A task sorts its fingerprints by block value and Gray rank. Neighbours in that order share many bits, so a run of
+them has a mask of bits on which all agree; an upper node holds that pattern, a lower node only the bits that
+its parent does not already fix. A search adds up the differences on its way down and drops a whole group as soon
+as they exceed the radius or touch the block. A task returns one edge for each linked fingerprint, to the root of
+its local component, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import Scratch, batches, components
-from knotwork.llm.jaccard import alike_documents
 
-RANGES, NODES, RANGE_ROWS, FANOUT, ASKING_ROWS = 16, 64, 65_536, 16, 1_000_000
+#: Rows to a task, rows that make a block value crowded, children of a node.
+PART_ROWS, CROWD, FANOUT = 16_384, 32_768, 16
+#: So many crowded block values may be broadcast; more are joined by shuffling.
+MOST_BROADCAST = 200_000
+FULL = (1 << 64) - 1
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -56,34 +60,10 @@ def _pack(ones: np.ndarray, n: int) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Further 64-bit digests from one: a multiplicative finaliser with another offset for each k; 0 gives the digest itself."""
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def signature(text: str | None, size: int = 5, checks: int = 4, seed: int = 42) -> list[int]:
-    """The SimHash of a text's words, repeats included, and `checks` SimHashes of its different shingles; all zero without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * (1 + checks)
-    line, digest, step = b" ".join(words), xxhash.xxh64_intdigest, 1 << 16
-    gaps = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
-    starts, stops = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(line)]
-    ends = stops[size - 1 :] or stops[-1:]
-    by_word, shingles = np.zeros(64, dtype=np.int64), []
-    for at in range(0, len(words), step):
-        by_word += _ones(np.array([digest(w, seed) for w in words[at : at + step]], dtype="<u8"))
-    for at in range(0, len(ends), step):
-        shingles.append(np.array([digest(line[i:j], seed) for i, j in zip(starts[at : at + step], ends[at : at + step], strict=False)], dtype="<u8"))
-    h = np.unique(np.concatenate(shingles))  # as a set: the likeness meant is that of sets
-    by_shingle = [sum(_ones(_mixed(h[at : at + step], k)) for at in range(0, len(h), step)) for k in range(checks)]
-    return [_pack(by_word, len(words)), *[_pack(b, len(h)) for b in by_shingle]]
+def set_fingerprint(digests: np.ndarray) -> int:
+    """SimHash of a set of 64-bit digests; zero for none."""
+    ones = sum((_ones(digests[at : at + (1 << 16)]) for at in range(0, len(digests), 1 << 16)), np.zeros(64, dtype=np.int64))
+    return _pack(ones, len(digests)) if len(digests) else 0
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -95,12 +75,16 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of masked patterns over codes in Gray order; level 0 are the codes themselves."""
+    """Levels of masked patterns over codes in Gray order; level 0 are the codes themselves.
 
-    def __init__(self, codes: np.ndarray, fanout: int = FANOUT):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+    same: bits on which a query and what it finds must agree; codes that agree there stand together.
+    """
+
+    def __init__(self, codes: np.ndarray, same: int = 0, fanout: int = FANOUT):
+        self.same = np.uint64(same)
+        self.order = np.lexsort((gray_rank(codes), codes & self.same))
         self.codes, self.fanout = codes[self.order], fanout
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        full = np.uint64(FULL)
         masks, values, levels = np.full(len(codes), full), self.codes, []
         levels.append([masks, values])
         low_and = low_or = self.codes
@@ -146,8 +130,9 @@ class GrayIndex:
 
     def _near(self, level: int, queries: np.ndarray, q: np.ndarray, node: np.ndarray, gone: np.ndarray, radius: int, labels: np.ndarray, settled: list[np.ndarray]):
         mask, value = self.levels[level]
-        gone = gone + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
-        keep = (gone <= radius) & (settled[level][node] != labels[q])
+        differ = (queries[q] ^ value[node]) & mask[node]
+        gone = gone + np.bitwise_count(differ)
+        keep = (gone <= radius) & (differ & self.same == 0) & (settled[level][node] != labels[q])
         return q[keep], node[keep], gone[keep]
 
 
@@ -164,38 +149,21 @@ def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _links(radius: int, limit: int | None):
-    """Edges (a, b) of node ids for one piece of the index and one block of queries.
-
-    role: 1 is in the index, 2 asks, 3 both. limit: differing bits at most in check, if there is one.
-    """
+def _links(radius: int):
+    """Edges (a, b) of node ids among the rows of one task; all were dealt out by the block `mask`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp, node = rows["fp"].to_numpy().astype(np.int64).view(np.uint64), rows["node"].to_numpy().astype(np.int64)
-        role = rows["role"].to_numpy()
-        check = None if limit is None else np.frombuffer(b"".join(rows["check"]), dtype="<u8").reshape(len(rows), -1)
-        inside = np.flatnonzero(role & 1)
-        none = pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
-        if not len(inside):
-            return none
-        index = GrayIndex(fp[inside])
-        inside = inside[index.order]
-        outside = np.flatnonzero(role == 2)
-        place = np.concatenate([inside, outside])  # the index first, in its order
-        label = np.arange(len(place))
-        asks = np.flatnonzero(role[place] & 2)
+        index = GrayIndex(fp, int(rows["mask"].iloc[0]) & FULL)
+        node, label = node[index.order], np.arange(len(fp))
         # Neighbours in Gray order come together, so a crowd is soon one component and its nodes are passed over.
-        for lo in range(0, len(asks), 512):
-            own = asks[lo : lo + 512]
+        for lo in range(0, len(fp), 512):
+            own = np.arange(lo, min(len(fp), lo + 512))
             settled, mine = index.uniform(label), label[own]
-            for q, found in index.search(fp[place[own]], radius, mine, settled):
-                u = own[q]
-                if check is not None:
-                    near = np.bitwise_count(check[place[u]] ^ check[place[found]]).sum(axis=1) <= limit
-                    u, found = u[near], found[near]
-                label = unite(label, u, found)
-        linked = np.flatnonzero(label != np.arange(len(place)))
-        return pd.DataFrame({"a": node[place[label[linked]]], "b": node[place[linked]]}) if len(linked) else none
+            for q, found in index.search(index.codes[own], radius, mine, settled):
+                label = unite(label, own[q], found)
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        return pd.DataFrame({"a": node[label[linked]], "b": node[linked]})
 
     return run
 
@@ -211,112 +179,50 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _reached(first: np.ndarray, masks: np.ndarray, values: np.ndarray, nodes: list[np.ndarray], radius: int):
-    """A function from fingerprints to (range, number of the fingerprint, whether the range is its own).
-
-    first: smallest Gray rank of each range; masks, values: of all nodes; nodes: node numbers by range. A link
-    is found once: a fingerprint asks in its own range and those after it.
-    """
-    top = [shared_of(masks[n], values[n]) for n in nodes]
-    top_mask, top_value = np.array([m for m, _ in top], dtype=np.uint64), np.array([v for _, v in top], dtype=np.uint64)
-
-    def run(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        home = np.searchsorted(first, gray_rank(fp), side="right") - 1
-        out = [(home, np.arange(len(fp)), np.ones(len(fp), dtype=bool))]
-        for r, n in enumerate(nodes):
-            q = np.flatnonzero((home < r) & (np.bitwise_count((fp ^ top_value[r]) & top_mask[r]) <= radius))
-            near = np.zeros(len(q), dtype=bool)
-            for k in n:
-                near |= np.bitwise_count((fp[q] ^ values[k]) & masks[k]) <= radius
-            q = q[near]
-            out.append((np.full(len(q), r), q, np.zeros(len(q), dtype=bool)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return run
+def blocks(bits: int, n: int) -> list[int]:
+    """The set bits of a mask in n masks of about as many bits each."""
+    at = [b for b in range(64) if bits >> b & 1]
+    return [sum(1 << b for b in at[len(at) * k // n : len(at) * (k + 1) // n]) for k in range(n)]
 
 
-def _dealt(reached, pieces: np.ndarray, blocks: np.ndarray):
-    """Rows for the tasks: each piece of a range's index meets each block of those that ask there."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            fp, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            part, row, own = reached(fp.view(np.uint64))
-            h = _mixed(node.view(np.uint64)[row], 1)
-            piece, block = (h % pieces[part].astype(np.uint64)).astype(np.int64), ((h >> np.uint64(32)) % blocks[part].astype(np.uint64)).astype(np.int64)
-            one = (pieces[part] == 1) & (blocks[part] == 1)
-            out = [(part[one], np.zeros(one.sum(), dtype=np.int64), np.zeros(one.sum(), dtype=np.int64), row[one], np.where(own[one], 3, 2))]
-            for i in np.flatnonzero(~one):  # a crowded range
-                p, b = part[i], None
-                if own[i]:
-                    for b in range(blocks[p]):
-                        if b != block[i]:
-                            out.append(([p], [piece[i]], [b], [row[i]], [1]))
-                for q in range(pieces[p]):
-                    out.append(([p], [q], [block[i]], [row[i]], [3 if own[i] and q == piece[i] else 2]))
-            part, piece, block, row, role = (np.concatenate(x) for x in zip(*out, strict=True))
-            cols = [pa.array(np.asarray(x).astype(np.int32)) for x in (part, piece, block, role)]
-            names = ["part", "piece", "block", "role", "fp", "node"]
-            cols += [pa.array(fp[row]), pa.array(node[row])]
-            if batch.num_columns > 2:
-                cols.append(batch.column(2).take(pa.array(row)))
-                names.append("check")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return run
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def shared_of(masks: np.ndarray, values: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """The pattern that several patterns share."""
-    ones = np.bitwise_and.reduce(values & masks)
-    zeros = np.bitwise_and.reduce(~values & masks)
-    return ones | zeros, ones
+def _dealt(rows: DataFrame, masks: Column) -> DataFrame:
+    """A copy of each row for each of the masks, with the fingerprint's bits there as key."""
+    return rows.select("fp", "node", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def linked_components(classes: DataFrame, radius: int, scratch: Scratch, limit: int | None = None) -> DataFrame:
-    """(node, root) over classes (fp long, node long, and check binary if there is a limit) linked at `radius` differing bits of fp and `limit` of check."""
-    spark = classes.sparkSession
-    rank = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    # Unsigned order as signed order: the top bit is flipped.
-    fps = classes.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("g"))
-    n = fps.count()
-    total = max(RANGES, -(-n // RANGE_ROWS)) * NODES
-    cuts = sorted(set(fps.select(F.percentile_approx("g", [i / total for i in range(1, total)], 20 * total)).first()[0] or []))
-    bounds = np.array(cuts, dtype=np.int64)
-
-    def label(it):
-        for b in it:
-            g = b.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(bounds, g, side="right").astype(np.int32))], names=["fp", "node"])
-
-    tops = fps.mapInArrow(label, "fp long, node int").groupBy("node").agg(F.bit_and("fp").alias("b"), F.bit_or("fp").alias("o")).orderBy("node").collect()  # a row for each node of the upper index
-    if not tops:
-        return fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
-    both, some = (np.array([r[k] for r in tops], dtype=np.int64).view(np.uint64) for k in ("b", "o"))
-    masks = ~(both ^ some)
-    ids = np.array([r["node"] for r in tops])
-    part = ids // NODES
-    nodes = [np.flatnonzero(part == p) for p in np.unique(part)]
-    # A range starts at the cut before its first node, the first range at the smallest rank.
-    low = np.array([bounds[p * NODES - 1] if k else np.iinfo(np.int64).min for k, p in enumerate(np.unique(part))], dtype=np.int64)
-    reached = _reached(low.view(np.uint64) ^ np.uint64(1 << 63), masks, both & masks, nodes, radius)
-
-    def tally(it):
-        for b in it:
-            p, _, own = reached(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array(np.bincount(p[own], minlength=len(nodes)).astype(np.int64)), pa.array(np.bincount(p, minlength=len(nodes)).astype(np.int64))], names=["part", "inside", "asking"])
+def routed(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, node, mask, key) of classes (fp long, node long): any two at `radius` differing bits or fewer meet under one mask and key at least.
 
-    counts = {r["part"]: r for r in classes.select("fp").mapInArrow(tally, "part int, inside long, asking long").groupBy("part").agg(F.sum("inside").alias("i"), F.sum("asking").alias("q")).collect()}  # a row for each range
-    # Ranges are about alike; one that many equal ranks crowd is cut, and so are those who ask there.
-    pieces = np.array([max(1, -(-counts[p]["i"] // (2 * RANGE_ROWS))) for p in range(len(nodes))], dtype=np.int64)
-    blocks = np.array([max(1, -(-counts[p]["q"] // ASKING_ROWS)) for p in range(len(nodes))], dtype=np.int64)
-    routed = classes.select("fp", "node", *(["check"] if limit is not None else []))
-    schema = "part int, piece int, block int, role int, fp long, node long" + (", check binary" if limit is not None else "")
-    routed = routed.mapInArrow(_dealt(reached, pieces, blocks), schema)
-    edges = routed.groupBy("part", "piece", "block").applyInPandas(_links(radius, limit), "a long, b long")
-    return components(spark, edges, scratch)
+    radius + 1 copies of each; of those under a crowded key radius + 1 for each copy. After three rounds two fingerprints
+    under one key have but 19 bits to differ in (at radius 2).
+    """
+    level = blocks(FULL, radius + 1)
+    rows, out = _dealt(classes, F.array(*[F.lit(_signed(m)) for m in level])), []
+    for turn in range(3):
+        crowded = scratch.write(rows.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key"), f"crowded-{turn}")
+        if not (n := crowded.count()):
+            break
+        crowded = F.broadcast(crowded) if n <= MOST_BROADCAST else crowded
+        out.append(rows.join(crowded, ["mask", "key"], "left_anti").select("fp", "node", "mask", "key"))
+        finer = {m: [m | x for x in blocks(FULL & ~m, radius + 1)] for m in level}
+        level = list(dict.fromkeys(x for xs in finer.values() for x in xs))
+        lookup = F.create_map(*[v for m, xs in finer.items() for v in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in xs]))])
+        rows = _dealt(rows.join(crowded, ["mask", "key"], "left_semi"), lookup[F.col("mask")])
+    for more in out:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def linked_components(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(node, root) over classes (fp long, node long) linked at `radius` differing bits of fp or fewer."""
+    parts = max(1, -(-classes.count() * (radius + 1) // PART_ROWS))
+    rows = routed(classes, radius, scratch).withColumn("part", F.pmod(F.xxhash64("mask", "key"), F.lit(parts)))
+    edges = rows.select("fp", "node", "mask", "part").groupBy("mask", "part").applyInPandas(_links(radius), "a long, b long")
+    return components(classes.sparkSession, edges, scratch)
 
 
 def simhash_dedup(docs: DataFrame, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -340,52 +246,3 @@ def simhash_dedup(docs: DataFrame, size: int = 3, radius: int = 2, seed: int = 4
     ids = scratch.write(named.join(lows, "root").select("fp", "component_id"), "ids")
     scratch.drop("classes", "roots", "named", "lows")
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, limit: int = 48, checks: int = 4) -> DataFrame:
-    """(doc_id, component_id): groups of documents that are alike in about four fifths of their five-word shingles.
-
-    SimHashes of shingles differ in ten bits or more at that likeness, too many for an index. The words of two
-    such texts are nearly the same, so their word SimHashes differ in `radius` bits at most: those go into
-    the index. Texts of one language come near each other there as well; a pair is only linked if the shingles'
-    256 bits differ in `limit` at most (39 are to be expected at a Jaccard similarity of 0.8, 59 at 0.6). Null and
-    empty texts are alike. Rows and nulls count as in simhash_dedup.
-    """
-    scratch = Scratch(docs.sparkSession, "near")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = np.array([signature(t, size, checks) for t in b.column(1).to_pylist()], dtype="<u8").reshape(b.num_rows, 1 + checks)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[:, 0].copy().view(np.int64)), pa.array([r.tobytes() for r in rows[:, 1:]], type=pa.binary())], names=["doc_id", "fp", "check"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with batches(docs.sparkSession, 256):
-        each = scratch.write(texts.mapInArrow(run, "doc_id long, fp long, check binary").withColumn("node", F.xxhash64("fp", "check")), "signatures")
-    classes = scratch.write(each.groupBy("fp", "check", "node").agg(F.min("doc_id").alias("low")), "classes")
-    with batches(docs.sparkSession, 20_000):
-        roots = scratch.write(linked_components(classes.select("fp", "node", "check"), radius, scratch, limit), "roots")
-    named = scratch.write(classes.select(F.col("node").alias("n"), "low").join(roots, F.col("n") == F.col("node"), "left").select("n", "low", F.coalesce("root", "n").alias("root")), "named")
-    lows = scratch.write(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    ids = scratch.write(named.join(lows, "root").select(F.col("n").alias("node"), "component_id"), "ids")
-    scratch.drop("classes", "roots", "named", "lows")
-    return each.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
-
-
-#: So many ids, eight bytes each, may be broadcast; a longer list is joined by shuffling.
-MOST_BROADCAST = 1_000_000
-
-
-def keep_representatives(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs that stand for their near-duplicate groups, with all their columns: of each group the row with the smallest doc_id.
-
-    Groups are those of texts alike in num/den or more of their shingles (jaccard.py). Of repeated rows that share
-    a doc_id one stays. Rows with a null doc_id cannot be named and stay.
-    """
-    scratch = Scratch(docs.sparkSession, "representatives")
-    found = scratch.write(alike_documents(docs, size, num, den), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept

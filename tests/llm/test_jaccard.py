@@ -3,8 +3,7 @@ import collections
 import numpy as np
 
 from knotwork.llm import jaccard
-from knotwork.llm.jaccard import alike_documents
-from knotwork.llm.simhash import keep_representatives
+from knotwork.llm.jaccard import LONGS, alike_documents, keep_representatives, parity, shingles
 
 
 def grams(text, size=5):
@@ -71,3 +70,37 @@ def test_tables(spark, documents, odd_docs, no_docs):
     for df in (documents, odd_docs):
         assert found(df) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
     assert found(no_docs) == []
+
+
+def test_parity_bounds_what_differs():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        words = [str(w) for w in rng.integers(0, 300, 400)]
+        other = [w if rng.random() > 0.05 else "x" for w in words]
+        x, y = shingles(" ".join(words)), shingles(" ".join(other))
+        bits = sum(a.bit_count() for a in (np.frombuffer(parity(x), dtype=np.uint8) ^ np.frombuffer(parity(y), dtype=np.uint8)).tolist())
+        assert len(parity(x)) == 8 * LONGS and bits <= len(np.setxor1d(x, y))
+
+
+def test_recall_on_the_tables_pairs(spark):
+    """All pairs of 0.8 or more among the 958 texts of fifty words or more end up in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert found(docs) == brute(rows)
+
+
+def test_representatives(spark, odd_docs, no_docs):
+    kept = keep_representatives(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    want = sorted({c for d, c in brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()]) if d is not None})
+    assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 2
+    assert keep_representatives(no_docs).collect() == []
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join(words), "quite another text of its own that nothing else is like"
+    rows = [(3, near, 1), (5, near + " more", 2), (5, other, 3), (5, other, 4)]
+    kept = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, __d int"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, near), (5, other)]

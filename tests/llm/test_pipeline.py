@@ -1,8 +1,7 @@
 import corpus_pipeline
 from knotwork.llm.decontaminate import decontaminate
-from knotwork.llm.simhash import signature
-from tests.llm.test_simhash import alike, joined_groups
 from knotwork.llm.toxicity import score_toxicity
+from tests.llm.test_jaccard import brute
 
 
 def test_stages(spark, sf, documents):
@@ -19,7 +18,7 @@ def test_stages(spark, sf, documents):
     assert ids(out["toxicity"]) == ids(documents) - toxic
     texts = [(r["doc_id"], r["text"]) for r in out["toxicity"].select("doc_id", "text").collect()]
     kept = ids(out["near_dedup"])
-    assert kept == {low for _, low in joined_groups([(d, signature(t)) for d, t in texts], alike)}
+    assert kept == {low for _, low in brute(texts)}
     dirty = {r["doc_id"] for r in decontaminate(out["near_dedup"], spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
     assert ids(out["decontamination"]) == kept - dirty
     assert ids(out["sharding"]) <= ids(out["decontamination"]) and out["sharding"].count() == out["mixing"].count()

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from knotwork.llm import simhash
-from knotwork.llm.simhash import GrayIndex, fingerprint, gray_rank, keep_representatives, near_duplicates, signature, simhash_dedup, unite
+from knotwork.llm.common import Scratch
+from knotwork.llm.simhash import GrayIndex, blocks, fingerprint, gray_rank, routed, set_fingerprint, simhash_dedup, unite
 
 
 def plain(text, size=3):
@@ -39,10 +40,6 @@ def groups(prints, radius=2):
     return [(d, f, low) for (d, f), (_, low) in zip(prints, found, strict=True)]
 
 
-def alike(a, b, radius=4, limit=48):
-    return (a[0] ^ b[0]).bit_count() <= radius and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= limit
-
-
 def key(r):
     return (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
 
@@ -96,57 +93,44 @@ def test_a_crowd_of_near_copies(spark):
     assert sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash_dedup(df).collect()) == sorted(want)
 
 
-def test_crowded_ranges_are_cut(spark, documents, monkeypatch):
-    """Small pieces and blocks give what one task would."""
+def test_index_finds_only_what_agrees_in_the_block():
+    rng = np.random.default_rng(6)
+    codes = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
+    same = 0b111000
+    index = GrayIndex(codes, same)
+    none = [np.full(len(m), -1) for m, _ in index.levels]
+    got = {(int(a), int(b)) for q, c in index.search(index.codes, 2, np.arange(len(codes)), none) for a, b in zip(q, c, strict=True)}
+    far = np.bitwise_count(index.codes[:, None] ^ index.codes[None, :])
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero((far <= 2) & ((index.codes[:, None] ^ index.codes[None, :]) & np.uint64(same) == 0)), strict=True)}
+
+
+def test_blocks():
+    for n in (1, 2, 3, 4, 7):
+        found = blocks(2**64 - 1, n)
+        assert sum(found) == 2**64 - 1 and all(a & b == 0 for a in found for b in found if a is not b) and max(f.bit_count() for f in found) - min(f.bit_count() for f in found) <= 1
+    assert sum(blocks(0b1011, 3)) == 0b1011
+
+
+def test_crowded_block_values_are_cut(spark, documents, monkeypatch):
+    """Small tasks and very low limits give what one task would."""
     rows = [(r["doc_id"], plain(r["text"])) for r in documents.collect()]
-    monkeypatch.setattr(simhash, "RANGE_ROWS", 4)
-    monkeypatch.setattr(simhash, "RANGES", 2)
-    monkeypatch.setattr(simhash, "NODES", 4)
-    monkeypatch.setattr(simhash, "ASKING_ROWS", 5)
-    assert sorted((r["doc_id"], r["component_id"]) for r in simhash_dedup(documents, radius=4).collect()) == sorted((d, c) for d, _, c in groups(rows, 4))
-
-
-def test_signatures():
-    assert signature(None) == signature(" \n") == [0] * 5
-    words = "One two  three four five six one".lower().split()
-    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    assert signature("One two  three\tfour five six one")[0] == want
-    grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(3)}
-    assert signature("One two  three\tfour five six one")[1] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in grams) > len(grams))
-    assert len(set(signature("a b c d e f g")[1:])) == 4
-
-
-def test_near_duplicates(spark, documents, odd_docs, no_docs):
-    for df in (documents, odd_docs):
-        rows = [(r["doc_id"], signature(r["text"])) for r in df.collect()]
-        got = sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=repr)
-        assert got == sorted(joined_groups(rows, alike), key=repr)
-    assert near_duplicates(no_docs).collect() == []
-
-
-def test_a_few_changed_words_are_caught_and_other_texts_stay(spark):
-    rng = np.random.default_rng(2)
-    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)] + ["the", "of", "and"] * 400
-    rows = []
-    for i in range(60):
-        words = list(rng.choice(vocabulary, 300))
-        rows.append((i, " ".join(words)))
-        for k in range(2):
-            changed = list(words)
-            for at in rng.choice(300, 3, replace=False):
-                changed[at] = str(rng.choice(vocabulary))
-            rows.append((1000 + 2 * i + k, " ".join(changed)))
-    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    caught = sum(r["component_id"] == (r["doc_id"] - 1000) // 2 for r in found if r["doc_id"] >= 1000)
-    assert caught >= 114 and all(r["component_id"] == r["doc_id"] for r in found if r["doc_id"] < 1000)
-
-
-def test_representatives(spark, odd_docs, no_docs):
-    kept = keep_representatives(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    want = {d for d, c in joined_groups([(r["doc_id"], signature(r["text"])) for r in odd_docs.collect()], alike) if d is not None and d == c}
-    assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want)
-    assert ids.count(None) == 2
-    assert keep_representatives(no_docs).collect() == []
+    monkeypatch.setattr(simhash, "PART_ROWS", 16)
+    for crowd, most in ((1, 200_000), (2, 0)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        assert sorted((r["doc_id"], r["component_id"]) for r in simhash_dedup(documents, radius=4).collect()) == sorted((d, c) for d, _, c in groups(rows, 4))
+
+
+def test_copies_of_a_fingerprint_do_not_grow(spark, monkeypatch):
+    """radius + 1 copies at any number of fingerprints and tasks."""
+    for n in (500, 4000):
+        codes = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)
+        df = spark.createDataFrame([(int(c), int(c)) for c in codes], "fp long, node long")
+        for part in (64, 1024):
+            monkeypatch.setattr(simhash, "PART_ROWS", part)
+            assert routed(df, 2, Scratch(spark, "t")).count() == 3 * n
+
+
+def test_set_fingerprints():
+    h = np.array([xxhash.xxh64_intdigest(str(i).encode(), 1) for i in range(101)], dtype=np.uint64)
+    assert set_fingerprint(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)) and set_fingerprint(h[:0]) == 0
