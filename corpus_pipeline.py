@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm.common import Scratch
 from knotwork.llm.decontaminate import keep_uncontaminated
+from knotwork.llm.jaccard import keep_representatives
 from knotwork.llm.mixing import mixed_documents
 from knotwork.llm.shards import sharded
-from knotwork.llm.simhash import keep_representatives
 from knotwork.llm.toxicity import keep_clean
 
 
