@@ -1,6 +1,10 @@
+import collections
 import hashlib
+import math
 import re
+import time
 
+from knotwork.llm import pii
 from knotwork.llm.pii import find_personal, personal_spans, sanitise
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -47,18 +51,72 @@ def test_whole_table(spark, documents):
     check(documents)
 
 
-def test_words_that_reveal_are_added_and_base_stays(spark):
-    rows = [(i, f"filler words {i} here and there; the Zanzibar office writes to jo@ex.org again number {i}") for i in range(6)]
-    rows += [(100 + i, f"filler words {i} here and there; the office writes again number {i} and more") for i in range(60)]
+def spans_by_brute_force(rows, alpha=0.9, support=2):
+    """{(doc_id, text): spans} of rows (doc_id, text), by counting everything."""
+    told, n = [], len(rows)
+    for d, t in rows:
+        base = [(m.start(), k, m.end(), m.group()) for k, kind in enumerate(BASE) for m in re.finditer(BASE[kind], t or "") if KEEP[kind](m.group())]
+        masked = re.sub(BASE["email"], lambda m: " " * len(m.group()), t or "")
+        found = [(m.start(), 4, m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", masked)]
+        ents = {f"{k}:{re.sub('[ ().-]', '', m.lower())}" for _, k, _, m in base}
+        told.append((d, t or "", base, found, ents, {w[3] for w in found}))
+    ce, ct, both = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for _, t, _, _, ents, words in told:
+        ce.update(ents)
+        ct.update(words)
+        for e in ents:
+            for w in words:
+                both[e, w].append(t)
+    reveals = {w for (e, w), ts in both.items() if len(set(ts)) >= support and ce[e] < n and math.log2(len(ts) * n / (ce[e] * ct[w])) >= alpha * math.log2(n / ce[e]) - 1e-12}
+    names = [*BASE, "term"]
+    return {(d, t): ",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in sorted([*base, *[w for w in found if w[3] in reveals]])) for d, t, base, found, _, _ in told}
+
+
+def revealing():
+    """A name far from the address and in a text without it; words of several entities; common words."""
+    gap = "and so on with many words between that are in each and every text of the lot, " * 4
+    rows = [(i, f"Zanzibar wrote {gap} filler {i} to jo@ex.org and jo@ex.org") for i in range(6)]
+    rows += [(50 + i, f"{gap} filler {i} the Quokka team at +1 (234) 567-890{i % 2} or 10.0.0.{i % 3}") for i in range(8)]
+    rows += [(70, "Zanzibar stands here alone, no address by it"), (71, "quokka QUOKKA ÉQUOKKA ééa@b.cd/quokka@b.cd"), (71, "quokka QUOKKA ÉQUOKKA ééa@b.cd/quokka@b.cd"), (None, "Zanzibar again"), (72, None), (73, "")]
+    return rows + [(100 + i, f"{gap} filler {i % 9} number {i}") for i in range(200)]
+
+
+def test_words_that_reveal_wherever_they_stand(spark):
+    rows = revealing()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in personal_spans(df).collect()}
-    for i, t in rows[:6]:
-        spans = got[i]["spans"].split(",")
-        at = t.index("Zanzibar")
-        assert f"term:{at}:{at + 8}" in spans and brute(t)[1] in spans and not any(s.startswith(f"term:{t.index('office')}:") for s in spans)
-    assert all(got[i]["spans"] == "" for i, _ in rows[6:])
+    found = find_personal(df)
+    got = {(r["doc_id"], r["h"]): r["spans"] for r in found.select("doc_id", "h", pii._joined(found["spans"]).alias("spans")).collect()}
+    key = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()}
+    want = spans_by_brute_force(rows)
+    assert got == {(d, key[d, t]): v for (d, t), v in want.items()}
+    assert want[70, rows[14][1]].startswith("term:0:8") and "term" in want[0, rows[0][1]] and "term" not in want[100, rows[20][1]]
     clean = {r["doc_id"]: r["text"] for r in sanitise(df).collect()}
-    assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "Zanzibar" not in clean[0] and clean[100] == rows[6][1]
+    assert clean[70].startswith("[TERM] stands") and "Zanzibar" not in clean[0] + clean[None] and clean[0].endswith("[EMAIL] and [EMAIL]")
+
+
+def test_terms_of_the_table(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    want = spans_by_brute_force(rows)
+    assert {r["doc_id"]: r["spans"] for r in personal_spans(documents).collect()} == {d: v for (d, _), v in want.items()}
+
+
+def test_very_long_texts_in_linear_time(spark):
+    """100,000 addresses, and as many of each other kind, in one text."""
+    n = 100_000
+    texts = [" ".join(f"a{i}@b{i}.cd" for i in range(n)), " ".join(f"10.{i % 200}.3.4" for i in range(n)), " ".join(f"+1 234 567 {i:05d};" for i in range(n)), "4111 1111 1111 1111, " * 20_000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in personal_spans(df.where("doc_id < 4")).collect()}
+    assert time.time() - began < 60
+    assert [(rows[k]["n_email"], rows[k]["n_ip"], rows[k]["n_phone"]) for k in range(3)] == [(n, 0, 0), (0, n, 0), (0, 0, n)]
+    for k, t in enumerate(texts):
+        assert rows[k]["base_sha256"] == brute(t)[0][-1]
+
+
+def test_overlapping_spans_become_one(spark):
+    text = "𝒳 +378282246310005 x 4111 1111 1111 1111; 1.2.3.4111111111111111 a@b.cd"
+    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, __cuts string")
+    assert sanitise(df).first()["text"] == "𝒳 [PHONE] x [CARD]; 1.2.3.[CARD] [EMAIL]" and sanitise(df).columns == df.columns
 
 
 def test_sanitised_text_and_columns(spark, odd_docs):
