@@ -50,8 +50,9 @@ def mask(turns: Column) -> Column:
 def format_pairs(pairs: DataFrame) -> DataFrame:
     """pairs with prompt_turns, prompt, chosen_text, rejected_text, chosen_mask and rejected_mask.
 
-    pairs holds chosen and rejected as array<struct<role, text>>; its other columns stay. Equal conversations
-    have empty completions; a null conversation counts as one without turns.
+    pairs holds chosen and rejected as array<struct<role, text>>; its other columns stay, but for those of the six
+    names, which are replaced. Equal conversations have empty completions; a null conversation counts as one without turns.
+    An empty table gives an empty one.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     c, r = F.coalesce("chosen", none), F.coalesce("rejected", none)
@@ -62,20 +63,26 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def paired_by_number(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, chosen, rejected): conversations 2n and 2n + 1 as chosen and rejected; one without the other gives no row."""
-    convs = gather_turns(turns)
-    pair = F.floor(F.col("conv_id") / 2)
-    return (
-        convs.groupBy(pair.alias("pair_id"))
-        .agg(F.max_by("turns", F.when(F.pmod("conv_id", F.lit(2)) == 0, F.col("conv_id"))).alias("chosen"), F.max_by("turns", F.when(F.pmod("conv_id", F.lit(2)) == 1, F.col("conv_id"))).alias("rejected"), F.count("*").alias("n"))
-        .where("n = 2")
-        .select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"), "chosen", "rejected")
-    )
+def last_answer(turns: Column) -> Column:
+    """Number from 1 of the speaker's last turn; of the last turn if there is none."""
+    own = F.transform(turns, lambda t, i: F.when(t["role"] == SPEAKER, i + 1))
+    return F.coalesce(F.array_max(own), F.size(turns))
+
+
+def paired_with_other_answers(turns: DataFrame) -> DataFrame:
+    """(pair_id, other_id, chosen, rejected): each conversation as chosen, and with another's last answer in the place of its own as rejected.
+
+    The other one is that of conversations 2n and 2n + 1; where it is missing, other_id is null and the answer is empty. What
+    follows the last answer is no part of rejected. A row for each conversation.
+    """
+    convs = gather_turns(turns).withColumn("at", last_answer(F.col("turns")))
+    answers = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("conv_id").alias("other_id"), F.get("turns", F.col("at") - 1)["text"].alias("answer"))
+    other = F.array(F.struct(F.lit(SPEAKER).alias("role"), F.coalesce("answer", F.lit("")).alias("text")))
+    return convs.join(answers, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), "other_id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), other).alias("rejected"))
 
 
 def preference_rows(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask) of turns (conv_id, turn, role, text, ...); masks as start:end, comma-joined. Repeated turns all stay; an empty table gives none."""
-    rows = format_pairs(paired_by_number(turns))
+    """(pair_id, other_id, prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask) of turns (conv_id, turn, role, text, ...); masks as start:end, comma-joined. Repeated turns all stay; an empty table gives none."""
+    rows = format_pairs(paired_with_other_answers(turns))
     spans = lambda m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return rows.select("pair_id", "chosen_id", "rejected_id", F.col("prompt_turns").cast("int").alias("prompt_turns"), "prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"), spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
+    return rows.select("pair_id", "other_id", F.col("prompt_turns").cast("int").alias("prompt_turns"), "prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"), spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))

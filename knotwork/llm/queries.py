@@ -118,10 +118,11 @@ ORACLE_SQL: dict[str, str] = {
     "op2_preference_format": f"""
         WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) t
                    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
-             p AS (SELECT a.conv_id c, a.t x, b.t y FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
-             q AS (SELECT c, x, y, coalesce(list_min(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1])), least(len(x), len(y))) n FROM p),
-             r AS (SELECT c, n, x[1:n] h, x[n + 1:] x, y[n + 1:] y FROM q)
-        SELECT c // 2 AS pair_id, c AS chosen_id, c + 1 AS rejected_id, n::INT AS prompt_turns, {_turns("h")} AS prompt, {_turns("x")} AS chosen, {_turns("y")} AS rejected,
+             l AS (SELECT conv_id, t, coalesce(list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')), len(t)) k FROM c),
+             p AS (SELECT a.conv_id c, b.conv_id o, a.t x, list_append(a.t[1:a.k - 1], {{'role': 'assistant', 'text': coalesce(b.t[b.k].text, '')}}) y FROM l a LEFT JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+             q AS (SELECT c, o, x, y, coalesce(list_min(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1])), least(len(x), len(y))) n FROM p),
+             r AS (SELECT c, o, n, x[1:n] h, x[n + 1:] x, y[n + 1:] y FROM q)
+        SELECT c AS pair_id, o AS other_id, n::INT AS prompt_turns, {_turns("h")} AS prompt, {_turns("x")} AS chosen, {_turns("y")} AS rejected,
                {_mask("x")} AS chosen_mask, {_mask("y")} AS rejected_mask FROM r""",
     "op4_bloom_cascade": f"""
         WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
