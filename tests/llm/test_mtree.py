@@ -5,7 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from knotwork.llm.mtree import Search, Space, build_subtree, mtree_top_k
+from knotwork.llm import mtree
+from knotwork.llm.mtree import Search, Space, Subtree, build_subtree, mtree_top_k
 
 
 def brute(rows, k):
@@ -52,10 +53,45 @@ def test_subtree_search_is_exact_and_skips_distances(n, dim, seed):
     rng = np.random.default_rng(seed)
     x = np.floor(rng.normal(size=(n, dim)) * 3)
     q = np.floor(rng.normal(size=(4, dim)) * 3)
-    space = Space(dim, float((x * x).sum(1).max()))
-    s = Search(space, np.arange(-4, 0), q, 5, np.full(4, -np.inf))
-    s.feed(build_subtree(space, np.arange(n), x))
+    space = Space(dim, float((x * x).sum(1).max()), float((q * q).sum(1).max()))
+    s = Search(space, np.arange(-4, 0), q.astype(np.int64), 5, np.full(4, -np.inf))
+    pivots = x[:2]
+    trees = [Subtree({"pivot": k % 2, **build_subtree(space, ids, x[ids].astype(np.int64), pivots[k % 2 % len(pivots)])}, dim) for k, ids in enumerate(np.array_split(np.arange(n), 3)) if len(ids)] if n > 1 else [Subtree({"pivot": 0, **build_subtree(space, np.arange(n), x.astype(np.int64), pivots[0])}, dim)]
+    to_pivot = s.distance(s.q @ pivots.T, np.arange(4)[:, None])
+    s.feed(trees, to_pivot, np.ones(to_pivot.shape, dtype=bool))
     for i in range(4):
         order = np.lexsort((np.arange(n), -(x @ q[i])))[:5]
         assert s.best[i][1].tolist() == order.tolist()
     assert s.computed <= 4 * (n + n // 64 + 64)
+
+
+def test_scores_beyond_floats_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1e5, 1e5 + 1 / 128, -3e4, 77.25]) for _ in range(8)]) for i in range(300)]
+    assert max(r[3] for r in run(spark, rows)) > 2**53 and run(spark, rows) == brute(rows, 10)
+
+
+def test_many_pivots_and_groups_of_subtrees(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(3 * (i % 5), 1) for _ in range(4)]) for i in range(900)]
+    want = brute(rows, 10)
+    for subtree, queued, block in ((16, 2, 4), (64, 64, 2048)):
+        monkeypatch.setattr(mtree, "SUBTREE", subtree)
+        monkeypatch.setattr(mtree, "QUEUED", queued)
+        monkeypatch.setattr(mtree, "QUERY_BLOCK", block)
+        assert run(spark, rows) == want
+
+
+def test_most_distances_are_never_computed():
+    """Clustered vectors: the bounds leave most pages unread."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(40, 16)) * 3000
+    x = np.floor(np.concatenate([m + rng.normal(size=(100, 16)) * 50 for m in middles])).astype(np.int64)
+    space = Space(16, float((x.astype(float) ** 2).sum(1).max()), float((x.astype(float) ** 2).sum(1).max()))
+    s = Search(space, np.arange(-20, 0), x[::200][:20], 10, np.full(20, -np.inf))
+    trees = [Subtree({"pivot": 0, **build_subtree(space, np.arange(k, k + 500), x[k : k + 500], x[0].astype(float))}, 16) for k in range(0, 4000, 500)]
+    to_pivot = s.distance(s.q @ x[:1].T.astype(float), np.arange(20)[:, None])
+    s.feed(trees, to_pivot, np.ones((20, 1), dtype=bool))
+    assert s.computed < 20 * len(x) / 2
+    for i in range(20):
+        assert s.best[i][1].tolist() == np.lexsort((np.arange(len(x)), -(x @ x[::200][i])))[:10].tolist()
