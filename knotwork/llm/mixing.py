@@ -4,20 +4,26 @@ Documents are summed by membership pattern (the set of sources that hold them).
 the words of each pattern to its sources' quotas; the words of a pattern can be used once at no cost, and
 each repetition costs more than the one before, so repetition spreads evenly before it deepens. What the
 flow takes of a pattern becomes whole passes over its documents and a seeded selection for the rest.
+
+Patterns and sources stay in tables, however many there are. A source that no pattern shares with another needs no search:
+its flow is its target. Others fall into components that share no source with each other, and each component's
+network is solved by itself, in a task.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.llm.common import Scratch, parts
+from knotwork.llm.common import Scratch, components, fresh, parts
 
 GAP = r"[\x20\x09-\x0D]+"
+#: So many patterns or sources may be broadcast; more are joined by shuffling.
+MOST_BROADCAST = 100_000
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -25,133 +31,190 @@ def word_count(text: F.Column) -> F.Column:
     return parts(text, GAP)
 
 
-def weights_in_order(sources: Sequence[str | None], weights: Sequence[float] = (5, 2, 1)) -> dict[str | None, float]:
-    """Weights dealt to sources by code point, null last, repeating."""
-    order = sorted((s for s in sources if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sources)
-    return {s: weights[i % len(weights)] for i, s in enumerate(order)}
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def weighted(sources: DataFrame, weights: Sequence[float] | dict, scratch: Scratch) -> DataFrame:
+    """sources (s, size) with weight: given by name, or dealt out by code point, null last, repeating."""
+    if isinstance(weights, dict):
+        table = sources.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "n string, weight double")
+        return sources.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("n"))).select("s", "size", "weight")
+    # Places in order: those within a range, after the counts of the ranges before it.
+    ranged = scratch.write(sources.repartitionByRange(F.col("s").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # a row for each range
+    before = F.create_map(*[x for p in sorted(counts) for x in (F.lit(p), F.lit(sum(n for q, n in counts.items() if q < p)))]) if counts else F.create_map(F.lit(0), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(F.col("s").asc_nulls_last())) - 1 + before[F.col("part")]
+    by = F.array(*[F.lit(float(w)) for w in weights])
+    return ranged.select("s", "size", F.get(by, F.pmod(at, F.lit(len(weights))).cast("int")).alias("weight"))
 
 
-def targets(sizes: dict, weights: dict, total: float | None = None, most: float = 3.0) -> dict:
-    """Words wanted of each source: total by weight, at most `most` times the source's size, the excess dealt out again by weight until none is above."""
-    left, open_, out = float(sum(sizes.values()) if total is None else total), [s for s in sizes], {}
-    while open_:
-        w = sum(weights[s] for s in open_)
-        above = [s for s in open_ if left * weights[s] > most * sizes[s] * w]
-        if not above:
-            out |= {s: left * weights[s] / w for s in open_}
+def targets(sources: DataFrame, total: int, most: int, scratch: Scratch) -> DataFrame:
+    """sources (s, size, weight) with target: total by weight, at most `most` times the source's size, the excess dealt out again by weight until none is above.
+
+    A source is capped once its share is above its cap, and shares only grow; so each round looks at sums, and the last two agree.
+    """
+    sources = scratch.write(sources, "weighted")
+    share, capped = 0.0, -1  # words for a weight of 1, number of capped sources
+    while True:
+        above = F.col("weight") * F.lit(share) > F.col("size") * most
+        n, left, w = sources.select(F.count(F.when(above, 1)), F.lit(total) - F.coalesce(F.sum(F.when(above, F.col("size") * most)), F.lit(0)), F.sum(F.when(~above, F.col("weight")))).first()
+        if n == capped or not w:
             break
-        for s in above:
-            out[s] = float(most * sizes[s])
-        left -= sum(out[s] for s in above)
-        open_ = [s for s in open_ if s not in out]
-    return out
+        share, capped = float(left) / w, n
+    return sources.withColumn("target", F.least(F.col("weight") * F.lit(share), (F.col("size") * most).cast("double")))
 
 
 def min_cost_flow(supply: dict[tuple, int], wanted: dict, passes: int) -> dict[tuple, dict]:
-    """Words that each pattern gives to each of its sources: {pattern: {source: words}}.
+    """Words that each pattern gives to each of its sources: {pattern: {source: words}}, the k-th pass over a pattern's words at cost k * k.
 
-    Successive shortest paths with potentials over start -> pattern (a parallel edge for each pass, the
-    k-th at cost k * k) -> source -> end. Capacities are whole words, so the result is exact and the same
-    each time.
+    The amounts that patterns can send are the independent vectors of a polymatroid, and costs lie on the patterns alone and
+    rise with each pass; so filling cheapest first is optimal: a largest flow with one pass of each pattern, then from
+    there the largest with two, and so on, a pattern's amount never shrinking (Dinic's blocking flows). Capacities are
+    whole words, so the result is exact and the same each time.
     """
     patterns, sources = sorted(supply, key=repr), sorted(wanted, key=repr)
     number = {("p", p): i + 2 for i, p in enumerate(patterns)} | {("s", s): i + 2 + len(patterns) for i, s in enumerate(sources)}
     graph: list[list[int]] = [[] for _ in range(2 + len(number))]
-    to, room, cost = [], [], []
+    to, room = [], []
 
-    def edge(a: int, b: int, cap: int, price: int) -> int:
-        for x, y, c, w in ((a, b, cap, price), (b, a, 0, -price)):
+    def edge(a: int, b: int, cap: int) -> int:
+        for x, y, c in ((a, b, cap), (b, a, 0)):
             graph[x].append(len(to))
             to.append(y)
             room.append(c)
-            cost.append(w)
         return len(to) - 2
 
-    inner = {}
-    for p in patterns:
-        for k in range(passes):
-            edge(0, number["p", p], supply[p], k * k)
-        for s in p:
-            if s in wanted:
-                inner[p, s] = edge(number["p", p], number["s", s], passes * supply[p], 0)
+    outer = {p: edge(0, number["p", p], 0) for p in patterns}
+    inner = {(p, s): edge(number["p", p], number["s", s], passes * supply[p]) for p in patterns for s in p if s in wanted}
     for s in sources:
-        edge(number["s", s], 1, round(wanted[s]), 0)
-    high = [0] * len(graph)
-    while True:
-        dist, via, heap = [float("inf")] * len(graph), [-1] * len(graph), [(0, 0)]
-        dist[0] = 0
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for e in graph[u]:
-                if room[e] > 0 and (nd := d + cost[e] + high[u] - high[to[e]]) < dist[to[e]]:
-                    dist[to[e]], via[to[e]] = nd, e
-                    heapq.heappush(heap, (nd, to[e]))
-        if via[1] < 0:
-            break
-        high = [h + d if d < float("inf") else h for h, d in zip(high, dist, strict=True)]
-        path, u = [], 1
-        while u:
-            path.append(via[u])
-            u = to[via[u] ^ 1]
-        step = min(room[e] for e in path)
-        for e in path:
-            room[e] -= step
-            room[e ^ 1] += step
+        edge(number["s", s], 1, round(wanted[s]))
+    for _ in range(passes):
+        for p, e in outer.items():
+            room[e] += supply[p]
+        while _blocking_flow(graph, to, room):
+            pass
     out: dict[tuple, dict] = {p: {} for p in patterns}
     for (p, s), e in inner.items():
         out[p][s] = room[e ^ 1]
     return out
 
 
-def mix(docs: DataFrame, members: str = "members", weights: Sequence[float] | dict = (5, 2, 1), passes: int = 3, seed: int = 7, most_patterns: int = 100_000) -> tuple[DataFrame, dict, dict]:
-    """(docs with size and copies, sizes by source, targets by source).
+def _blocking_flow(graph: list[list[int]], to: list[int], room: list[int]) -> bool:
+    """One round of Dinic from node 0 to node 1; False if no path is left."""
+    level, front = [-1] * len(graph), [0]
+    level[0] = 0
+    while front and level[1] < 0:
+        after = []
+        for u in front:
+            for e in graph[u]:
+                if room[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    after.append(to[e])
+        front = after
+    if level[1] < 0:
+        return False
+    turn, path, u = [0] * len(graph), [], 0
+    while True:
+        if u == 1:
+            step = min(room[e] for e in path)
+            for e in path:
+                room[e] -= step
+                room[e ^ 1] += step
+            path = path[: next(i for i, e in enumerate(path) if room[e] == 0)]
+            u = to[path[-1]] if path else 0
+            continue
+        while turn[u] < len(graph[u]):
+            e = graph[u][turn[u]]
+            if room[e] > 0 and level[to[e]] == level[u] + 1:
+                break
+            turn[u] += 1
+        if turn[u] < len(graph[u]):
+            path.append(graph[u][turn[u]])
+            u = to[path[-1]]
+        elif path:  # a dead end
+            u = to[path.pop() ^ 1]
+            turn[u] += 1
+        else:
+            return True
+
+
+def _solved(passes: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        supply = {tuple(p): int(n) for p, n in zip(rows["p"], rows["n"], strict=True)}
+        wanted = {s: t for p, ts in zip(rows["p"], rows["targets"], strict=True) for s, t in zip(p, ts, strict=True)}
+        flow = min_cost_flow(supply, wanted, passes)
+        return pd.DataFrame({"k": rows["k"], "words": [sum(flow[tuple(p)].values()) for p in rows["p"]]})
+
+    return run
+
+
+def taken_words(patterns: DataFrame, sources: DataFrame, passes: int, scratch: Scratch) -> DataFrame:
+    """(k, n, words) of patterns (k, p, n) and sources (s, ..., target): what the flow takes of each pattern."""
+    member = patterns.select("k", "n", F.size("p").alias("width"), F.posexplode("p").alias("i", "s"))
+    told = member.join(_small(sources.select(F.col("s").alias("of"), "target")), F.col("s").eqNullSafe(F.col("of")))
+    told = scratch.write(told.select("k", "n", "width", "i", "s", "target", F.xxhash64("s").alias("node")), "members")
+    # Sources that share a pattern are in one component; two that share a hash are, too, which does no harm.
+    first = told.where("width > 1").groupBy("k").agg(F.min("node").alias("a"))
+    if not first.head(1):
+        alone, shared = told, None
+    else:
+        roots = scratch.write(components(patterns.sparkSession, told.join(first, "k").select("a", F.col("node").alias("b")), scratch), "roots")
+        of = scratch.write(roots.union(roots.select("root", "root")).distinct().toDF("node", "root"), "of")
+        of = _small(of)
+        alone, shared = told.join(of, "node", "left_anti"), told.join(of, "node")
+    most = F.col("n") * passes
+    words = alone.select("k", "n", F.least(F.bround("target").cast("long"), most).alias("words"))
+    if shared is not None:
+        at = F.array_sort(F.collect_list(F.struct("i", "s", "target")))
+        nets = shared.groupBy("k", "n").agg(F.min("root").alias("root"), F.transform(at, lambda x: x["s"]).alias("p"), F.transform(at, lambda x: x["target"]).alias("targets"))
+        solved = nets.groupBy("root").applyInPandas(_solved(passes), "k string, words long")
+        words = words.union(solved.join(patterns.select("k", "n"), "k").select("k", "n", "words"))
+    return words
+
+
+def mix(docs: DataFrame, members: str = "members", weights: Sequence[float] | dict = (5, 2, 1), passes: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(docs with size and copies, sources as (s, size, weight, target)).
 
     docs: doc_id, text and an array column `members` of the sources that hold the document (a null entry
-    is a source of its own). copies is how often the mix takes the document, 0 to `passes`. Documents
-    without words have size 0 and are taken in whole passes only. The distinct membership patterns, not
-    the documents, come to the driver; more than most_patterns of them is an error.
+    is a source of its own, as is a null or empty array). copies is how often the mix takes the document, 0 to
+    `passes`. Documents without words have size 0 and are taken in whole passes only. Columns of docs named size or
+    copies are replaced, all others stay. An empty table gives empty ones.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    pattern = F.coalesce(F.array_distinct(members), F.array(F.lit(None).cast("string")))
+    scratch = Scratch(docs.sparkSession, "mix")
+    none = F.array(F.lit(None).cast("string"))
+    given = F.array_distinct(F.coalesce(F.col(f"`{members}`"), none))
+    pattern = F.when(F.size(given) > 0, given).otherwise(none)
     # A key without nulls: plain equality joins.
     key = F.array_join(F.array_sort(F.transform(pattern, lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("n")))), "\x00")
-    sized = docs.withColumns({"__k": key, "__size": word_count(F.col("text")), "__h": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))})
-    slim = scratch.write(sized.select("__k", pattern.alias("p"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sizes")
-    rows = slim.groupBy("__k").agg(F.sum("size").alias("n"), F.first("p").alias("p")).limit(most_patterns + 1).collect()
-    if len(rows) > most_patterns:
-        raise ValueError(f"more than {most_patterns} membership patterns")
-    names = {s for r in rows for s in r["p"]}
-    supply = {tuple(sorted(r["p"], key=lambda s: (s is None, s or ""))): int(r["n"]) for r in rows}
-    keys = {tuple(sorted(r["p"], key=lambda s: (s is None, s or ""))): r["__k"] for r in rows}
-    sizes = {s: sum(n for p, n in supply.items() if s in p) for s in names}
-    by = weights if isinstance(weights, dict) else weights_in_order(list(names), weights)
-    wanted = targets(sizes, by, float(sum(supply.values())), passes)
-    flow = min_cost_flow(supply, wanted, passes)
-    plan = []  # key, whole passes, words left over
-    for p, n in supply.items():
-        words = sum(flow[p].values())
-        whole = min(passes, words // n) if n else 0
-        plan.append((keys[p], int(whole), int(words - whole * n)))
-    table = scratch.write(spark.createDataFrame(plan, "__k string, whole long, rest long"), "plan")
+    k, z, h = fresh(docs, "__k", "__z", "__h")
+    sized = docs.withColumns({k: key, z: word_count(F.col("text")), h: F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))})
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    slim = scratch.write(sized.select(F.col(k).alias("k"), F.array_sort(pattern).alias("p"), doc.alias("d"), F.col(z).alias("size"), F.col(h).alias("h")), "sizes")
+    patterns = scratch.write(slim.groupBy("k").agg(F.sum("size").alias("n"), F.first("p").alias("p")), "patterns")
+    sources = patterns.select("n", F.explode("p").alias("s")).groupBy("s").agg(F.sum("n").alias("size"))
+    total = patterns.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sources = scratch.write(targets(weighted(sources, weights, scratch), total, passes, scratch), "sources")
+    taken = taken_words(patterns, sources, passes, scratch)
+    whole = F.when(F.col("n") > 0, F.least(F.lit(passes).cast("long"), F.expr("words div n"))).otherwise(F.lit(0).cast("long"))
+    table = scratch.write(taken.withColumn("whole", whole).select("k", "whole", (F.col("words") - F.col("whole") * F.col("n")).alias("rest")), "plan")
     stops = scratch.write(_stops(slim, table, scratch), "stops")
-    scratch.drop("buckets", "inside", "last", "edge")
-    b, f, _ = _digits(F.col("__h"))
-    at = F.struct(F.col("__h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    scratch.drop("buckets", "inside", "last", "edge", "ranged", "weighted", "members")
+    names = fresh(sized, "__key", "__whole", "__rest", "__b0", "__f0", "__h0", "__d0")
+    key2, whole, rest, b0, f0, h0, d0 = map(F.col, names)
+    b, f, _ = _digits(F.col(h))
     more = (
-        F.when(F.col("rest") <= 0, 0)
-        .when(F.col("b0").isNull() | (b < F.col("b0")), 1)
-        .when(b > F.col("b0"), 0)
-        .when(F.col("f0").isNull() | (f < F.col("f0")), 1)
-        .when(f > F.col("f0"), 0)
-        .when(at <= F.struct("h0", "d0"), 1)
+        F.when(rest <= 0, 0)
+        .when(b0.isNull() | (b < b0), 1)
+        .when(b > b0, 0)
+        .when(f0.isNull() | (f < f0), 1)
+        .when(f > f0, 0)
+        .when(F.struct(F.col(h), doc) <= F.struct(h0, d0), 1)
         .otherwise(0)
     )
-    out = sized.join(F.broadcast(stops), "__k", "left")
-    out = out.withColumn("copies", F.least(F.lit(passes), F.col("whole") + more).cast("int")).withColumnRenamed("__size", "size")
-    return out.drop("__k", "__h", "whole", "rest", "b0", "f0", "h0", "d0"), sizes, wanted
+    out = sized.join(_small(stops.toDF(*names)), F.col(k) == key2, "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("size", "copies")]
+    return out.select(*kept, F.col(z).alias("size"), F.least(F.lit(passes), whole + more).cast("int").alias("copies")), sources
 
 
 def _digits(h: F.Column) -> tuple[F.Column, F.Column, F.Column]:
@@ -160,29 +223,29 @@ def _digits(h: F.Column) -> tuple[F.Column, F.Column, F.Column]:
 
 
 def _stops(slim: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
-    """Where the selection of each pattern ends: (key, whole, rest, b0, f0, h0, d0).
+    """Where the selection of each pattern ends: (k, whole, rest, b0, f0, h0, d0).
 
     The rest is a prefix of the documents in the order of a seeded hash. Sums by leading hash bits find the
     bucket in which it ends, sums by the next bits the bucket within; only the documents of that one, a
-    4096 * 4096th of the pattern, are put in order. Of the two ends that enclose the rest, the nearer
-    counts; rows alike in hash and id come together.
+    4096 * 4096th of the pattern, are put in order, rows of one id as one. Of the two ends that enclose the
+    rest, the nearer counts.
     """
     b, f, t = _digits(F.col("h"))
-    below = Window.partitionBy("__k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    first = scratch.write(slim.groupBy("__k", b.alias("x")).agg(F.sum("size").alias("n")), "buckets")
-    first = first.join(F.broadcast(table), "__k").withColumn("low", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    edge = scratch.write(first.where("low <= rest and low + n > rest").select("__k", F.col("x").alias("b0"), (F.col("rest") - F.col("low")).alias("r0")), "edge")
-    inside = scratch.write(slim.join(F.broadcast(edge), "__k").where(b == F.col("b0")).select("__k", "d", "size", "h", "r0", f.alias("x"), t.alias("t")), "inside")
-    second = inside.groupBy("__k", "x", "r0").agg(F.sum("size").alias("n")).withColumn("low", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    last = scratch.write(second.where("low <= r0 and low + n > r0").select("__k", F.col("x").alias("f0"), (F.col("r0") - F.col("low")).alias("r1")), "last")
-    tail = inside.join(F.broadcast(last), "__k").where("x = f0")
-    upto = Window.partitionBy("__k").orderBy("t", "d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    alike = Window.partitionBy("__k", "t", "d")
-    tail = tail.select("__k", "h", "d", "t", "r1", F.sum("size").over(upto).alias("upto"), F.sum("size").over(alike).alias("own"))
-    near = tail.where("upto <= r1 or upto - r1 < r1 - (upto - own)").groupBy("__k").agg(F.max_by(F.struct("h", "d"), F.struct("t", "d")).alias("stop"))
+    below = Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    first = scratch.write(slim.groupBy("k", b.alias("x")).agg(F.sum("size").alias("n")), "buckets")
+    first = first.join(_small(table), "k").withColumn("low", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    edge = scratch.write(first.where("low <= rest and low + n > rest").select("k", F.col("x").alias("b0"), (F.col("rest") - F.col("low")).alias("r0")), "edge")
+    inside = slim.join(_small(edge), "k").where(b == F.col("b0")).groupBy("k", "d", "h", "r0").agg(F.sum("size").alias("size"))
+    inside = scratch.write(inside.select("k", "d", "size", "h", "r0", f.alias("x"), t.alias("t")), "inside")
+    second = inside.groupBy("k", "x", "r0").agg(F.sum("size").alias("n")).withColumn("low", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    last = scratch.write(second.where("low <= r0 and low + n > r0").select("k", F.col("x").alias("f0"), (F.col("r0") - F.col("low")).alias("r1")), "last")
+    tail = inside.join(_small(last), "k").where("x = f0")
+    upto = Window.partitionBy("k").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = tail.select("k", "h", "d", "t", "r1", "size", F.sum("size").over(upto).alias("upto"))
+    near = tail.where("upto <= r1 or upto - r1 < r1 - (upto - size)").groupBy("k").agg(F.max_by(F.struct("h", "d"), F.struct("t", "d")).alias("stop"))
     # With none near, nothing of the last bucket is taken: a stop before all its rows.
-    stop = edge.join(last, "__k", "left").join(near, "__k", "left")
-    return table.join(stop, "__k", "left").select("__k", "whole", "rest", "b0", "f0", F.col("stop.h").alias("h0"), F.col("stop.d").alias("d0"))
+    stop = edge.join(last, "k", "left").join(near, "k", "left")
+    return table.join(stop, "k", "left").select("k", "whole", "rest", "b0", "f0", F.col("stop.h").alias("h0"), F.col("stop.d").alias("d0"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: int = 3, seed: int = 7) -> DataFrame:
@@ -191,16 +254,28 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: i
     Sources in order of code point, null last, weigh 5, 2, 1, repeating. Null texts have size 0. Rows with
     one doc_id are selected alike. Other columns are ignored; an empty table gives an empty one.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    mixed, sizes, wanted = mix(slim.withColumn("members", F.array("source")), weights=weights, passes=passes, seed=seed)
-    table = docs.sparkSession.createDataFrame([(s, int(sizes[s]), float(wanted[s])) for s in sizes], "s string, source_size long, target double")
-    out = mixed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")), "left")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array(F.col("source").cast("string")).alias("members"))
+    mixed, sources = mix(slim, weights=weights, passes=passes, seed=seed)
+    table = _small(sources.select("s", F.col("size").alias("source_size"), "target"))
+    out = mixed.join(table, F.get("members", F.lit(0)).eqNullSafe(F.col("s")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def mix_shared_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: int = 3, seed: int = 7) -> DataFrame:
+    """(doc_id, members, size, taken) of every different text of docs (doc_id, text, source, ...): a text that several sources hold can serve either.
+
+    doc_id is the smallest of the text's rows, members its sources sorted, null last, comma-joined (null as empty). Null is
+    a text of its own. An empty table gives an empty one.
+    """
+    source = F.struct(F.col("source").isNull().alias("none"), F.col("source").cast("string").alias("s"))
+    texts = docs.groupBy("text").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.transform(F.array_sort(F.collect_set(source)), lambda x: x["s"]).alias("members"))
+    mixed, _ = mix(texts, weights=weights, passes=passes, seed=seed)
+    return mixed.select("doc_id", F.array_join("members", ",", "").alias("members"), "size", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), passes: int = 3, seed: int = 7) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with the columns of docs, whatever their names."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.array(F.col("row.source").cast("string")).alias("members"))
-    mixed, _, _ = mix(rows, weights=weights, passes=passes, seed=seed)
+    mixed, _ = mix(rows, weights=weights, passes=passes, seed=seed)
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

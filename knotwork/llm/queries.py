@@ -62,6 +62,13 @@ def op8_min_cost_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def mix_shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 8 where members overlap: a text that several sources hold."""
+    from knotwork.llm.mixing import mix_shared_texts as mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_weak_toxicity,
         op6_tiered_shards,
         op7_prefix_join,
-        op8_min_cost_flow_mix, op9_token_lists, op10_disclosure)
+        op8_min_cost_flow_mix, op9_token_lists, op10_disclosure, mix_shared_texts)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
