@@ -1,12 +1,15 @@
 """Toxicity by weak supervision (op 5).
 
-Voters: a short lexicon, words and word beginnings that stand out in labelled text, and patterns. A
-generative model gives each voter its rates of firing on toxic and on clean documents by EM over the
-vote matrix; voters that fire together beyond what the labels explain share one voice. A linear classifier
-is then trained on the posterior labels and scores every document from its whole text.
+Voters: a short lexicon, words and word beginnings that stand out in labelled text, and patterns. A generative
+model of the votes has a class for each document and, within a class, a tree of voters: each fires at a rate that
+depends on the class and on whether its parent fired, so voters that fire together say together what one of them
+says. The tree is that of the largest mutual information given the class (Chow and Liu); EM estimates the
+rates. Labels that may be learned from count as earlier observations of the rates, never as a document's own
+vote: a document's posterior comes from its votes. A linear classifier is then trained on the posteriors and scores every
+document from its whole text.
 
 Bounded by parameter: the labelled rows that voters and models are fitted on (FIT_ROWS, chosen by hash)
-and the voters (MOST_VOTERS).
+and the voters, which are the models' parameters (MOST_VOTERS, the most telling).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from knotwork.llm.common import Scratch, batches
 LEXICON = ("clown", "disgusting", "dumb", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Patterns that vote toxic.
 PATTERNS = (r"[!?]{3,}", r"\b(?:shut up|go away|get lost)\b", r"\b(?:[A-Z]{4,}\s+){3,}", r"\b(?:you are|you're|du bist|eres|tu es) an? \w+")
-FIT_ROWS, MOST_VOTERS = 8000, 400
+FIT_ROWS, MOST_VOTERS = 8000, 1000
 #: Lengths of word beginnings that can be voters, and how many different words with one make it fire.
 BEGINNINGS, TIMES = (4, 5, 6, 7, 8), (1, 2, 4)
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,39 +79,78 @@ class Voters:
         return out
 
 
+def information(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters given the class."""
+    out = np.zeros((votes.shape[1], votes.shape[1]))
+    for p in (post, 1 - post):
+        n = p.sum() + 1.0
+        one, both = (p @ votes + 0.5) / n, ((votes * p[:, None]).T @ votes + 0.25) / n
+        for x, y, seen in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one[None, :] - both), (0, 0, 1 - one[:, None] - one[None, :] + both)):
+            seen = np.clip(seen, 1e-9, None)
+            out += p.sum() / len(votes) * seen * np.log(seen / np.outer(one if x else 1 - one, one if y else 1 - one))
+    return out
+
+
+def spanning_tree(weight: np.ndarray) -> np.ndarray:
+    """Parents in the tree of the largest total weight, -1 for the root (Prim)."""
+    m = len(weight)
+    parent, best, source, inside = np.full(m, -1), weight[0].copy(), np.zeros(m, dtype=int), np.arange(m) == 0
+    for _ in range(m - 1):
+        j = int(np.where(inside, -np.inf, best).argmax())
+        parent[j], inside[j] = source[j], True
+        better = ~inside & (weight[j] > best)
+        source[better], best[better] = j, weight[j][better]
+    return parent
+
+
 class LabelModel:
-    """Two classes; each voter fires at its own rate in either. Correlated voters share their weight."""
-
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30):
-        n, m = votes.shape
-        post, self.weight = start.astype(float), np.ones(m)
-        for turn in range(rounds):
-            p = post[:, None]
-            self.hit = (p * votes).sum(0) + 0.5
-            self.hit /= post.sum() + 2.0
-            self.slip = ((1 - p) * votes).sum(0) + 0.05
-            self.slip /= (1 - post).sum() + 2.0
-            self.prior = float(np.clip(post.mean(), 0.005, 0.5))
-            if turn == 2:
-                self.weight = self._shares(votes, post)
-            new = self.posterior(votes)
-            if np.abs(new - post).max(initial=0) < 1e-4 and turn > 3:
+    """Two classes, in each a tree of voters. post: the probability of class 1 by the votes of each row.
+
+    gold: labels of the rows or None. They are observations of the voters' rates and correlations, each of which counts
+    `trust` times beside what EM infers; without them EM starts from the share of voters that fire.
+    """
+
+    def __init__(self, votes: np.ndarray, gold: np.ndarray | None = None, trust: float = 2.0, rounds: int = 10):
+        votes = votes.astype(np.float32)
+        known = gold is not None and 0 < gold.sum() < len(gold)
+        share = votes.mean(1)
+        post = gold.astype(float) if known else np.clip(share / max(1e-9, share.max(initial=0)), 0.02, 0.98)
+        self.parent = spanning_tree(information(votes, post))
+        self.up = np.where(self.parent < 0, 0, self.parent)
+        above = self._above(votes)
+        told = [trust * c for c in self._counts(votes, above, post)] if known else None
+        self._learn(told or self._counts(votes, above, post))
+        self.post = self.posterior(votes)
+        for _ in range(rounds):
+            if not known:  # what goes together is not known from the start
+                self.parent = spanning_tree(information(votes, self.post))
+                self.up = np.where(self.parent < 0, 0, self.parent)
+                above = self._above(votes)
+            counts = self._counts(votes, above, self.post)
+            self._learn([c + t for c, t in zip(counts, told, strict=True)] if told else counts)
+            before, self.post = self.post, self.posterior(votes)
+            if np.abs(self.post - before).max(initial=0) < 1e-4:
                 break
-            post = new
-        self.post = post
 
-    def _shares(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """One over the voters that each fires with, by the correlation left within the classes."""
-        left = votes - post[:, None] * self.hit - (1 - post)[:, None] * self.slip
-        std = left.std(0) + 1e-9
-        corr = (left.T @ left) / max(1, len(left)) / np.outer(std, std)
-        return 1.0 / np.maximum(1.0, (corr * (corr > 0.5)).sum(1))
+    def _above(self, votes: np.ndarray) -> np.ndarray:
+        """The parents' votes; the root's parent never fires."""
+        return np.where(self.parent[None, :] < 0, 0, votes[:, self.up])
+
+    def _counts(self, votes: np.ndarray, above: np.ndarray, post: np.ndarray) -> list[np.ndarray]:
+        """By class: rows, votes, rows whose parent fired, votes with and without the parent."""
+        return [np.array([np.full(votes.shape[1], p.sum()), p @ votes, p @ above, p @ (votes * above), p @ (votes * (1 - above))]) for p in (post, 1 - post)]
+
+    def _learn(self, counts: list[np.ndarray]) -> None:
+        self.prior, self.rates = float(np.clip(counts[0][0][0] / (counts[0][0][0] + counts[1][0][0]), 0.005, 0.5)), []
+        for n, one, up, with_, without in counts:
+            rate = (one + 0.1) / (n + 1)
+            # Rates with the parent firing and without, drawn to the voter's own rate where little was seen.
+            self.rates.append((np.clip((with_ + 2 * rate) / (up + 2), 1e-4, 1 - 1e-4), np.clip((without + 2 * rate) / (n - up + 2), 1e-5, 1 - 1e-4)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        fire, quiet = np.log(self.hit / self.slip), np.log((1 - self.hit) / (1 - self.slip))
-        # Silence of a rare voter says little: only the votes cast and the silence of all count.
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * fire) + (1 - votes) @ (self.weight * quiet)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        above = self._above(votes)
+        fit = [(votes * above) @ np.log(w) + ((1 - votes) * above) @ np.log(1 - w) + (votes * (1 - above)) @ np.log(o) + ((1 - votes) * (1 - above)) @ np.log(1 - o) for w, o in self.rates]
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + fit[0] - fit[1], -30, 30)))
 
 
 def features(votes: np.ndarray) -> np.ndarray:
@@ -134,13 +176,14 @@ def learnable(doc_id: F.Column) -> F.Column:
 
 
 class Model:
-    def __init__(self, voters: Voters, weights: np.ndarray, bias: float):
-        self.voters, self.weights, self.bias = voters, weights, bias
+    def __init__(self, voters: Voters, own: np.ndarray, weights: np.ndarray, bias: float):
+        """own: numbers of the voters that count."""
+        self.voters, self.own, self.weights, self.bias = voters, own, weights, bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        z = features(np.array([self.voters.votes(t) for t in texts])) @ self.weights + self.bias
+        z = features(np.array([self.voters.votes(t)[self.own] for t in texts])) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -181,16 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     if not rows:
         w = np.zeros(voters.size + 2)
         w[: voters.size] = 2.0
-        return Model(voters, w, -3.0)
-    votes = np.zeros((len(rows), voters.size))
+        return Model(voters, np.arange(voters.size), w, -3.0)
+    votes = np.zeros((len(rows), voters.size), dtype=np.uint8)
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
-    # The labels that may be used are one more voter, heard by the label model only.
+    # Voters that are never at odds are one voter.
+    own = np.sort(np.unique(votes, axis=1, return_index=True)[1])
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    start = np.clip(y if y.any() else votes.any(1) * 0.5, 0.02, 0.98)
-    model = LabelModel(np.concatenate([votes, y[:, None]], axis=1), start)
-    weights, bias = train_linear(features(votes), model.post)
-    return Model(voters, weights, bias)
+    model = LabelModel(votes[:, own], y)
+    return Model(voters, own, *train_linear(features(votes[:, own].astype(float)), model.post))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
