@@ -195,11 +195,13 @@ def _alike_rows(docs: DataFrame, size: int, num: int, den: int, radius: int) ->
     carriers = scratch.write(each.groupBy("node").agg(F.min("key").alias("key")), "carriers")
     shared = each.select("node", F.explode("first").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     shared = scratch.write(shared, "shared")
-    # The first shingles that several sets have; a row for each set, not for each of its copies.
-    met = each.select("node", "n", *SKETCH, F.posexplode("first").alias("pos", "token")).join(shared, "token").groupBy("token", "node", "n", "pos", *SKETCH).agg(F.lit(1).alias("one"))
-    met = scratch.write(met.drop("one"), "met")
+    # The first shingles that several sets have; a row for each set, not for each of its copies. Sketches join what is left.
+    few = F.broadcast(shared) if shared.count() <= MOST_BROADCAST else shared
+    met = scratch.write(each.select("node", F.posexplode("first").alias("pos", "token")).join(few, "token").select("token", "node", "pos").distinct(), "held")
+    sets = each.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", *SKETCH).distinct()
+    met = scratch.write(met.join(sets, "node"), "met")
     by_index = scratch.write(_index_pairs(each.select("node", "fp"), radius, scratch), "by-index")
-    scratch.drop("rows", "shared", "nodes", "classes", "index-roots")
+    scratch.drop("rows", "shared", "held", "nodes", "classes", "index-roots")
     links = _verified(by_index.union(_end_pairs(met, num, den)).distinct(), docs, carriers, size, num, den, scratch, "ends")
     roots = scratch.write(components(spark, links, scratch), "roots")
     named = scratch.write(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
@@ -231,7 +233,8 @@ def keep_representatives(docs: DataFrame, size: int = 5, num: int = 4, den: int
     """
     scratch = Scratch(docs.sparkSession, "representatives")
     found = scratch.write(alike_rows(docs, size, num, den).where("doc_id is not null"), "components")
-    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("lead"))
+    lead = scratch.write(found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+    lead = F.broadcast(lead) if lead.count() <= MOST_BROADCAST else lead
     gone = scratch.write(found.join(lead, "root").where(F.struct("doc_id", "key") != F.col("lead")).select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), "gone")
     d, k = fresh(docs, "__d", "__k")
     gone = gone.toDF(d, k)
