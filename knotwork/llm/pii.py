@@ -12,13 +12,11 @@ counts with every word and are counted as one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.llm.common import Scratch, fresh
+from knotwork.llm.common import Scratch, fresh, let
 
 #: The contract's kinds in order. The patterns match what the contract's match, in linear time:
 #: a run is entered at its start only, and never given back.
@@ -38,11 +36,6 @@ LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 MOST_BROADCAST = 200_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once; an expression used inside a lambda would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def find(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>>: code point places and texts of the matches, left to right.
 

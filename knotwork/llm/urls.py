@@ -15,11 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import Scratch, ascii_lower
+from knotwork.llm.common import Scratch, ascii_lower, let
 
 #: The contract's rules as (host, path, action).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MOST_LISTED = 2_000_000
+#: Keys of a list, and those that may be broadcast when the cascade is built.
+MOST_LISTED, MOST_BROADCAST = 2_000_000, 200_000
 
 
 @dataclass
@@ -30,13 +31,15 @@ class Level:
     data: bytes
 
     def holds(self, key: Column) -> Column:
-        filled = F.lit(bytearray(self.data))
-        test = F.lit(True)
-        for i in range(self.hashes):
-            at = _position(key, self.seed, i, self.bits)
-            byte = F.conv(F.hex(F.substring(filled, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-            test &= F.getbit(byte, (at % 8).cast("int")) == 1
-        return test
+        def test(filled: Column) -> Column:
+            out = F.lit(True)
+            for i in range(self.hashes):
+                at = _position(key, self.seed, i, self.bits)
+                byte = F.conv(F.hex(F.substring(filled, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+                out &= F.getbit(byte, (at % 8).cast("int")) == 1
+            return out
+
+        return let(F.lit(bytearray(self.data)), test)  # the bytes stand in the plan once, however many hashes read them
 
 
 def _position(key: Column, seed: int, i: int, bits: int) -> Column:
@@ -68,12 +71,17 @@ class Cascade:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, name: str) -> Cascade:
-    """A cascade over listed (key), exact for every key of universe (key). The listed keys must be at most MOST_LISTED; each level is then of a bounded size."""
+    """A cascade over listed (key), exact for every key of universe (key). The listed keys must be at most MOST_LISTED; each level is then of a bounded size.
+
+    Null keys are in neither. Without listed keys nothing is listed; with an empty universe no key is promised anything.
+    """
     inside = scratch.write(listed.where("key is not null").distinct(), f"{name}-in-0")
-    outside = scratch.write(universe.where("key is not null").distinct().join(F.broadcast(inside), "key", "left_anti"), f"{name}-out-0")
-    r, s = inside.count(), outside.count()
+    r = inside.count()
     if r > MOST_LISTED:
         raise ValueError(f"more than {MOST_LISTED} listed keys")
+    known = F.broadcast(inside) if r <= MOST_BROADCAST else inside
+    outside = scratch.write(universe.where("key is not null").distinct().join(known, "key", "left_anti"), f"{name}-out-0")
+    s = outside.count()
     levels: list[Level] = []
     held, rest, n = inside, outside, r
     rate = 0.5 if not s else min(0.5, max(1e-9, r * math.sqrt(0.5) / s))
@@ -116,8 +124,9 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     universe = scratch.write(rows.select(F.explode("keys").alias("key")).distinct(), "universe")
     listed = lambda action: spark.createDataFrame([(h + p,) for h, p, a in rules if a == action], "key string")
     block, allow = (build_cascade(listed(a), universe, scratch, a) for a in ("block", "allow"))
-    fits = F.filter("keys", lambda k: block.lists(k) | allow.lists(k))
-    best = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule")))).rule
-    rows = rows.withColumn("rule", best)
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(block.lists(F.col("rule")), "block").otherwise("allow")
+    # Each cascade stands in the plan once.
+    judged = F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.when(block.lists(k), "block").when(allow.lists(k), "allow").alias("verdict")))
+    best = F.array_max(F.filter(judged, lambda x: x["verdict"].isNotNull()))
+    rows = rows.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), "best.verdict")
+    verdict = F.coalesce("verdict", F.lit(otherwise))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
