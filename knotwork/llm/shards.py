@@ -14,10 +14,10 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import delete, hadoop_fs, setting
+from knotwork.llm.common import delete, fresh, hadoop_fs, setting
 
 TARGET_BYTES, FAN, MERGES_A_JOB = 128 << 20, 4, 64
 #: What a reader learns of a row's shard.
@@ -43,29 +43,31 @@ def tier_of(size: int, target: int, fan: int) -> int:
 
 def plan_merges(sizes: list[int], target: int, fan: int) -> list[list[int]]:
     """Groups of files (by number) to merge into one each. Files of tier 0 are done; a tier with `fan` files or more is packed into files of up to the target."""
-    done, groups = set(), []
-    live = [([i], s) for i, s in enumerate(sizes)]
-    while True:
-        tiers: dict[int, list] = {}
-        for g in live:
-            if (t := tier_of(g[1], target, fan)) and id(g) not in done:
-                tiers.setdefault(t, []).append(g)
-        due = [t for t, gs in sorted(tiers.items(), reverse=True) if len(gs) >= fan]
-        if not due:
-            break
-        run = sorted(tiers[due[0]], key=lambda g: (g[1], g[0]))
-        live = [g for g in live if not any(g is r for r in run)]
-        packed: list[tuple[list[int], int]] = []
-        for g in run:
-            if packed and packed[-1][1] + g[1] <= target:
-                packed[-1] = (packed[-1][0] + g[0], packed[-1][1] + g[1])
+    # A tier's run is sorted once and packed; what comes out of it is a file of a tier above or has found its size.
+    tiers: dict[int, list[tuple[int, list[int]]]] = {}
+    for i, size in enumerate(sizes):
+        if t := tier_of(size, target, fan):
+            tiers.setdefault(t, []).append((size, [i]))
+    merged = []
+    for t in range(max(tiers, default=0), 0, -1):  # the smallest files first
+        run = sorted(tiers.get(t, []))
+        if len(run) < fan:
+            merged += [g for _, g in run if len(g) > 1]
+            continue
+        packed: list[list] = []
+        for size, g in run:
+            if packed and packed[-1][0] + size <= target:
+                packed[-1][0] += size
+                packed[-1][1].extend(g)
             else:
-                packed.append((g[0], g[1]))
-        if len(packed) == len(run):
-            done |= {id(g) for g in packed}
-        live += packed
-    groups = [sorted(g) for g, _ in live if len(g) > 1]
-    return sorted(groups)
+                packed.append([size, list(g)])
+        for size, g in packed:
+            up = tier_of(size, target, fan)
+            if up and up < t:
+                tiers.setdefault(up, []).append((size, g))
+            elif len(g) > 1:
+                merged.append(g)
+    return sorted(sorted(g) for g in merged)
 
 
 class ShardStore:
@@ -115,6 +117,7 @@ class ShardStore:
 
     def _register(self, folder: str, version: int) -> list[Shard]:
         files = self._files(folder)
+        # A row for each file, which the manifest is to name.
         rows = {r["f"]: r["count"] for r in self.spark.read.parquet(f"{self.root}/{folder}").select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("f")).groupBy("f").count().collect()} if files else {}
         kept = [(path, size, rows.get(path.rsplit("/", 1)[1], 0)) for path, size in files]
         return [Shard(f"v{version:06d}-{k:06d}", path, size, n, tier_of(size, self.target, self.fan)) for k, (path, size, n) in enumerate(x for x in kept if x[2])]
@@ -126,6 +129,41 @@ class ShardStore:
         docs.write.parquet(f"{self.root}/{folder}")
         return self.commit([*self.live(now), *self._register(folder, now + 1)], now)
 
+    def append_each(self, docs: DataFrame, arrival: Column, n: int) -> int:
+        """docs as n appends, each row in that of its number from 0: one pass over docs, a folder and a version for each that has rows."""
+        folder = f"data/a{self.version() + 1:06d}-{uuid.uuid4().hex[:8]}"
+        (name,) = fresh(docs, "__arrival")
+        # A file open for each arrival at once, else the rows would be sorted by it.
+        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(n)):
+            docs.withColumn(name, arrival).write.partitionBy(name).parquet(f"{self.root}/{folder}")
+        fs, p = hadoop_fs(self.spark, f"{self.root}/{folder}")
+        there = {s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()}
+        for k in range(n):
+            if f"{name}={k}" in there:
+                now = self.version()
+                self.commit([*self.live(now), *self._register(f"{folder}/{name}={k}", now + 1)], now)
+        return self.version()
+
+    def orphans(self) -> list[str]:
+        """Data files that no live manifest names: left by a writer that failed before its commit, or by another that has not committed yet."""
+        fs, p = hadoop_fs(self.spark, f"{self.root}/data")
+        if not fs.exists(p):
+            return []
+        live, found, each = {s.path for s in self.live()}, [], fs.listFiles(p, True)
+        while each.hasNext():
+            path = each.next().getPath().toString()
+            path = "data/" + path.rsplit("/data/", 1)[1]
+            if path.endswith(".parquet") and path not in live:
+                found.append(path)
+        return sorted(found)
+
+    def remove_orphans(self) -> int:
+        """Delete them; no other writer may be at work."""
+        found = self.orphans()
+        for path in found:
+            delete(self.spark, f"{self.root}/{path}")
+        return len(found)
+
     def compact(self, vacuum: bool = True) -> int:
         """Merge what is due and commit; the merged files' sources go after the commit if vacuum. Without work the version stays."""
         now = self.version()
@@ -155,10 +193,11 @@ class ShardStore:
         if not shards:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
-        about = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.name, s.rows, s.bytes, s.tier) for s in shards], f"__file string, {', '.join(f'{c} {t}' for c, t in COLUMNS)}")
+        (file,) = fresh(rows, "__file")
+        about = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.name, s.rows, s.bytes, s.tier) for s in shards], f"{file} string, {', '.join(f'{c} {t}' for c, t in COLUMNS)}")
         # A row for each live file, some hundred bytes: a thousandth of a thousandth of the data.
-        named = rows.drop(*[c for c, _ in COLUMNS]).withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-        return named.join(F.broadcast(about) if len(shards) <= 200_000 else about, "__file").drop("__file")
+        named = rows.drop(*[c for c, _ in COLUMNS]).withColumn(file, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        return named.join(F.broadcast(about) if len(shards) <= 200_000 else about, file).drop(file)
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET_BYTES, fan: int = FAN) -> ShardStore:
@@ -168,8 +207,7 @@ def shard_documents(docs: DataFrame, root: str, arrivals: int = 4, target: int =
     columns of docs. Arrivals without rows add nothing; an empty table gives a store without live shards.
     """
     store = ShardStore(docs.sparkSession, root, target, fan)
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k) if arrivals > 1 else docs)
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int"), arrivals) if arrivals > 1 else store.append(docs)
     store.compact()
     return store
 

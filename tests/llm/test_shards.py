@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -19,6 +21,20 @@ def test_small_files_wait_for_their_run():
     assert plan_merges([900] * 9, 1000, 4) == []
 
 
+def test_a_million_files_are_planned_in_seconds():
+    began = time.time()
+    groups = plan_merges([1000 + i % 977 for i in range(1_000_000)], 128 << 20, 4)
+    assert time.time() - began < 20 and sum(map(len, groups)) == 1_000_000
+
+
+def test_orphans_are_found_and_removed(spark, documents):
+    store = ShardStore(spark, Scratch(spark, "t").path("store"))
+    assert store.orphans() == []
+    store.append(documents.limit(5))
+    documents.limit(3).coalesce(1).write.parquet(f"{store.root}/data/a000002-lost")
+    assert len(store.orphans()) == 1 and store.remove_orphans() == 1 and store.orphans() == [] and store.read().count() == 5
+
+
 def test_every_row_is_in_one_live_shard(spark, documents):
     root = Scratch(spark, "t").path("store")
     store = shard_documents(documents.repartition(6), root, arrivals=3, target=200_000, fan=2)
@@ -43,6 +59,8 @@ def test_commits_do_not_overwrite(spark, documents):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
+    out = sharded(odd_docs.withColumns({"__file": odd_docs["h"], "__arrival": odd_docs["h"]}), Scratch(spark, "t").path("store"))
+    assert out.where("__file is null").count() == 1 and out.where("__arrival is null").count() == 1
     out = sharded(odd_docs, Scratch(spark, "t").path("store"))
     assert out.count() == odd_docs.count() and set(out.columns) == {*odd_docs.columns, "shard", "shard_rows", "shard_bytes", "shard_tier"}
     assert out.where("doc_id is null").count() == 2 and out.where("shard is null").count() == 0
