@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import Scratch, ascii_lower, parts
+from knotwork.llm.common import Scratch, ascii_lower, fresh, parts
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,9 +106,10 @@ MOST_BROADCAST = 500_000
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
-    """The rows of docs without an occurrence of a window of items, with all their columns."""
+    """The rows of docs without an occurrence of a window of items, with all their columns. Null texts and an empty table of items leave all."""
     scratch = Scratch(docs.sparkSession, "uncontaminated")
     hits, _ = occurrences(docs, items, size, shingle, scratch)
-    hit = scratch.write(hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "hit")
+    d, h = fresh(docs, "__d", "__h")
+    hit = scratch.write(hits.select("doc_id", "h").distinct(), "hit").toDF(d, h)
     hit = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")), "left_anti")
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h)), "left_anti")
