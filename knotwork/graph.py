@@ -8,6 +8,7 @@ properties that a query names, so that Parquet column pruning and filter pushdow
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.functions.types import JSON, Ty, as_json, of_spark, unify
+from knotwork.scratch import Scratch
 
 NODE, EDGE = ("id", "kinds"), ("id", "start_id", "end_id", "kind")
 
@@ -33,6 +35,10 @@ class Source:
             return JSON
         return of_spark(self.df.schema[self.props[key]].dataType) if key in self.props else None
 
+    def derived(self) -> bool:
+        """Whether a scan has to join, group or sort."""
+        return bool(re.search(r"(?m)^\W*(?:.* )?(?:Join|Aggregate|Window|Distinct|Deduplicate|Generate)\b", self.df._jdf.queryExecution().analyzed().toString()))
+
     def value(self, key: str, want: Ty) -> Column:
         if self.bag:
             return F.try_element_at(F.col(f"`{self.bag}`"), F.lit(key))
@@ -103,6 +109,15 @@ class PropertyGraph:
         kinds = set(kinds)
         return [s for s in self.edges if not kinds or s.static is None or kinds & s.static]
 
+    def settle(self, kinds: Iterable[str]) -> list[str]:
+        """Write the edges of these kinds that a join, grouping or window makes, so that further scans read a table and don't make them again; the kinds written."""
+        wanted, done = self._edges(kinds), []
+        for i, s in enumerate(self.edges):
+            if s in wanted and s.derived():
+                self.edges[i] = replace(s, df=Scratch(self.spark, "edges").write(s.df))
+                done += sorted(s.static or ["edges"])
+        return done
+
     def node_scan(self, kinds: Iterable[str] = (), keys: Iterable[str] = (), with_kinds: bool = False, whole: bool = False) -> tuple[DataFrame, dict[str, Ty]]:
         """Nodes that have all the kinds: id, and kinds, p:<key> and props as asked."""
         kinds, keys = list(kinds), sorted(keys)

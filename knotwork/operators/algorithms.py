@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.expand import oriented, reach
+from knotwork.operators.expand import oriented, pairs_in_reach, reach
 from knotwork.scratch import Scratch
 
 SMALL_EDGES = 200_000
@@ -151,25 +151,44 @@ def component_histogram(components: DataFrame, nodes: DataFrame | None = None) -
 
 
 class Reachability:
-    """Reach through strong components: the exact closure of the component graph, computed once for what is asked."""
+    """Reach through strong components. What a component reaches is worked out when it is first asked for, written, and read again after that.
+
+    direction: out, in, or both, which is undirected.
+    """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.scratch = Scratch(nodes.sparkSession, "reachability")
         self.members = self.scratch.write(strong_components(nodes, edges))
         self.dag = self.scratch.write(condensation(self.members, edges).select(F.lit(0).cast("long").alias("id"), "start_id", "end_id"))
+        self.known: dict[str, DataFrame] = {}
+        self.computed = 0
+
+    def closure(self, components: DataFrame, direction: str = "out") -> DataFrame:
+        """(component, reached) for the components asked for, each with itself."""
+        asked = components.select("component").distinct()
+        known = self.known.get(direction)
+        missing = self.scratch.write(asked if known is None else asked.join(known.select("component").distinct(), "component", "left_anti"))
+        if missing.head(1):
+            self.computed += 1
+            far = reach(self.dag, missing.select(F.col("component").alias("root")), direction).select(F.col("root").alias("component"), F.col("next").alias("reached"))
+            far = self.scratch.write(far.union(missing.select("component", F.col("component").alias("reached"))).distinct())
+            known = self.known[direction] = far if known is None else known.union(far)
+        return asked.limit(0).select("component", F.col("component").alias("reached")) if known is None else known.join(asked, "component", "left_semi")
 
     def of(self, ids: DataFrame, direction: str = "out") -> DataFrame:
         """(id, reached) for the nodes (id): all members of the components that theirs reaches, their own included."""
         own = ids.select("id").distinct().join(self.members, "id")
-        far = reach(self.dag, own.select(F.col("component").alias("root")), direction)
-        both = own.select("id", F.col("component").alias("c")).union(own.join(far, F.col("component") == F.col("root")).select("id", F.col("next").alias("c")))
-        inside = self.members.select(F.col("id").alias("reached"), F.col("component").alias("c"))
-        return both.distinct().join(inside, "c").select("id", "reached")
+        far = self.closure(own, direction)
+        inside = self.members.select(F.col("id").alias("node"), F.col("component").alias("reached"))
+        return own.join(far, "component").join(inside, "reached").select("id", F.col("node").alias("reached"))
 
     def can_reach(self, pairs: DataFrame, direction: str = "out") -> DataFrame:
-        """(a, b, reachable) of pairs (a, b). A node reaches itself; unknown ids reach nothing."""
-        found = self.of(pairs.select(F.col("a").alias("id")), direction).select(F.col("id").alias("a"), F.col("reached").alias("b"), F.lit(True).alias("hit"))
-        return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("reachable"))
+        """(a, b, reachable) of pairs (a, b). A node reaches itself; unknown ids reach nothing. Only components are walked, their members are not listed."""
+        of = lambda x: self.members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        asked = self.scratch.write(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "ca", "cb"))
+        far = pairs_in_reach(self.dag, asked.where("ca <> cb").select(F.col("ca").alias("root"), F.col("cb").alias("next")), direction)
+        hit = far.select(F.col("root").alias("ca"), F.col("next").alias("cb"), F.lit(True).alias("hit"))
+        return asked.join(hit, ["ca", "cb"], "left").select("a", "b", F.coalesce("hit", F.col("ca") == F.col("cb"), F.lit(False)).alias("reachable"))
 
     def or_reach(self, ids: DataFrame, into: DataFrame | None = None, direction: str = "out") -> DataFrame:
         """(id) what any of the nodes reaches, each without itself, joined with into (id)."""

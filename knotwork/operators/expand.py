@@ -80,31 +80,111 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str, high: int | None =
     return _union(levels) if levels else front.select("root", "next", F.lit(0).alias("depth")).limit(0)
 
 
-def shortest(edges: DataFrame, roots: DataFrame, direction: str, high: int, all_paths: bool, terminals: DataFrame | None = None) -> DataFrame:
+def _onward(front: DataFrame, steps: DataFrame) -> DataFrame:
+    """Paths (root, next, edge_ids, node_ids) with one edge more at their end."""
+    return front.join(steps, F.col("next") == F.col("frm")).select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"))
+
+
+def _backward(front: DataFrame, steps: DataFrame) -> DataFrame:
+    """Paths from next to root, with one edge more at their beginning."""
+    return front.join(steps, F.col("next") == F.col("to")).select("root", F.col("frm").alias("next"), F.concat(F.array("eid"), "edge_ids").alias("edge_ids"), F.concat(F.array("next"), "node_ids").alias("node_ids"))
+
+
+class _Side:
+    """Shortest paths from each root, level by level; each level is written."""
+
+    def __init__(self, scratch: Scratch, steps: DataFrame, roots: DataFrame, step, all_paths: bool):
+        self.scratch, self.steps, self.step, self.all_paths = scratch, steps, step, all_paths
+        self.front = scratch.write(roots.select("root", F.col("root").alias("next"), _empty().alias("edge_ids"), _empty().alias("node_ids")))
+        self.seen, self.size = [self.front.select("root", "next")], self.front.count()
+
+    def advance(self) -> bool:
+        """The next level; False if there is none."""
+        new = self.step(self.front, self.steps).join(_union(self.seen), ["root", "next"], "left_anti")
+        if not self.all_paths:
+            new = new.groupBy("root", "next").agg(F.min(F.struct("edge_ids", "node_ids")).alias("p")).select("root", "next", "p.edge_ids", "p.node_ids")
+        self.front = self.scratch.write(new)
+        self.size = self.front.count()
+        self.seen.append(self.front.select("root", "next").distinct())
+        if len(self.seen) == 8:  # the plan stays short however deep the graph is
+            self.seen = [self.scratch.write(_union(self.seen))]
+        return self.size > 0
+
+    def keep(self, roots: DataFrame) -> None:
+        self.front = self.front.join(roots.select("root").distinct(), "root", "left_semi")
+
+
+def shortest(edges: DataFrame, roots: DataFrame, direction: str, high: int, all_paths: bool, terminals: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(root, next, edge_ids, node_ids): for each root and node the shortest path, or all of that length.
 
-    Of several shortest paths the one with the smallest list of edge ids. terminals (next) restricts what is
-    returned, not what is walked. Lengths are per pair. A root is no terminal of its own.
+    Of several shortest paths the one with the smallest list of edge ids. Lengths are per pair; a root is no terminal of its
+    own. terminals (next) says where paths may end, pairs (root, next) which ends belong together. With either, paths are
+    walked from both sides, the side with fewer of them first, until they meet; what has met is walked no further.
     """
     scratch = Scratch(edges.sparkSession, "shortest")
     steps = scratch.write(oriented(edges, direction))
-    start = scratch.write(roots.select("root").distinct())
-    front = start.select("root", F.col("root").alias("next"), _empty().alias("edge_ids"), _empty().alias("node_ids"))
-    seen, found = [front.select("root", "next")], []
+    ahead = _Side(scratch, steps, roots.select("root").distinct(), _onward, all_paths)
+    if terminals is None and pairs is None:
+        found = []
+        for _ in range(high):
+            if not ahead.advance():
+                break
+            found.append(ahead.front)
+        return _union(found) if found else ahead.front.limit(0)
+    pairs = None if pairs is None else scratch.write(pairs.select("root", "next").where("root <> next").distinct())
+    ends = scratch.write((terminals if terminals is not None else pairs).select(F.col("next").alias("root")).distinct())
+    behind = _Side(scratch, steps, ends, _backward, all_paths)
+    found, met, many = [], [], ends.count()
     for _ in range(high):
-        new = front.join(steps, F.col("next") == F.col("frm")).select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"))
-        new = new.join(_union(seen), ["root", "next"], "left_anti")
+        if not (ahead.advance() if ahead.size <= behind.size else behind.advance()):
+            break
+        back = behind.front.select(F.col("root").alias("end"), "next", F.col("edge_ids").alias("e2"), F.col("node_ids").alias("n2"))
+        new = ahead.front.join(back, "next").where("root <> end").select("root", F.col("end").alias("next"), F.concat("edge_ids", "e2").alias("edge_ids"), F.concat("node_ids", "n2").alias("node_ids"))
+        if pairs is not None:
+            new = new.join(pairs, ["root", "next"], "left_semi")
+        if met:
+            new = new.join(_union(met), ["root", "next"], "left_anti")
         if not all_paths:
             new = new.groupBy("root", "next").agg(F.min(F.struct("edge_ids", "node_ids")).alias("p")).select("root", "next", "p.edge_ids", "p.node_ids")
-        front = scratch.write(new)
+        level = scratch.write(new)
+        if not level.head(1):
+            continue
+        found.append(level)
+        met.append(level.select("root", "next").distinct())
+        if len(met) == 8:
+            met = [scratch.write(_union(met))]
+        if pairs is not None:
+            left = scratch.write(pairs.join(_union(met), ["root", "next"], "left_anti"))
+            behind.keep(left.select(F.col("next").alias("root")))
+        else:  # a root that has met all ends but itself is done
+            own = ends.select("root", F.lit(1).alias("own"))
+            all_met = _union(met).groupBy("root").agg(F.count("*").alias("n")).join(own, "root", "left").where(F.col("n") >= many - F.coalesce("own", F.lit(0)))
+            left = scratch.write(roots.select("root").distinct().join(all_met, "root", "left_anti"))
+        if not left.head(1):
+            break
+        ahead.keep(left)
+    return _union(found) if found else ahead.front.limit(0)
+
+
+def pairs_in_reach(edges: DataFrame, pairs: DataFrame, direction: str) -> DataFrame:
+    """The pairs (root, next) of which next can be reached from root, first arrivals level by level; a root whose pairs are settled is walked no further."""
+    scratch = Scratch(edges.sparkSession, "pairs")
+    steps = scratch.write(oriented(edges, direction).select("frm", "to").distinct())
+    left = scratch.write(pairs.select("root", "next").distinct())
+    front, seen, found = left.select("root", F.col("root").alias("next")).distinct(), [], [left.limit(0)]
+    while left.head(1):
+        new = front.join(left.select("root").distinct(), "root", "left_semi").join(steps, F.col("next") == F.col("frm")).select("root", F.col("to").alias("next")).distinct()
+        front = scratch.write(new.join(_union(seen), ["root", "next"], "left_anti") if seen else new)
         if not front.head(1):
             break
-        seen.append(front.select("root", "next").distinct())
-        found.append(front)
-    if not found:
-        return front.limit(0)
-    out = _union(found)
-    return out.join(terminals.select("next").distinct(), "next", "left_semi").select("root", "next", "edge_ids", "node_ids") if terminals is not None else out
+        seen.append(front)
+        if len(seen) == 8:
+            seen = [scratch.write(_union(seen))]
+        hit = scratch.write(left.join(front, ["root", "next"], "left_semi"))
+        if hit.head(1):
+            found.append(hit)
+            left = scratch.write(left.join(hit, ["root", "next"], "left_anti"))
+    return _union(found)
 
 
 def hydrate(paths: DataFrame, node_values: DataFrame, edge_values: DataFrame) -> DataFrame:

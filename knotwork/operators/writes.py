@@ -89,8 +89,8 @@ def create(planner, frame: Frame, clause: S.Create) -> tuple[Frame, PropertyGrap
 
 
 def upsert_edges(graph: PropertyGraph, new: DataFrame, kind: str, props: dict[str, str]) -> PropertyGraph:
-    """Add edges (id, start_id, end_id, properties); one that is there already (same ends and kind) keeps its id and takes the new properties."""
-    new = new.groupBy("start_id", "end_id").agg(F.min("id").alias("id"), *[F.last(c, True).alias(c) for c in props.values()])
+    """Add edges (id, start_id, end_id, properties); one that is there already (same ends and kind) keeps its id and takes the new properties, of several values the largest."""
+    new = new.groupBy("start_id", "end_id").agg(F.min("id").alias("id"), *[F.max(c).alias(c) for c in props.values()])
     new = Scratch(graph.spark, "edges").write(new.select("id", "start_id", "end_id", *props.values()))
     ends = new.select(F.col("start_id").alias("__s"), F.col("end_id").alias("__t"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(props.values())])
     on = (F.col("start_id") == F.col("__s")) & (F.col("end_id") == F.col("__t")) & (F.col("kind") == kind)
@@ -213,9 +213,9 @@ def delete_by_kinds(graph: PropertyGraph, include=(), exclude=()) -> PropertyGra
 
 
 def upsert_nodes(graph: PropertyGraph, rows: DataFrame, kinds, identity: list[str]) -> PropertyGraph:
-    """Nodes by identity properties: one that has the kinds and equal identity takes the other columns of rows, a missing one is made. rows has a column for each property; the last of equal identity counts."""
+    """Nodes by identity properties: one that has the kinds and equal identity takes the other columns of rows, a missing one is made. rows has a column for each property; of several values for equal identity the largest counts."""
     others = [c for c in rows.columns if c not in identity]
-    rows = rows.groupBy(*identity).agg(*[F.last(c, True).alias(c) for c in others]) if others else rows.distinct()
+    rows = rows.groupBy(*identity).agg(*[F.max(c).alias(c) for c in others]) if others else rows.distinct()
     scan, _ = graph.node_scan(kinds, identity)
     known = scan.select(F.col("id").alias("__id"), *[F.col(f"`p:{c}`").alias(f"__i{k}") for k, c in enumerate(identity)])
     on = [F.col(c).cast("string") == F.col(f"__i{k}").cast("string") for k, c in enumerate(identity)]

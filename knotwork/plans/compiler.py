@@ -348,8 +348,16 @@ class Planner:
             scan = scan.where(equal(env(S.Prop(S.Var("__n"), k)), env(e)))
         return scan, b
 
+    def _settle_edges(self, part: S.PatternPart) -> None:
+        """Edges that several steps, or the levels of one, would make again and again are written first."""
+        steps = [(tuple(r.kinds), 2 if r.variable and (r.high is None or r.high > 1) or part.shortest else 1) for r in part.rels]
+        for kinds, _ in steps:
+            if sum(n for ks, n in steps if not kinds or not ks or set(kinds) & set(ks)) > 1 and (done := self.graph.settle(kinds)):
+                self.report.note("edges written once", ", ".join(done))
+
     def part(self, frame: Frame, part: S.PatternPart, pending: list[S.Expr], coming: set[str] | None = None) -> Frame:
         coming = set() if coming is None else coming
+        self._settle_edges(part)
         names = [n.var or fresh("a") for n in part.nodes]
         bound = [i for i, n in enumerate(names) if n in frame.names]
         outer = self.path_nodes
@@ -594,9 +602,11 @@ class Planner:
         high = self.config.max_depth if rel.high is None else rel.high
         frame = self.bind_node(frame, part.nodes[0], names[0], pending, coming) if names[0] in frame.names or frame.df is None or names[1] not in frame.names else self._cross(frame, part.nodes[0], names[0], pending, coming)
         here, terminals = frame.names[names[0]], None
+        pairs = None
         if names[1] in frame.names:
             frame = self.bind_node(frame, part.nodes[1], names[1], pending, coming)
             terminals = frame.df.select(F.col(frame.names[names[1]].id).alias("next"))
+            pairs = frame.df.select(F.col(here.id).alias("root"), F.col(frame.names[names[1]].id).alias("next"))
         else:
             alone = [e for e in pending if free_names(e) == {names[1]}]
             if part.nodes[1].kinds or part.nodes[1].props is not None or alone:
@@ -609,9 +619,11 @@ class Planner:
         for k, v in inline.items():
             edges = edges.where(equal(env(S.Prop(S.Var("__e"), k)), env(v)))
         roots = frame.df.select(F.col(here.id).alias("root"))
-        if terminals is not None and self.config.self_endpoint == "error" and self._same_single(roots, terminals):
-            raise QueryError("a shortest path needs two different ends")
-        paths = X.shortest(edges, roots, rel.direction, high, part.shortest == "all", terminals)
+        if terminals is not None and self.config.self_endpoint == "error":
+            own = pairs.where("root = next") if pairs is not None else self.bind_node(frame, part.nodes[1], names[1], list(pending), set(coming), here.id).df
+            if own.head(1):
+                raise QueryError("a shortest path needs two different ends: of some pair both are one node")
+        paths = X.shortest(edges, roots, rel.direction, high, part.shortest == "all", terminals, pairs)
         values, types2 = bool(rel.var) or bool(part.var and self.elements), None
         if values:
             ndf, nty, edf, ety = self._values(rel)
@@ -630,11 +642,6 @@ class Planner:
             frame = self.settle(self._path(frame, part, names, {0: seg}), pending, coming)
         return frame
 
-    @staticmethod
-    def _same_single(roots: DataFrame, terminals: DataFrame) -> bool:
-        a, b = (df.distinct().limit(2).collect() for df in (roots, terminals))
-        return len(a) == len(b) == 1 and a[0][0] == b[0][0]
-
     def _cross(self, frame, n, name, pending, coming) -> Frame:
         inner = self.bind_node(Frame(None), n, name, pending, coming)
         return self.settle(Frame(frame.df.crossJoin(inner.df), {**frame.names, **inner.names}), pending, coming)

@@ -11,12 +11,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests) a local folder."""
+    """spark.checkpoint.dir, or the folder given to setCheckpointDir. Where neither is set a local folder on a local master (tests), else an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or _LOCAL.get(sc.applicationId)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _LOCAL.get(sc.applicationId)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 

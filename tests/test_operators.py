@@ -6,8 +6,10 @@ from knotwork import fluent as Q
 from knotwork.engine import Engine
 from knotwork.graph import PropertyGraph
 from knotwork.operators import algorithms as A
+from knotwork.operators import expand as X
 from knotwork.operators import idsets, traversal, writes
 from knotwork.plans.parser import QueryError
+from knotwork.scratch import Scratch
 from tests.graphs import engine, plain, rows
 
 
@@ -53,6 +55,72 @@ def test_reach_and_components(spark, seed):
     assert {r[0] for r in far.or_reach(one).collect()} == a | b and {r[0] for r in far.xor_reach(one).collect()} == a ^ b
 
 
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_reach_between_components_and_its_cache(spark, direction):
+    nodes, edges, pairs, follow = random_graph(spark, 24, 26, 5)
+    turned = {i: {a for a, b in pairs if b == i} for i in follow}
+    way = {"out": follow, "in": turned, "both": {i: follow[i] | turned[i] for i in follow}}[direction]
+    reach = closure(way)
+    far = A.Reachability(nodes, edges)
+    ask = spark.createDataFrame([(a, b) for a in range(24) for b in range(24)] + [(0, 999), (999, 0)], "a long, b long")
+    got = {(r["a"], r["b"]): r["reachable"] for r in far.can_reach(ask, direction).collect()}
+    assert got == {(a, b): a < 24 and b < 24 and (a == b or b in reach[a]) for a, b in got}
+    ids = spark.createDataFrame([(3,), (4,)], "id long")
+    want = sorted((i, x) for i in (3, 4) for x in {i, *reach[i]})
+    assert sorted(tuple(r) for r in far.of(ids, direction).collect()) == want and far.computed == 1
+    assert sorted(tuple(r) for r in far.of(ids.where("id = 3"), direction).collect()) == [w for w in want if w[0] == 3] and far.computed == 1  # read again, not walked again
+    far.of(spark.createDataFrame([(3,), (9,)], "id long"), direction).collect()
+    assert far.computed <= 2
+
+
+def all_shortest(pairs, root, end, high):
+    """All shortest paths as lists of edge numbers, by going through all paths by length."""
+    front = [([], root, {root})]
+    for _ in range(high):
+        front = [([*es, i], b, seen | {b}) for es, at, seen in front for i, (a, b) in enumerate(pairs) if a == at and b not in seen]
+        if done := sorted(es for es, at, _ in front if at == end):
+            return done
+    return []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shortest_paths_from_both_sides(spark, seed):
+    nodes, edges, pairs, _ = random_graph(spark, 14, 26, seed)
+    roots, ends = spark.createDataFrame([(i,) for i in (0, 1, 5)], "root long"), spark.createDataFrame([(i,) for i in (1, 7, 9, 13)], "next long")
+    some = spark.createDataFrame([(0, 7), (1, 9), (5, 5), (0, 99)], "root long, next long")
+    for high in (2, 15):
+        for kept, of in (((None, None), [(r, t) for r in (0, 1, 5) for t in range(14)]), ((ends, None), [(r, t) for r in (0, 1, 5) for t in (1, 7, 9, 13)]), ((None, some), [(0, 7), (1, 9)])):
+            want = {(r, t): all_shortest(pairs, r, t, high) for r, t in of if r != t}
+            every = X.shortest(edges, roots, "out", high, True, *kept).collect()
+            assert sorted((r["root"], r["next"], r["edge_ids"]) for r in every) == sorted((r, t, es) for (r, t), found in want.items() for es in found)
+            assert all([pairs[e][1] for e in r["edge_ids"]] == r["node_ids"] for r in every)
+            one = X.shortest(edges, roots, "out", high, False, *kept).collect()
+            assert sorted((r["root"], r["next"], r["edge_ids"]) for r in one) == sorted((r, t, found[0]) for (r, t), found in want.items() if found)
+
+
+def test_walking_stops_when_all_pairs_have_met(spark):
+    names = [f"n{i}" for i in range(40)]
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(39)], "id long, start_id long, end_id long")
+    roots, ends = spark.createDataFrame([(0,)], "root long"), spark.createDataFrame([(3,)], "next long")
+    levels, write = [], Scratch.write
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Scratch, "write", lambda self, df: levels.append(1) or write(self, df))
+        assert [r["edge_ids"] for r in X.shortest(edges, roots, "out", 39, True, ends).collect()] == [[0, 1, 2]]
+    assert len(levels) < 15 and len(names) == 40
+
+
+def test_derived_edges_are_written_once(spark):
+    nodes = spark.range(6)
+    derived = spark.createDataFrame([(i, i, (i + 1) % 6) for i in range(6)] * 2, "id long, start_id long, end_id long").groupBy("start_id", "end_id").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    g = PropertyGraph.empty(spark).with_nodes(nodes, ["N"]).with_edges(derived, "E")
+    e = Engine(g)
+    one = e.explain("MATCH (a)-[:E]->(b) RETURN count(*) AS n")
+    assert "edges written once" not in one and "HashAggregate" in one
+    text = "MATCH (a)-[:E*1..3]->(b) RETURN a.id AS a, count(*) AS n"
+    assert "edges written once: E" in e.explain(text) and not g.edges[0].derived()
+    assert rows(e.query("MATCH (a)-[:E]->()-[:E]->(c) RETURN count(*) AS n")) == [(6,)]
+
+
 def test_degrees(spark):
     nodes, edges, pairs, follow = random_graph(spark)
     assert dict(rows(A.degrees(nodes, edges))) == {i: len(v) for i, v in follow.items()}
@@ -146,6 +214,30 @@ def test_upserts_and_kind_deletes(spark, small):
         writes.delete_by_kinds(small.graph, [], ["Nope"])
 
 
+def test_upserts_do_not_depend_on_the_order_of_rows(spark, small):
+    values = [(5, "y", 2), (5, "z", 1), (5, None, 3), (6, "a", None)]
+    for order in (values, values[::-1]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, "v long, note string, k long").repartition(parts)
+            g = writes.upsert_nodes(small.graph, df, ["A"], ["v"])
+            assert rows(Engine(g).query("MATCH (n:A) WHERE n.note IS NOT NULL RETURN n.v AS v, n.note AS t, n.k AS k")) == [("5", '"z"', "3"), ("6", '"a"', None)]
+
+
+def test_ends_of_shortest_paths_differ_pair_by_pair(spark):
+    nodes, edges = plain("abc", ("a", "b"), ("b", "a"), ("b", "c"))
+    e = engine(spark, nodes, edges)
+    lengths = lambda text, of=e: rows(of.query(f"MATCH p = {text} RETURN x.name AS x, y.name AS y, length(p) AS l"))
+    for bad in ("shortestPath((x {name: 'a'})-[*]->(y {name: 'a'}))", "shortestPath((x:N)-[*]->(y:N))", "allShortestPaths((x:N)-[*]->(y {name: 'c'}))"):
+        with pytest.raises(QueryError):
+            lengths(bad)
+    want = [('"a"', '"b"', 1), ('"a"', '"c"', 2), ('"b"', '"a"', 1), ('"b"', '"c"', 1)]
+    assert lengths("shortestPath((x:N)-[*]->(y:N)) WHERE x.name <> y.name") == want and lengths("shortestPath((x:N)-[*]->(y:N)) WHERE x <> y") == want
+    assert lengths("shortestPath((x:N)-[*]->(y:N))", engine(spark, nodes, edges, self_endpoint="skip")) == want
+    with pytest.raises(QueryError):
+        rows(e.query("MATCH (x:N), (y:N) WHERE x.name <> 'c' MATCH p = shortestPath((x)-[*]->(y)) RETURN length(p) AS l"))
+    assert rows(e.query("MATCH (x:N), (y:N) WHERE x <> y MATCH p = shortestPath((x)-[*]->(y)) RETURN x.name AS x, y.name AS y, length(p) AS l")) == want
+
+
 def test_fluent(small):
     n = Q.Nodes(small)
     assert n.filter(Q.kind(Q.NODE, "A")).count() == 2 and n.filter(Q.kind(Q.NODE, "A", "B")).count() == 3 and n.filter(Q.kind(Q.NODE)).count() == 0
