@@ -8,11 +8,8 @@ reader can fetch the metadata columns, or the tokens of a few documents, without
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress, count, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +21,15 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import Scratch, batches
 
 #: Characters on whose classes all Unicode versions and regex engines agree; other texts take the library's own path whole.
-PLAIN = r"[\t\n\r -~¡-ɏ]*"
+PLAIN = r"\A[\t\n\r -~¡-ɏ]*\z"
+#: White space next to white space or at the end, where a space or line break may not begin a pre-token.
+GAPS = r" \z|  |\n | \n|\n\n|\t|\r"
+#: In front of a text's first word, which has no space before it, and behind its last; texts that hold either are not plain.
+FIRST, LAST = "\x00", "\x01"
 #: In two generations, each below the size at which a table of Python's doubles (0.7 million).
-CACHE_WORDS = 1_350_000
+CACHE_WORDS = 900_000
+#: Of texts encoded at once, unless one batch has more.
+BATCH_BYTES = 4 << 20
 #: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
 MOST_BOUNDS = 1024
 
@@ -35,28 +38,29 @@ class Encoder:
     """The tokenizers library behind caches of what it gave for a word.
 
     A byte-level BPE encodes each pre-token by itself, and a single space always begins one; so a text can
-    be cut at its spaces, and a word seen before needs no second encoding.
+    be cut at its spaces, and a word seen before needs no second encoding. Arrow cuts a batch's texts and numbers its
+    different words; only those are looked up, and Arrow puts their ids in the words' places.
     """
 
-    def __init__(self, path: str, literal: bool = True):
-        """literal: an added token's literal in a text is text like other; else it is that token, as the library has it unless told otherwise."""
+    def __init__(self, path: str, end: int = 0):
+        """end: the id that closes each text."""
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = literal
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.plain = regex.compile(PLAIN.replace(r"\z", r"\Z")).match
         vocabulary = self.own.get_vocab()
         self.opens = {lead: np.zeros(self.own.get_vocab_size(), dtype=bool) for lead in " \n"}
         self.opens[" "][[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.opens["\n"][[i for t, i in vocabulary.items() if t == "Ċ"]] = True
-        self.plain = re.compile(PLAIN).fullmatch
         # Added tokens are found in the text before it is cut, so a text that may hold one goes to the library whole.
-        self.added = [] if literal else [t.content for t in self.own.get_added_tokens_decoder().values()]
-        # By what stands between spaces, the ids being those with the space before it; or by a line's first word
-        # with the line break before it, which is a pre-token of its own.
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.end = np.array([end], dtype=self.kind).tobytes()
+        # By what stands between spaces, the ids being those with the space before it; by a line's first word
+        # with the line break before it, which is a pre-token of its own; and by a text's first word after FIRST.
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}  # by pre-token, for those that are not a space and letters
@@ -91,7 +95,13 @@ class Encoder:
         return [b"".join(map(self._token, p)) for p in parts]
 
     def _learn(self, new: set[str]) -> None:
-        """Words as they stand between spaces, and lines' first words after a line break."""
+        """Words as they stand between spaces, lines' first words after a line break, and texts' first words."""
+        heads = [w for w in new if w[0] == FIRST]
+        if LAST in new:
+            self.words[LAST] = self.end
+            new.discard(LAST)
+        self.words.update(zip(heads, self._pieces([self.split(w[1:]) for w in heads]), strict=True))
+        new = new.difference(heads)
         for lead, mark, own in ((" ", "", [w for w in new if w[0] != "\n"]), ("\n", "\n", [w for w in new if w[0] == "\n"])):
             letters, ending, mixed = set(), [], []
             for w in own:
@@ -109,70 +119,88 @@ class Encoder:
             self.words.update([(mark + b, self.words[mark + b[:-1]] + self.tokens[b[-1]]) for b in ending])
             self.words.update(zip(mixed, self._pieces([self.split(w if mark else " " + w) for w in mixed]), strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text in the bytes of self.kind."""
-        out: list[bytes] = [b""] * len(texts)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and where each text's begin and the last's end."""
         if len(self.words) > CACHE_WORDS // 2:  # what is not met again before the next time goes
             self.old, self.words = self.words, {}
         if len(self.tokens) > CACHE_WORDS // 3:
             self.tokens.clear()
-        even, words, ends = [], [], []
-        for i, t in enumerate(texts):
-            if not self.plain(t) or any(a in t for a in self.added):
-                out[i] = self._raw([t])[0]
-            elif t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\t" in t or "\r" in t:
-                # White space next to white space, where a space or line break may not begin a pre-token.
-                out[i] = self._pieces([self.split(t)])[0]
-            else:
-                even.append(i)
-                cut = t.replace("\n", " \n").split(" ")
-                out[i] = cut.pop(0)
-                words += cut
-                ends.append(len(words))
-        ids = list(map(self.words.get, words))  # one look-up a word; what is new is filled in
-        missing = list(compress(count(), map(is_, ids, repeat(None))))
-        if missing:
-            new = {words[k] for k in missing}
-            kept = {w: v for w in new if (v := self.old.get(w)) is not None}
-            self.words.update(kept)
-            self._learn(new.difference(kept))
-            for k in missing:
-                ids[k] = self.words[words[k]]
-        heads = self._pieces([self.split(out[i]) for i in even])
-        low = 0
-        for i, head, high in zip(even, heads, ends, strict=True):
-            out[i] = head + b"".join(ids[low:high])
-            low = high
+        even = pc.and_not(pc.match_substring_regex(texts, PLAIN), pc.match_substring_regex(texts, GAPS))
+        for a in self.added:
+            even = pc.and_not(even, pc.match_substring(texts, a))
+        even = even.to_numpy(zero_copy_only=False)
+        data, ends = self._even(texts.filter(pa.array(even)))
+        if even.all():
+            return data, ends
+        other = self._others(texts.filter(pa.array(~even)).to_pylist())
+        raw = [np.frombuffer(x, dtype=self.kind) for x in other]
+        parts, k, j = [], 0, 0
+        for e in even.tolist():
+            parts.append(data[ends[k] : ends[k + 1]] if e else raw[j])
+            k, j = k + e, j + (not e)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        framed = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), f" {LAST}", "")
+        cut = pc.split_pattern(framed, " ")
+        numbered = cut.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.words.get, words))
+        missing = [k for k, v in enumerate(ids) if v is None]
+        new = [words[k] for k in missing]
+        kept = {w: v for w, v in zip(new, map(self.old.get, new), strict=True) if v is not None}
+        self.words.update(kept)
+        self._learn({w for w in new if w not in kept})
+        for k, w in zip(missing, new, strict=True):
+            ids[k] = self.words[w]
+        placed = pa.array(ids, type=pa.large_binary()).take(numbered.indices)
+        at = np.frombuffer(placed.buffers()[1], dtype=np.int64, count=len(placed) + 1 + placed.offset)[placed.offset :] if len(placed) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(placed.buffers()[2], dtype=self.kind, count=int(at[-1]) // self.kind.itemsize) if len(placed) else np.empty(0, dtype=self.kind)
+        return data, at[cut.offsets.to_numpy() - cut.offsets[0].as_py()] // self.kind.itemsize
+
+    def _others(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            whole = not self.plain(t) or any(a in t for a in self.added)
+            out.append((self._raw([t]) if whole else self._pieces([self.split(t)]))[0] + self.end)
         return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker and path."""
-    if path not in _ENCODERS:
+def encoder(path: str, end: int) -> Encoder:
+    """One for each worker, path and end id."""
+    key = f"{end} {path}"
+    if key not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path, literal=False)
-    return _ENCODERS[path]
+        _ENCODERS[key] = Encoder(path, end)
+    return _ENCODERS[key]
+
+
+def _gathered(it: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together to so many bytes: the more words at once, the fewer different ones."""
+    some, size = [], 0
+    for b in it:
+        if some and size + b.nbytes > most:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, size = [], 0
+        some.append(b)
+        size += b.nbytes
+    if size:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 def _encode(path: str, end: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, at = encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], dtype=encode.kind).tobytes()
-        for b in it:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                raw = [x + tail for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                sizes = np.array([len(r) // encode.kind.itemsize for r in raw], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.frombuffer(b"".join(raw), dtype=encode.kind).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(raw), shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(sizes), lists], names=["doc_id", "shard", "local_start", "n_tokens", "tokens"])
-                at += int(offsets[-1])
+        encode, shard, at = encoder(path, end), TaskContext.get().partitionId(), 0
+        for b in _gathered(it):
+            ids, offsets = encode(b.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets)), lists], names=["doc_id", "shard", "local_start", "n_tokens", "tokens"])
+            at += int(offsets[-1])
 
     return run
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -13,18 +14,35 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    """The library as loaded, nothing set."""
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(encode, texts):
+    ids, at = encode(pa.array(texts, type=pa.string()))
+    assert all(ids[e - 1] == 0 for e in at[1:])
+    return [ids[i : j - 1].tolist() for i, j in zip(at, at[1:], strict=False)]
 
 
 def test_encoder_equals_the_library():
     rng, own = random.Random(1), plain()
-    parts = [*"ab '.,\n\t1é,s ñ|<>-", "'s", " 'll", "<|endoftext|>", "  ", "\n\n", "日", "\x1c", "\r", "the", " quick", "\u00a0", "²", "ª", "\x85"]
+    parts = [*"ab '.,\n\t1é,s ñ|<>-\x00\x01", "'s", " 'll", "<|endoftext|>", "  ", "\n\n", "日", "\x1c", "\r", "the", " quick", "\u00a0", "²", "ª", "\x85"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(8000)]
     encode = Encoder(PATH)
-    for t, raw in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(raw, dtype=encode.kind).tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+    for some in (texts, ["", "a", ""], ["b c"], [" x"], ["", ""], ["a<|endoftext|>b"], []):
+        for t, ids in zip(some, ids_of(encode, some), strict=True):
+            assert ids == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    from knotwork.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    rng, own, encode = random.Random(2), plain(), Encoder(PATH)
+    words = [*"ab'1,", "some", "words,", "met", "again\nand", "1st", "don't", "újra"]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(5)]
+        assert ids_of(encode, texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def brute(rows):
@@ -77,9 +95,8 @@ def test_many_ranges_and_one(spark, odd_docs, monkeypatch):
 def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
     own = Tokenizer.from_file(PATH)
     texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n c", "one <|endoftext| > two", "one two", "日 <|endoftext|> 本"]
-    encode = Encoder(PATH, literal=False)
-    for t, raw in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(raw, dtype=encode.kind).tolist() == own.encode(t, add_special_tokens=False).ids, t
+    for t, ids in zip(texts, ids_of(Encoder(PATH), texts), strict=True):
+        assert ids == own.encode(t, add_special_tokens=False).ids, t
     want, at = [], 0
     for d, t in enumerate(texts):
         ids = own.encode(t, add_special_tokens=False).ids + [0]
