@@ -14,7 +14,7 @@ from knotwork.operators import idsets, traversal, writes
 from knotwork.plans.compiler import Config
 from knotwork.sources import documents, metrics
 from knotwork.sources import scrub as scrubbing
-from knotwork.sources.mapping import SHIFT, TAGS, events_dynamic, ident, table_graph
+from knotwork.sources.mapping import SHIFT, TAGS, TURNS, events_dynamic, ident, table_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,7 +170,6 @@ cypher("varlen_1_3", "MATCH (a:Nation)-[:TOP_TRADE*1..3]->(b:Nation) RETURN a.n_
 cypher("varlen_min", "MATCH (a:Nation)-[:TOP_TRADE*3..5]->(b:Nation) WHERE a.n_nationkey < 5 RETURN a.n_nationkey AS a, count(*) AS n", f"{_R}{trails(5)} SELECT root AS a, count(*) AS n FROM w WHERE depth >= 3 AND root < 5 GROUP BY 1")
 cypher("varlen_zero", "MATCH (a:Nation)-[:TOP_TRADE*0..2]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, count(*) AS n", f"{_R}{trails(2)} SELECT a, b, count(*) AS n FROM (SELECT root AS a, nxt AS b FROM w UNION ALL SELECT n_nationkey, n_nationkey FROM nation) GROUP BY 1, 2")
 cypher("varlen_selfloop", "MATCH (a:Nation)-[:TOP_TRADE*1..4]->(a) RETURN a.n_nationkey AS a, count(*) AS n", f"{_R}{trails(4)} SELECT root AS a, count(*) AS n FROM w WHERE root = nxt GROUP BY 1")
-cypher("varlen_suffix", "MATCH (a:Nation {n_nationkey: 4})-[:TOP_TRADE*1..3]->(b:Nation)-[:IN_REGION]->(r:Region {r_name: 'ASIA'}) RETURN b.n_name AS b, count(*) AS n", f"{_R}{trails(3)} SELECT n_name AS b, count(*) AS n FROM w JOIN nation ON nxt = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE root = 4 AND r_name = 'ASIA' GROUP BY 1")
 cypher("varlen_path", "MATCH p = (a:Nation)-[:TOP_TRADE*1..3]->(b:Nation) WHERE a.n_nationkey = 2 RETURN [x IN nodes(p) | x.n_nationkey] AS ks", f"{_R}{trails(3)} SELECT '2,' || array_to_string(list_transform(path, lambda x: x % 100), ',') AS ks FROM w WHERE root = 2", in_order("ks"))
 cypher("varlen_rel_list", "MATCH (a:Nation {n_nationkey: 1})-[r:TOP_TRADE*1..2]->(b) RETURN size(r) AS k, count(*) AS n", f"{_R}{trails(2)} SELECT depth::BIGINT AS k, count(*) AS n FROM w WHERE root = 1 GROUP BY 1")
 cypher("varlen_long", "MATCH (a:Event)-[:NEXT*..6]->(b:Event) WHERE a.event_type = 'click' RETURN count(*) AS n", f"{_R}{trails(6, 'nx', 100000000)} SELECT count(*) AS n FROM w JOIN events ON root = event_id WHERE event_type = 'click'")
@@ -299,37 +298,34 @@ def _walks(spark, sf_dir):
     return A.walks(edges, _roots(nodes, 0, 1), "out", 4)[1].groupBy("root", "next").agg(F.count("*").alias("n"))
 
 
-_CHAIN = "(SELECT conv_id * 1024 + turn AS s, lead(conv_id * 1024 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS e, turn FROM conversations)"
-
-
 def _message_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g, cut = table_graph(spark, sf_dir), TAGS["Message"] * SHIFT
     nodes = g.node_scan(["Message"])[0].select((F.col("id") - cut).alias("id"))
     return nodes, g.edge_scan(["REPLIES"])[0].select("id", (F.col("start_id") - cut).alias("start_id"), (F.col("end_id") - cut).alias("end_id"))
 
 
-@query("weighted_terminals", "SELECT c * 1024 AS root, c * 1024 + k AS next, pow(0.5, k) AS weight FROM (SELECT conv_id c, max(turn) k FROM conversations GROUP BY 1) WHERE k > 0")
+@query("weighted_terminals", f"SELECT c * {TURNS} AS root, c * {TURNS} + k AS next, pow(0.5, k) AS weight FROM (SELECT conv_id c, max(turn) k FROM conversations GROUP BY 1) WHERE k > 0")
 def _weighted(spark, sf_dir):
     nodes, edges = _message_edges(spark, sf_dir)
-    roots = nodes.where("id % 1024 = 0").select(F.col("id").alias("root"))
+    roots = nodes.where(f"id % {TURNS} = 0").select(F.col("id").alias("root"))
     return A.weighted_terminals(edges.withColumn("w", F.lit(0.5)), roots, "w", "out")
 
 
 # traversals
 
-@query("traverse_paths", "SELECT c * 1024 AS root, c * 1024 + k AS next, k AS l FROM (SELECT conv_id c, max(turn) k FROM conversations GROUP BY 1) WHERE k > 0")
+@query("traverse_paths", f"SELECT c * {TURNS} AS root, c * {TURNS} + k AS next, k AS l FROM (SELECT conv_id c, max(turn) k FROM conversations GROUP BY 1) WHERE k > 0")
 def _traverse(spark, sf_dir):
     nodes, edges = _message_edges(spark, sf_dir)
-    roots = nodes.where("id % 1024 = 0").select(F.col("id").alias("root"))
+    roots = nodes.where(f"id % {TURNS} = 0").select(F.col("id").alias("root"))
     return traversal.paths(edges, roots)[0].select("root", "next", F.size("edge_ids").cast("long").alias("l"))
 
 
-@query("intermediary_paths", "SELECT conv_id * 1024 AS root, conv_id * 1024 + turn AS next FROM conversations WHERE turn > 0 AND role = 'assistant'")
+@query("intermediary_paths", f"SELECT conv_id * {TURNS} AS root, conv_id * {TURNS} + turn AS next FROM conversations WHERE turn > 0 AND role = 'assistant'")
 def _intermediary(spark, sf_dir):
     nodes, edges = _message_edges(spark, sf_dir)
     g = Engine(table_graph(spark, sf_dir))
     ends = Q.Nodes(g).filter(Q.kind(Q.NODE, "Message"), Q.equals(Q.prop(Q.NODE, "role"), "assistant")).fetch_ids().select((F.col("id") - TAGS["Message"] * SHIFT).alias("id"))
-    roots = nodes.where("id % 1024 = 0").select(F.col("id").alias("root"))
+    roots = nodes.where(f"id % {TURNS} = 0").select(F.col("id").alias("root"))
     return traversal.intermediary_paths(edges, roots, ends).select("root", "next")
 
 
@@ -345,14 +341,7 @@ def _terminals(spark, sf_dir):
     return traversal.acyclic_terminals(edges, _roots(nodes, 2)).select("id")
 
 
-@query("continuation", f"SELECT DISTINCT {num('Order', 'o_orderkey')} AS root, {num('Nation', 'c_nationkey')} AS next FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 200")
-def _continuation(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    roots = g.node_scan(["Order"], ["o_orderkey"])[0].where("`p:o_orderkey` < 200").select(F.col("id").alias("root"))
-    return traversal.Continuation().inbound(1, 1, ["PLACED"]).outbound(1, 1, ["IN_NATION"]).run(g, roots).select("root", "next").distinct()
-
-
-@query("continuation_all_orders", f"SELECT DISTINCT {num('Order', 'o_orderkey')} AS root, {num('Nation', 'c_nationkey')} AS next FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("continuation", f"SELECT DISTINCT {num('Order', 'o_orderkey')} AS root, {num('Nation', 'c_nationkey')} AS next FROM orders JOIN customer ON o_custkey = c_custkey")
 def _continuation_all(spark, sf_dir):
     g = table_graph(spark, sf_dir)
     roots = g.node_scan(["Order"])[0].select(F.col("id").alias("root"))
@@ -526,16 +515,7 @@ def _relationships(spark, sf_dir):
     return sets.relationships(table_graph(spark, sf_dir), ids, "both", ["TOP_TRADE"]).drop("id")
 
 
-@query("far_nodes", f"SELECT DISTINCT {num('Part', 'l_partkey')} AS id FROM lineitem WHERE l_orderkey < 50")
-def _far(spark, sf_dir):
-    from knotwork.operators import sets
-
-    g = table_graph(spark, sf_dir)
-    ids = g.node_scan(["Order"], ["o_orderkey"])[0].where("`p:o_orderkey` < 50")
-    return sets.far_nodes(g, ids, "out", ["CONTAINS"])
-
-
-@query("far_nodes_all_orders", f"SELECT DISTINCT {num('Part', 'l_partkey')} AS id FROM lineitem")
+@query("far_nodes", f"SELECT DISTINCT {num('Part', 'l_partkey')} AS id FROM lineitem")
 def _far_all(spark, sf_dir):
     from knotwork.operators import sets
 
@@ -586,3 +566,6 @@ def plan_corpus(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Planner notes and formatted plan of every query text."""
     engines = {d: Engine((events_dynamic if d else table_graph)(spark, sf_dir)) for d in (False, True)}
     return {name: engines[name.startswith("dynamic")].explain(text, **({"p": {"n_regionkey": 1}, "low": 6} if name == "param_props" else {})) for name, text in TEXTS.items()}
+
+
+from knotwork import catalog_more  # noqa: E402, F401  registers further queries

@@ -38,10 +38,10 @@ def canonical(fragment: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of documents, one file each: (id string, kinds, props) and (start_id, end_id string, kind, props)."""
-    doc = spark.read.text(list(paths), wholetext=True).select(F.from_json("value", DOCUMENT).alias("d"))
+    """(nodes, edges) of documents, one file each: (id string, kinds, props) and (start_id, end_id string, kind, props, at), at being the edge's file and place."""
+    doc = spark.read.text(list(paths), wholetext=True).select(F.from_json("value", DOCUMENT).alias("d"), F.col("_metadata.file_path").alias("file"))
     nodes = doc.select(F.inline("d.graph.nodes")).select("id", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), fragments(F.col("properties")).alias("props"))
-    edges = doc.select(F.inline("d.graph.edges")).select("start_id", "end_id", "kind", fragments(F.col("properties")).alias("props"))
+    edges = doc.select(F.posexplode("d.graph.edges").alias("pos", "e"), "file").select("e.start_id", "e.end_id", "e.kind", fragments(F.col("e.properties")).alias("props"), F.struct("file", "pos").alias("at"))
     return nodes, edges
 
 
@@ -73,15 +73,16 @@ class Loaded:
 
 
 def load(spark: SparkSession, nodes: DataFrame, edges: DataFrame, verify: bool = True) -> Loaded:
-    """A graph with ids of its own. Repeated edges (same ends and kind) become one with the properties merged, later ones on top."""
+    """A graph with ids of its own. Repeated edges (same ends and kind) become one with the properties merged, in the order of their JSON texts, later ones on top; a column `at` of edges, if there is one, comes first in that order."""
     if verify and (faults := check(nodes, edges)):
         raise DocumentError("; ".join(faults))
     scratch = Scratch(spark, "load")
     rows = scratch.write(nodes.withColumn("node_id", F.monotonically_increasing_id()))
     ids = rows.select("id", "node_id")
     a, b = ids.select(F.col("id").alias("start_id"), F.col("node_id").alias("s")), ids.select(F.col("id").alias("end_id"), F.col("node_id").alias("t"))
-    placed = edges.withColumn("at", F.monotonically_increasing_id()).join(a, "start_id").join(b, "end_id")
-    merged = placed.groupBy("s", "t", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "props")), lambda a, b: F.signum(a["at"] - b["at"]).cast("int")).alias("all"))
+    order = F.struct(*([F.col("at")] if "at" in edges.columns else []), F.to_json("props"))
+    placed = edges.withColumn("at", order).join(a, "start_id").join(b, "end_id")
+    merged = placed.groupBy("s", "t", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "props")), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)).alias("all"))
     props = F.aggregate("all", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(x["props"], k)), x["props"]))
     made = scratch.write(merged.select(F.monotonically_increasing_id().alias("id"), F.col("s").alias("start_id"), F.col("t").alias("end_id"), "kind", props.alias("props")))
     return Loaded(PropertyGraph.dynamic(spark, rows.select(F.col("node_id").alias("id"), "kinds", "props"), made), ids)
@@ -99,8 +100,38 @@ def edge_records(graph: PropertyGraph) -> DataFrame:
     return df.select("id", text.alias("record"))
 
 
+def export_to(graph: PropertyGraph, path: str) -> str:
+    """The document as one file at path, of any size: records are written by tasks in order of id, and joined file by file.
+
+    What passes through the driver is a buffer at a time.
+    """
+    spark, scratch = graph.spark, Scratch(graph.spark, "export")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    out.write(bytearray(b'{"graph":{"nodes":['))
+    for opening, records in ((b"", node_records(graph)), (b'],"edges":[', edge_records(graph))):
+        out.write(bytearray(opening))
+        folder, first = f"{scratch.root}/{'edges' if opening else 'nodes'}", True
+        # A comma before every record but the first of its file.
+        records.repartitionByRange("id").sortWithinPartitions("id").select("record").write.option("lineSep", ",").text(folder)
+        fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+        parts = sorted((f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.getLen() and f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        for part in parts:
+            if not first:
+                out.write(bytearray(b","))
+            first = False
+            # Each file ends in a separator, which is left out.
+            source = fs.open(part)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, fs.getFileStatus(part).getLen() - 1)
+            source.close()
+    out.write(bytearray(b"]}}"))
+    out.close()
+    return path
+
+
 def export(graph: PropertyGraph) -> str:
-    """The document of a graph that fits the driver; larger ones are dumped (dump.py)."""
+    """The document of a graph that fits the driver; larger ones go to a file (export_to) or a dump (dump.py)."""
     n = ",".join(r["record"] for r in node_records(graph).orderBy("id").toLocalIterator())
     e = ",".join(r["record"] for r in edge_records(graph).orderBy("id").toLocalIterator())
     return f'{{"graph":{{"nodes":[{n}],"edges":[{e}]}}}}'

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +21,19 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _digests(spark: SparkSession, folder: str) -> list[dict]:
-    """Rows and SHA-256 of each file's content, lines in file order; computed where the files are read."""
-    lines = spark.read.text(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value", F.xxhash64("value").alias("h"))
-    found = lines.groupBy("file").agg(F.count("*").alias("count"), F.sha2(F.concat_ws(",", F.sum(F.col("h").cast("decimal(38,0)")).cast("string"), F.count("*").cast("string"), F.bit_xor("h").cast("string")), 256).alias("sha256"))
+    """Rows, bytes and SHA-256 of each file as it lies there; read and digested by the executors. A row for each file comes back."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("file")
+    lines = spark.read.text(folder).select(name("_metadata.file_path")).groupBy("file").agg(F.count("*").alias("count"))
+    files = spark.read.format("binaryFile").load(f"{folder}/part-*").select(name("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = files.join(lines, "file", "left").select("file", F.coalesce("count", F.lit(0)).alias("count"), "bytes", "sha256")
     return [r.asDict() for r in found.orderBy("file").collect()]
 
 
 def dump(graph: PropertyGraph, path: str, name: str = "graph", compression: str = "gzip", partitions: int | None = None, resume: bool = False, extra: dict | None = None) -> dict:
     """Write nodes and edges below path, then the manifest. resume keeps a phase that is complete (its _SUCCESS is there).
 
-    A file's checksum is that of its lines as a set: the order in which a reader meets them does not count.
+    A file's checksum is the SHA-256 of its bytes. A file is read whole for it, so partitions should be many enough that none
+    has more than some hundred MB.
     """
     spark = graph.spark
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,7 +83,3 @@ def load_dump(spark: SparkSession, path: str, verify: bool = True, into: Propert
 def _kinds(nodes: DataFrame, edges: DataFrame) -> set[str]:
     found = nodes.select(F.explode("kinds").alias("k")).union(edges.select("kind")).distinct()
     return {r[0] for r in found.collect()}  # a dictionary
-
-
-def checksum(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -16,14 +16,21 @@ from knotwork.graph import PropertyGraph
 #: The number of each node kind within ids.
 TAGS = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "User": 7, "Event": 8, "Document": 9, "Message": 10}
 SHIFT = 1 << 48
+#: Turns of a conversation that have keys of their own.
+TURNS = 1 << 20
 
 
 def ident(kind: str, key: Column | str) -> Column:
-    return F.lit(TAGS[kind] * SHIFT) + (F.col(key) if isinstance(key, str) else key).cast("long")
+    return F.lit(TAGS[kind] * SHIFT) + _below((F.col(key) if isinstance(key, str) else key).cast("long"), SHIFT)
+
+
+def _below(key: Column, limit: int) -> Column:
+    """The key; one that would run into another's number ends the query. Null stays null."""
+    return F.when((key >= limit) | (key < 0), F.raise_error(F.lit(f"a key that is not below {limit}")).cast("long")).otherwise(key)
 
 
 def message_key(conv: str = "conv_id", turn: str = "turn") -> Column:
-    return F.col(conv).cast("long") * 1024 + F.col(turn).cast("long")
+    return F.col(conv).cast("long") * TURNS + _below(F.col(turn).cast("long"), TURNS)
 
 
 def _edge(df: DataFrame, start: Column, end: Column, tag: int, *props: str) -> DataFrame:

@@ -6,23 +6,15 @@ pseudonyms everywhere and none can be traced without the salt.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.types import json_text
+from knotwork.functions.types import as_json, json_text, of_spark
 from knotwork.graph import PropertyGraph, Source
 
-#: Rules by normalised key (lower case, without -, _ and spaces), patterns and layouts.
-REFERENCE = ("domainsid", "objectid", "sid", "ownersid", "primarygroupid", "objectsid", "domain", "domainname")
-PRESERVE = ("objectid", "domainsid", "kind")
-TIMESTAMP = r"time|date|created|updated|deleted|modified|seenat$"
-FREE_TEXT = r"description|comment|note|^info$"
-PATH_OR_SCRIPT = r"path|directory|homedir|folder|script"
-SECRET = r"password|secret|token|privatekey|credential|apikey"
-SENSITIVE = r"password|secret|token|credential|privatekey|apikey|email|mail|phone|address|name|dns"
-ORGANISATION = ("title", "department", "division", "company", "organization", "office", "location")
+#: Patterns and layouts of texts.
 SHAPES = {
     "email": r"(?i)^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$",
     "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -35,11 +27,31 @@ SHAPES = {
 
 @dataclass(frozen=True)
 class Rules:
+    """What to do with which key; the defaults are fixed values. Keys are compared in lower case without -, _ and spaces; patterns are looked for anywhere in them."""
+
     salt: str
     domain: str = "example.invalid"
     shift_days: int = 17
     marker: str = "[REDACTED]"
     long_text: int = 512
+    reference: tuple[str, ...] = ("domainsid", "objectid", "sid", "ownersid", "primarygroupid", "objectsid", "domain", "domainname")
+    preserve: tuple[str, ...] = ("objectid", "domainsid", "kind")
+    timestamp: str = r"time|date|created|updated|deleted|modified|seenat$"
+    free_text: str = r"description|comment|note|^info$"
+    path_or_script: str = r"path|directory|homedir|folder|script"
+    secret: str = r"password|secret|token|privatekey|credential|apikey"
+    sensitive: str = r"password|secret|token|credential|privatekey|apikey|email|mail|phone|address|name|dns"
+    organisation: tuple[str, ...] = ("title", "department", "division", "company", "organization", "office", "location")
+    #: Objects within objects are scrubbed so deep; what lies deeper is redacted.
+    depth: int = 3
+
+    @classmethod
+    def of(cls, settings: dict) -> Rules:
+        """Rules from a dictionary, such as a parsed file; an unknown setting is an error."""
+        known = {f.name for f in fields(cls)}
+        if more := set(settings) - known:
+            raise ValueError(f"unknown settings {sorted(more)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
 
 
 def normalised(key: Column) -> Column:
@@ -96,13 +108,13 @@ def action(key: Column, fragment: Column, rules: Rules) -> Column:
     any_shape = "|".join(f"(?:{p})" for p in SHAPES.values())
     shaped = (is_text & F.trim(text).rlike(any_shape)) | (is_list & F.coalesce(F.exists(items, lambda x: F.trim(x).rlike(any_shape)), F.lit(False)))
     return (
-        F.when(k.isin(*REFERENCE) & texts, "pseudonymize")
-        .when(k.isin(*PRESERVE), "preserve")
-        .when(k.rlike(TIMESTAMP), "shift_timestamp")
-        .when(k.rlike(FREE_TEXT), "redact")
-        .when(k.rlike(PATH_OR_SCRIPT), "pseudonymize")
-        .when(k.rlike(SECRET) | long, "redact")
-        .when(shaped | k.rlike(SENSITIVE) | k.isin(*ORGANISATION) | texts, "pseudonymize")
+        F.when(k.isin(*rules.reference) & texts, "pseudonymize")
+        .when(k.isin(*rules.preserve), "preserve")
+        .when(k.rlike(rules.timestamp), "shift_timestamp")
+        .when(k.rlike(rules.free_text), "redact")
+        .when(k.rlike(rules.path_or_script), "pseudonymize")
+        .when(k.rlike(rules.secret) | long, "redact")
+        .when(shaped | k.rlike(rules.sensitive) | k.isin(*rules.organisation) | texts, "pseudonymize")
         .otherwise("preserve")
     )
 
@@ -127,31 +139,68 @@ def _shifted(text: Column, rules: Rules) -> Column:
     return F.when(is_moment, F.concat(short, F.lit("Z"))).otherwise(pseudonym(text, rules))
 
 
-def scrubbed(key: Column, fragment: Column, rules: Rules) -> Column:
-    """The fragment as the rules leave it."""
+def _inside(fragment: Column, rules: Rules, depth: int) -> Column:
+    """A JSON object, or a list of such, with each property scrubbed by its own key."""
+    if depth <= 0:
+        return _quote(F.lit(rules.marker))
+
+    def one(text: Column) -> Column:
+        bag = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+        pairs = F.transform(F.map_entries(bag), lambda e: F.struct(e["key"].alias("k"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("v")))
+        parts = F.transform(pairs, lambda e: F.concat(_quote(e["k"]), F.lit(":"), F.when(e["v"] == "null", e["v"]).otherwise(scrubbed(e["k"], e["v"], rules, depth - 1))))
+        return F.coalesce(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")), _quote(F.lit(rules.marker)))
+
+    items = F.transform(F.try_variant_get(F.try_parse_json(fragment), "$", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+    many = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.when(x.startswith("{"), one(x)).otherwise(_quote(F.lit(rules.marker)))), ","), F.lit("]"))
+    return F.when(fragment.startswith("{"), one(fragment)).otherwise(F.coalesce(many, _quote(F.lit(rules.marker))))
+
+
+def scrubbed(key: Column, fragment: Column, rules: Rules, depth: int | None = None) -> Column:
+    """The fragment as the rules leave it. Objects, and lists that hold objects, are gone into unless their key is preserved or redacted."""
+    depth = rules.depth if depth is None else depth
     number = fragment.rlike("^-?[0-9]")
     seconds = (fragment.try_cast("decimal(38,6)") + F.lit(rules.shift_days * 86400)).cast("string")
     shift = F.when(number, F.when(fragment.contains("."), F.regexp_replace(F.regexp_replace(seconds, "0+$", ""), r"\.$", "")).otherwise(F.regexp_replace(seconds, r"\..*$", ""))).otherwise(_each(fragment, lambda t: _shifted(t, rules)))
     redacted = F.when(fragment.startswith("["), F.concat(F.lit("["), F.array_join(F.transform(F.from_json(fragment, "array<string>"), lambda _: _quote(F.lit(rules.marker))), ","), F.lit("]"))).otherwise(_quote(F.lit(rules.marker)))
     a = action(key, fragment, rules)
-    return F.when(a == "pseudonymize", _each(fragment, lambda t: pseudonym(t, rules))).when(a == "redact", redacted).when(a == "shift_timestamp", shift).otherwise(fragment)
+    nested = fragment.startswith("{") | (fragment.startswith("[") & fragment.contains("{") & fragment.rlike(r"^\[\s*\{|\}\s*\]$"))
+    if_nested = F.when(a == "redact", redacted).when(normalised(key).isin(*rules.preserve), fragment).otherwise(_inside(fragment, rules, depth))
+    return F.when(nested, if_nested).when(a == "pseudonymize", _each(fragment, lambda t: pseudonym(t, rules))).when(a == "redact", redacted).when(a == "shift_timestamp", shift).otherwise(fragment)
 
 
 def scrub_map(bag: Column, rules: Rules) -> Column:
     return F.transform_values(bag, lambda k, v: F.when(v == "null", v).otherwise(scrubbed(k, v, rules)))
 
 
+def _bag(s: Source) -> Column:
+    """A source's properties as a map of JSON fragments."""
+    if s.bag:
+        return F.col(f"`{s.bag}`")
+    pairs = [F.struct(F.lit(k).alias("key"), as_json(F.col(f"`{c}`"), of_spark(s.df.schema[c].dataType)).alias("value")) for k, c in s.props.items()]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+
+
 def scrub(graph: PropertyGraph, rules: Rules) -> PropertyGraph:
     """The graph with all properties scrubbed, as property bags. Ids and kinds stay."""
-    from knotwork.functions.types import as_json, of_spark
-
     def one(s: Source) -> Source:
-        if s.bag:
-            bag = F.col(f"`{s.bag}`")
-        else:
-            pairs = [F.struct(F.lit(k).alias("key"), as_json(F.col(f"`{c}`"), of_spark(s.df.schema[c].dataType)).alias("value")) for k, c in s.props.items()]
-            bag = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
         fixed = [c for c in s.df.columns if c != s.bag and c not in s.props.values()]
-        return Source(s.df.select(*fixed, scrub_map(bag, rules).alias("props")), {}, s.static, "props")
+        return Source(s.df.select(*fixed, scrub_map(_bag(s), rules).alias("props")), {}, s.static, "props")
 
     return PropertyGraph(graph.spark, [one(s) for s in graph.nodes], [one(s) for s in graph.edges])
+
+
+def action_counts(graph: PropertyGraph, rules: Rules) -> DataFrame:
+    """(element, action, count): how many properties of nodes and edges each action is for."""
+    out = None
+    for element, sources in (("node", graph.nodes), ("edge", graph.edges)):
+        for s in sources:
+            each = s.df.select(F.explode(_bag(s)).alias("k", "v")).where("v <> 'null'").select(F.lit(element).alias("element"), action(F.col("k"), F.col("v"), rules).alias("action"))
+            out = each if out is None else out.unionByName(each)
+    return out.groupBy("element", "action").agg(F.count("*").alias("count")) if out is not None else graph.spark.createDataFrame([], "element string, action string, count long")
+
+
+def metadata(rules: Rules) -> dict:
+    """What a dump's manifest says of its scrubbing; the salt only as a digest."""
+    import hashlib
+
+    return {"scrubbed": True, "salt_sha256": hashlib.sha256(rules.salt.encode()).hexdigest(), **{f.name: getattr(rules, f.name) for f in fields(rules) if f.name != "salt"}}

@@ -102,6 +102,76 @@ def test_scrub(spark):
     assert got["xs"] == ["value-" + digest(x)[:16] for x in ("a", "b")] and got["title"] == "value-" + digest("Boss")[:16]
 
 
+def test_scrub_goes_into_objects(spark):
+    import hashlib
+    import hmac
+
+    digest = lambda t: hmac.new(b"pepper", t.encode(), hashlib.sha256).hexdigest()
+    props = {
+        "owner": {"email": "a@b.co", "count": 3, "note": "free", "objectid": 7, "inner": {"title": "Boss", "deeper": {"x": "y", "deepest": {"z": "w"}}}},
+        "people": [{"title": "Boss"}, {"n": 1}], "secret": {"a": "b"}, "kind": {"a": "b"}, "title": {"a": "b{c}"}, "xs": ["{a}", "b"],
+    }
+    graph = engine(spark, {"n": (["N"], props)}, []).graph
+    got = {k: json.loads(v) for k, v in scrub.scrub(graph, scrub.Rules(salt="pepper")).nodes[0].df.first()["props"].items()}
+    assert got["owner"]["email"] == f"user-{digest('a@b.co')[:12]}@example.invalid" and got["owner"]["count"] == 3 and got["owner"]["note"] == "[REDACTED]" and got["owner"]["objectid"] == 7
+    assert got["owner"]["inner"]["title"] == "value-" + digest("Boss")[:16] and got["owner"]["inner"]["deeper"] == {"x": "value-" + digest("y")[:16], "deepest": "[REDACTED]"}
+    assert got["people"] == [{"title": "value-" + digest("Boss")[:16]}, {"n": 1}] and got["secret"] == "[REDACTED]" and got["kind"] == {"a": "b"}
+    assert got["title"] == {"a": "value-" + digest("b{c}")[:16]} and got["xs"] == ["value-" + digest(x)[:16] for x in ("{a}", "b")]
+    assert "b@" not in json.dumps(got)
+
+
+def test_scrub_settings(spark):
+    rules = scrub.Rules.of({"salt": "s", "preserve": ["title"], "organisation": ["count"], "marker": "-", "shift_days": 1})
+    graph = engine(spark, {"n": (["N"], {"title": "Boss", "description": "x", "created": 0})}, []).graph
+    got = {k: json.loads(v) for k, v in scrub.scrub(graph, rules).nodes[0].df.first()["props"].items()}
+    assert got["title"] == "Boss" and got["description"] == "-" and got["created"] == 86400
+    counts = {(r["element"], r["action"]): r["count"] for r in scrub.action_counts(graph, rules).collect()}
+    assert counts == {("node", "preserve"): 1, ("node", "redact"): 1, ("node", "shift_timestamp"): 1, ("node", "pseudonymize"): 1}
+    assert scrub.metadata(rules)["preserve"] == ("title",) and "salt" not in scrub.metadata(rules)
+    with pytest.raises(ValueError):
+        scrub.Rules.of({"salt": "s", "nope": 1})
+
+
+def test_export_to_a_file(spark, tmp_path):
+    g = documents.load(spark, *documents.read_documents(spark, written(tmp_path, DOC))).graph
+    path = documents.export_to(g, str(tmp_path / "out.json"))
+    want, got = json.loads(documents.export(g)), json.loads(open(path).read())
+    assert got == want
+    empty = documents.export_to(type(g)(spark, [], []), str(tmp_path / "none.json"))
+    assert json.loads(open(empty).read()) == {"graph": {"nodes": [], "edges": []}}
+
+
+def test_checksums_are_of_the_files(spark, tmp_path):
+    import glob
+    import hashlib
+
+    g = documents.load(spark, *documents.read_documents(spark, written(tmp_path, DOC))).graph
+    m = dump.dump(g, str(tmp_path / "d"), partitions=2)
+    files = {(f["phase"], f["file"]): (f["sha256"], f["bytes"]) for f in m["graphs"][0]["files"]}
+    there = {(phase, p.rsplit("/", 1)[1]): open(p, "rb").read() for phase in ("nodes", "edges") for p in glob.glob(str(tmp_path / "d" / phase / "part-*"))}
+    assert files == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in there.items()}
+
+
+def test_repeated_edges_merge_in_file_order(spark, tmp_path):
+    """Later ones on top, whatever the partitions."""
+    doc = {"graph": {"nodes": [{"id": x, "kinds": []} for x in "ab"], "edges": [{"start_id": "a", "end_id": "b", "kind": "R", "properties": {"w": w}} for w in (5, 9, 7)]}}
+    nodes, edges = documents.read_documents(spark, written(tmp_path, doc))
+    for parts in (1, 5):
+        assert rows(Engine(documents.load(spark, nodes, edges.repartition(parts)).graph).query("MATCH ()-[r:R]->() RETURN r.w AS w")) == [("7",)]
+
+
+def test_keys_beyond_their_range_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.sources.mapping import SHIFT, TURNS, ident, message_key
+
+    df = spark.createDataFrame([(SHIFT - 1, 3), (None, 4)], "conv_id long, turn long")
+    assert [r[0] for r in df.select(ident("Order", "conv_id")).collect()] == [7 * SHIFT - 1, None]
+    for bad in (spark.createDataFrame([(SHIFT, 1)], "conv_id long, turn long").select(ident("Order", "conv_id")), spark.createDataFrame([(1, TURNS)], "conv_id long, turn long").select(F.max(message_key()))):
+        with pytest.raises(Exception, match="not below"):
+            bad.collect()
+
+
 def test_edge_stream(spark, tmp_path):
     from knotwork.streaming.edges import degree_counts, kind_counts, unique_edges
 
