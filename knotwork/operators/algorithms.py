@@ -203,9 +203,10 @@ class Reachability:
 
 
 def project_triples(edges: DataFrame, deleted_nodes: DataFrame | None = None, deleted_edges: DataFrame | None = None) -> DataFrame:
-    """edges without the deleted edges (id) and those at deleted nodes (id)."""
+    """edges without the deleted edges (id, and start_id and end_id if there) and those at deleted nodes (id)."""
     if deleted_edges is not None:
-        edges = edges.join(deleted_edges.select("id"), "id", "left_anti")
+        own = [c for c in ("id", "start_id", "end_id") if c in deleted_edges.columns]
+        edges = edges.join(deleted_edges.select(own), own, "left_anti")
     if deleted_nodes is not None:
         for side in ("start_id", "end_id"):
             edges = edges.join(deleted_nodes.select(F.col("id").alias(side)), side, "left_anti")

@@ -23,6 +23,16 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "out" else back if direction == "in" else out.union(back).where("frm <> to")
 
 
+def walked(nodes: Column) -> Column:
+    """Whether the edge (eid, frm, to) is among edge_ids; nodes: the trail's nodes, the root first.
+
+    Ids are hashes of ends and kind in many graphs, so an edge is its id and its ends; these are only looked at where an id is met again.
+    """
+    ends = lambda i: F.array(F.get(nodes, i), F.get(nodes, i + 1))
+    same = F.transform("edge_ids", lambda e, i: (e == F.col("eid")) & ((ends(i) == F.array("frm", "to")) | (ends(i) == F.array("to", "frm"))))
+    return F.array_contains("edge_ids", F.col("eid")) & F.exists(same, lambda x: x)
+
+
 def _empty(kind: str = "bigint") -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -52,7 +62,7 @@ def expand(edges: DataFrame, roots: DataFrame, direction: str, low: int, high: i
         if depth >= low:
             levels.append(level.select("root", "next", "edge_ids", "node_ids"))
         if depth < high:
-            on = (F.col("next") == F.col("frm")) & ~F.col("loop") & ~F.array_contains("edge_ids", F.col("eid"))
+            on = (F.col("next") == F.col("frm")) & ~F.col("loop") & ~walked(F.concat(F.array("root"), "node_ids"))
             level = level.join(steps, on).select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"), F.lit(False).alias("loop"))
         depth += 1
     return _union(levels) if levels else zero.limit(0)
@@ -188,11 +198,14 @@ def pairs_in_reach(edges: DataFrame, pairs: DataFrame, direction: str) -> DataFr
 
 
 def hydrate(paths: DataFrame, node_values: DataFrame, edge_values: DataFrame) -> DataFrame:
-    """paths with ns and es: the values (id, n) and (id, e) along each path in order, the root left out."""
-    steps = paths.select("root", "edge_ids", F.posexplode(F.arrays_zip("edge_ids", "node_ids")).alias("pos", "z"))
-    steps = steps.select("root", "edge_ids", "pos", F.col("z.edge_ids").alias("__e"), F.col("z.node_ids").alias("__n"))
-    edge_values, node_values = edge_values.select(F.col("id").alias("__e"), "e"), node_values.select(F.col("id").alias("__n"), "n")
-    full = steps.join(edge_values, "__e").join(node_values, "__n")
-    full = full.groupBy("root", "edge_ids").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "e")), lambda a, b: a["pos"] - b["pos"]).alias("s"))
-    full = full.select("root", "edge_ids", F.transform("s", lambda x: x["n"]).alias("ns"), F.transform("s", lambda x: x["e"]).alias("es"))
-    return paths.join(full, ["root", "edge_ids"], "left").select("root", "next", "edge_ids", "node_ids", "ns", "es")
+    """paths with ns and es: the values (id, n) and (id, start_id, end_id, e) along each path in order, the root left out."""
+    own = ["root", "edge_ids", "node_ids"]
+    steps = paths.select(*own, F.posexplode(F.arrays_zip("edge_ids", "node_ids")).alias("pos", "z"))
+    steps = steps.select(*own, "pos", F.col("z.edge_ids").alias("__e"), F.col("z.node_ids").alias("__n"), F.when(F.col("pos") > 0, F.get("node_ids", F.col("pos") - 1)).otherwise(F.col("root")).alias("__p"))
+    edge_values = edge_values.select(F.col("id").alias("__e"), F.least("start_id", "end_id").alias("__lo"), F.greatest("start_id", "end_id").alias("__hi"), "e")
+    node_values = node_values.select(F.col("id").alias("__n"), "n")
+    steps = steps.withColumns({"__lo": F.least("__p", "__n"), "__hi": F.greatest("__p", "__n")})
+    full = steps.join(edge_values, ["__e", "__lo", "__hi"]).join(node_values, "__n")
+    full = full.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "e")), lambda a, b: a["pos"] - b["pos"]).alias("s"))
+    full = full.select(*own, F.transform("s", lambda x: x["n"]).alias("ns"), F.transform("s", lambda x: x["e"]).alias("es"))
+    return paths.join(full, own, "left").select("root", "next", "edge_ids", "node_ids", "ns", "es")

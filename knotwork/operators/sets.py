@@ -32,7 +32,7 @@ def relationships(graph: PropertyGraph, ids: DataFrame, direction: str = "out",
     starts, ends = ids.select(F.col("id").alias("start_id")).distinct(), ids.select(F.col("id").alias("end_id")).distinct()
     out, into = e.join(starts, "start_id", "left_semi"), e.join(ends, "end_id", "left_semi")
     cols = ["id", "start_id", "end_id", "kind"]
-    return (out if direction == "out" else into if direction == "in" else out.unionByName(into).dropDuplicates(["id"])).select(*cols)
+    return (out if direction == "out" else into if direction == "in" else out.unionByName(into).dropDuplicates(["id", "start_id", "end_id"])).select(*cols)
 
 
 def far_nodes(graph: PropertyGraph, ids: DataFrame, direction: str = "out", kinds: Iterable[str] = ()) -> DataFrame:

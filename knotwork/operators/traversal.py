@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.expand import oriented, reach
+from knotwork.operators.expand import oriented, reach, walked
 from knotwork.scratch import Scratch
 
 
@@ -28,10 +28,10 @@ def paths(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth:
     depth = 0
     while True:
         on = F.col("next") == F.col("frm")
-        on = on & (~F.array_contains("node_ids", F.col("to")) if acyclic else ~F.array_contains("edge_ids", F.col("eid")))
+        on = on & (~F.array_contains("node_ids", F.col("to")) if acyclic else ~walked(F.col("node_ids")))
         new = front.join(steps, on)
         longer = new.select("root", F.col("to").alias("next"), F.array_append("edge_ids", F.col("eid")).alias("edge_ids"), F.array_append("node_ids", F.col("to")).alias("node_ids"))
-        end = front.join(new.select("root", "edge_ids").distinct(), ["root", "edge_ids"], "left_anti").select(*front.columns)
+        end = front.join(new.select("root", "edge_ids", "node_ids").distinct(), ["root", "edge_ids", "node_ids"], "left_anti").select(*front.columns)
         end = scratch.write(end.where(F.size("edge_ids") > 0))  # the plan stays short however deep the graph is
         maximal = end if maximal is None else maximal.union(end)
         every = front if every is None else every.union(front)

@@ -7,6 +7,7 @@ that hold the key. There are no transactions: whoever keeps the old graph still
 from __future__ import annotations
 
 from dataclasses import replace
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,17 @@ from knotwork.plans.scope import EdgeB, Frame, NodeB, fresh
 from knotwork.scratch import Scratch
 
 
+_LARGEST: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def largest_id(graph: PropertyGraph) -> int:
-    """The largest node or edge id; -1 in an empty graph."""
-    found = [graph.node_scan()[0].agg(F.max("id")).first()[0], graph.edge_scan()[0].agg(F.max("id")).first()[0]]
-    return max([-1, *[x for x in found if x is not None]])
+    """The largest node or edge id; -1 in an empty graph. A source is asked once; those that updates add or change are asked anew."""
+    out = -1
+    for s in [*graph.nodes, *graph.edges]:
+        if s.df not in _LARGEST:
+            _LARGEST[s.df] = s.df.agg(F.max("id")).first()[0]
+        out = max(out, -1 if _LARGEST[s.df] is None else _LARGEST[s.df])
+    return out
 
 
 def apply(planner, frame: Frame, clause) -> tuple[Frame, PropertyGraph]:
@@ -148,7 +156,8 @@ def update(planner, frame: Frame, clause: S.Update) -> tuple[Frame, PropertyGrap
             continue
         v = env(item.value)
         c = F.lit(None).cast("string") if v.ty.kind == "null" else v.col.cast(v.ty.spark())
-        change = scratch.write(df.select(F.col(b.id).alias("__id"), c.alias("__v")).where("__id is not null").groupBy("__id").agg(F.max("__v").alias("__v")))
+        who = _identity(b, "__id", "__from", "__to")
+        change = scratch.write(df.select(*who, c.alias("__v")).where("__id is not null").groupBy("__id", *["__from", "__to"][: len(who) - 1]).agg(F.max("__v").alias("__v")))
         graph = set_property(graph, isinstance(b, NodeB), change, item.key)
         if item.key in b.props or item.key in planner.need(item.var).keys:  # later clauses see the new value
             col = fresh("p")
@@ -157,10 +166,18 @@ def update(planner, frame: Frame, clause: S.Update) -> tuple[Frame, PropertyGrap
     return Frame(df, names), graph
 
 
+def _identity(b: NodeB | EdgeB, id_: str, start: str, end: str) -> list[Column]:
+    """What tells a node or edge from others: a node's id; an edge's id, which may be a hash, and its ends."""
+    own = [F.col(b.id).alias(id_)]
+    return own if isinstance(b, NodeB) else [*own, F.col(b.start).alias(start), F.col(b.end).alias(end)]
+
+
 def set_property(graph: PropertyGraph, nodes: bool, change: DataFrame, key: str) -> PropertyGraph:
-    """change: (__id, __v); null removes the property."""
-    kind = change.schema["__v"].dataType
-    one = lambda s: _changed(s, s.df.join(change, F.col("id") == F.col("__id"), "left"), {key: (F.col("__id").isNotNull(), F.col("__v"), kind)})
+    """change: (__id, __v), for edges with __from and __to as well; null removes the property."""
+    kind, on = change.schema["__v"].dataType, F.col("id") == F.col("__id")
+    if not nodes:
+        on = on & (F.col("start_id") == F.col("__from")) & (F.col("end_id") == F.col("__to"))
+    one = lambda s: _changed(s, s.df.join(change, on, "left"), {key: (F.col("__id").isNotNull(), F.col("__v"), kind)})
     return PropertyGraph(graph.spark, [one(s) for s in graph.nodes] if nodes else graph.nodes, graph.edges if nodes else [one(s) for s in graph.edges])
 
 
@@ -184,7 +201,7 @@ def delete(planner, frame: Frame, clause: S.Delete) -> tuple[Frame, PropertyGrap
         b = frame.names.get(name)
         if not isinstance(b, (NodeB, EdgeB)):
             raise QueryError(f"{name} is no node or edge")
-        ids = scratch.write(frame.df.select(F.col(b.id).alias("id")).where("id is not null").distinct())
+        ids = scratch.write(frame.df.select(*_identity(b, "id", "start_id", "end_id")).where("id is not null").distinct())
         graph = delete_nodes(graph, ids) if isinstance(b, NodeB) else delete_edges(graph, ids)
     return frame, graph
 
@@ -196,7 +213,8 @@ def delete_nodes(graph: PropertyGraph, ids: DataFrame) -> PropertyGraph:
 
 
 def delete_edges(graph: PropertyGraph, ids: DataFrame) -> PropertyGraph:
-    return graph.map_sources(edges=lambda s: s.df.join(ids, "id", "left_anti"))
+    """Without the edges (id, start_id, end_id)."""
+    return graph.map_sources(edges=lambda s: s.df.join(ids, ["id", "start_id", "end_id"], "left_anti").select(*s.df.columns))
 
 
 def delete_by_kinds(graph: PropertyGraph, include=(), exclude=()) -> PropertyGraph:

@@ -389,7 +389,7 @@ class Planner:
             self.report.note("entered by its edges", names[start])
         else:
             frame = self.bind_node(frame, part.nodes[start], names[start], pending, coming)
-        used: list[tuple[str, str, tuple]] = []  # (fixed or list, column, kinds) of each step
+        used: list[tuple[str, str, tuple, tuple]] = []  # (fixed or list, column, kinds, ends) of each step
         segments: dict[int, tuple] = {}
         for i in order:
             forward = i >= start
@@ -411,20 +411,20 @@ class Planner:
 
     bound_edges: frozenset[str] = frozenset()
 
-    def _distinct_edges(self, df: DataFrame, used, kind: str, col: str, kinds) -> DataFrame:
-        """No edge twice within a pattern part; steps of different kinds cannot meet."""
-        for k, c, ks in used:
+    def _distinct_edges(self, df: DataFrame, used, kind: str, col: str, kinds, ends: tuple[str, str] = ()) -> DataFrame:
+        """No edge twice within a pattern part; steps of different kinds cannot meet. An edge is its id and its ends."""
+        for k, c, ks, there in used:
             if kinds and ks and not set(kinds) & set(ks):
                 continue
             if kind == "fixed" and k == "fixed":
-                df = df.where(F.col(col) != F.col(c))
+                df = df.where((F.col(col) != F.col(c)) | (F.col(ends[0]) != F.col(there[0])) | (F.col(ends[1]) != F.col(there[1])))
             elif kind == "fixed":
                 df = df.where(~F.array_contains(c, F.col(col)))
             elif k == "fixed":
                 df = df.where(~F.array_contains(col, F.col(c)))
             else:
                 df = df.where(~F.arrays_overlap(c, col))
-        used.append((kind, col, kinds))
+        used.append((kind, col, kinds, ends))
         return df
 
     def _step(self, frame: Frame, part, i, names, a, b, forward, used, segments, pending, coming) -> Frame:
@@ -463,7 +463,7 @@ class Planner:
             if names[b] in frame.names and names[b] != names[a]:  # both ends are bound: one join on both
                 on = on & (F.col(far) == F.col(frame.names[names[b]].id))
             df = frame.df.join(scan, on)
-        df = self._distinct_edges(df, used, "fixed", e.id, rel.kinds)
+        df = self._distinct_edges(df, used, "fixed", e.id, rel.kinds, (e.start, e.end))
         need = self.needs.get(rel.var, Need()) if rel.var else Need()
         for side, keys, at in (("start_node", need.start, e.start), ("end_node", need.end, e.end)):
             if keys is not None:
@@ -509,7 +509,7 @@ class Planner:
         nty, ety = self._element(True), self._element(False)
         nb = NodeB("id", "kinds" if kinds else None, {k: (f"`p:{k}`", nt[k]) for k in keys}, "props" if self.element_whole else None)
         eb = EdgeB("id", "start_id", "end_id", "kind" if kinds else None, {k: (f"`p:{k}`", et[k]) for k in keys}, "props" if self.element_whole else None)
-        return ndf.select("id", self._as_element(nb, nty).alias("n")), nty, edf.select("id", self._as_element(eb, ety).alias("e")), ety
+        return ndf.select("id", self._as_element(nb, nty).alias("n")), nty, edf.select("id", "start_id", "end_id", self._as_element(eb, ety).alias("e")), ety
 
     def _variable(self, frame: Frame, part, i, names, a, b, forward, direction, used, segments, pending, coming) -> Frame:
         rel, here = part.rels[i], frame.names[names[a]]

@@ -7,7 +7,7 @@ from knotwork.engine import Engine
 from knotwork.graph import PropertyGraph
 from knotwork.operators import algorithms as A
 from knotwork.operators import expand as X
-from knotwork.operators import idsets, traversal, writes
+from knotwork.operators import idsets, sets, traversal, writes
 from knotwork.plans.parser import QueryError
 from knotwork.scratch import Scratch
 from tests.graphs import engine, plain, rows
@@ -238,6 +238,24 @@ def test_ends_of_shortest_paths_differ_pair_by_pair(spark):
     assert rows(e.query("MATCH (x:N), (y:N) WHERE x <> y MATCH p = shortestPath((x)-[*]->(y)) RETURN x.name AS x, y.name AS y, length(p) AS l")) == want
 
 
+def test_edges_whose_ids_collide_are_told_apart_by_their_ends(spark):
+    """Ids may be hashes: here all are one and the same."""
+    nodes = spark.range(1, 6).selectExpr("id", "concat('n', id) name")
+    edges = spark.createDataFrame([(7, 1, 2, "a"), (7, 2, 3, "b"), (7, 3, 4, "c"), (7, 4, 1, "d"), (7, 1, 5, "e")], "id long, start_id long, end_id long, w string")
+    e = Engine(PropertyGraph.empty(spark).with_nodes(nodes, ["N"]).with_edges(edges, "E", ["w"]))
+    assert rows(e.query("MATCH (a)-[:E]->(b)-[:E]->(c) RETURN count(*) AS n")) == [(5,)]
+    assert rows(e.query("MATCH (a {name: 'n1'})-[:E*3..4]->(b) RETURN b.name AS b")) == [("n1",), ("n4",)]
+    assert rows(e.query("MATCH p = (a {name: 'n2'})-[:E*2..2]->(b) RETURN [r IN relationships(p) | r.w] AS ws")) == [(["b", "c"],)]
+    assert rows(e.query("MATCH p = shortestPath((a {name: 'n2'})-[:E*]->(b {name: 'n5'})) RETURN [r IN relationships(p) | r.w] AS ws")) == [(["b", "c", "d", "e"],)]
+    assert rows(e.update("MATCH ({name: 'n1'})-[r:E]->({name: 'n5'}) DELETE r").query("MATCH ()-[r:E]->() RETURN r.w AS w")) == [("a",), ("b",), ("c",), ("d",)]
+    changed = e.update("MATCH ({name: 'n1'})-[r:E]->({name: 'n5'}) SET r.w = 'z'")
+    assert rows(changed.query("MATCH ()-[r:E]->() RETURN r.w AS w")) == [("a",), ("b",), ("c",), ("d",), ("z",)]
+    root = spark.createDataFrame([(2,)], "root long")
+    assert [r["node_ids"] for r in traversal.paths(edges, root, acyclic=False)[0].orderBy("node_ids").collect()] == [[2, 3, 4, 1, 2], [2, 3, 4, 1, 5]]
+    both = sets.relationships(e.graph, spark.createDataFrame([(1,)], "id long"), "both")
+    assert sorted((r["start_id"], r["end_id"]) for r in both.collect()) == [(1, 2), (1, 5), (4, 1)]
+
+
 def test_fluent(small):
     n = Q.Nodes(small)
     assert n.filter(Q.kind(Q.NODE, "A")).count() == 2 and n.filter(Q.kind(Q.NODE, "A", "B")).count() == 3 and n.filter(Q.kind(Q.NODE)).count() == 0
