@@ -27,8 +27,8 @@ from knotwork.llm.simhash import linked_components, set_fingerprint
 
 #: One text of SAMPLE counts shingles; one that OFTEN of those have is common. The most common ones, MOST_COMMON at most, come last.
 SAMPLE, OFTEN, MOST_COMMON = 16, 4, 200_000
-#: Longs of a parity sketch, and their columns.
-LONGS = 4
+#: Longs of a parity sketch, and their columns; longs of the wide one that candidates are compared by before their sets.
+LONGS, WIDE = 4, 32
 SKETCH = [f"p{i}" for i in range(LONGS)]
 #: So many nodes may be broadcast; a longer list is joined by shuffling.
 MOST_BROADCAST = 1_000_000
@@ -72,9 +72,9 @@ def _node(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7)
 
 
-def parity(h: np.ndarray) -> bytes:
+def parity(h: np.ndarray, longs: int = LONGS) -> bytes:
     """For each value of the low bits, whether an odd number of members has it. Each bit in which two sketches differ is a member that but one of the sets has."""
-    return np.packbits((np.bincount((h & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits((np.bincount((h & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _key(text: Column) -> Column:
@@ -130,41 +130,57 @@ def _index_pairs(sets: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return alike.union(roots.select(*_ordered(F.col("node"), F.col("root"))))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike. carriers: (node, key), the key of one text for each node."""
+def _verified(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, wide: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike. carriers: (node, key), the key of one text for each node; wide: (node, n, wide sketch)."""
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             each = [shingles(t, size) for t in b.column(1).to_pylist()]
-            quarter = [h[h & np.uint64(3) == 0].tobytes() for h in each]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in each], type=pa.int64()), pa.array(quarter, type=pa.binary()), pa.array([h.tobytes() for h in each], type=pa.binary())], names=["node", "n", "quarter", "members"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in each], type=pa.int64()), pa.array([h.tobytes() for h in each], type=pa.binary())], names=["node", "n", "members"])
+
+    def possible(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sketches differ in no more bits than sets that are alike may in members."""
+        for b in it:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, WIDE) for k in (4, 5))
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            yield _kept(b, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (num + den) <= n * (den - num))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that are alike if all else that could be common is; exact where the whole sets are given."""
         for b in it:
             keep = []
             for nx, ny, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - len(y))
+                both = len(np.intersect1d(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)), assume_unique=True))
                 keep.append(den * both >= num * (nx + ny - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+            yield _kept(b, np.array(keep, dtype=bool))
+
+    def compared(some: DataFrame, values: DataFrame, of: str, how) -> DataFrame:
+        x, y = (values.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(of).alias(f"m{k}")) for k in "ab")
+        return some.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(how, "a long, b long")
 
-    def compared(some: DataFrame, members: DataFrame, of: str) -> DataFrame:
-        x, y = (members.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(of).alias(f"m{k}")) for k in "ab")
-        return some.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long")
+    def nodes(some: DataFrame, table: str) -> DataFrame:
+        found = scratch.write(some.select(F.col("a").alias("node")).union(some.select("b")).distinct(), f"{name}-{table}")
+        return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
 
+    spark = docs.sparkSession
     pairs = scratch.write(pairs, f"{name}-pairs")
-    asked = scratch.write(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(carriers, "node").select("node", "key"), f"{name}-asked")
-    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(asked, "key").dropDuplicates(["key"]).select("node", "text")
-    with batches(docs.sparkSession, 64):
-        members = scratch.write(texts.mapInArrow(sets, "node long, n long, quarter binary, members binary"), f"{name}-members")
-        likely = scratch.write(compared(pairs, members, "quarter"), f"{name}-likely")  # a quarter of the bytes tells most of the others
-        out = scratch.write(compared(likely, members, "members"), f"{name}-links")
-    scratch.drop(f"{name}-pairs", f"{name}-asked", f"{name}-members", f"{name}-likely")
+    sketches = scratch.write(wide.join(nodes(pairs, "asked"), "node").distinct(), f"{name}-sketches")
+    with batches(spark, 4096):
+        likely = scratch.write(compared(pairs, sketches, "wide", possible), f"{name}-likely")
+    scratch.drop(f"{name}-pairs", f"{name}-asked", f"{name}-sketches")
+    held = scratch.write(carriers.join(nodes(likely, "likely-nodes"), "node"), f"{name}-held")
+    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(held, "key").dropDuplicates(["key"]).select("node", "text")
+    with batches(spark, 64):
+        members = scratch.write(texts.mapInArrow(sets, "node long, n long, members binary"), f"{name}-members")
+        out = scratch.write(compared(likely, members, "members", compare), f"{name}-links")
+    scratch.drop(f"{name}-likely", f"{name}-likely-nodes", f"{name}-held", f"{name}-members")
     return out
 
 
+def _kept(b: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+
 def alike_rows(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, radius: int = 2) -> DataFrame:
     """(doc_id, key, root) of every row of docs (doc_id, text, ...): key is a hash of the text, root the same for all rows linked by
     texts alike in num/den or more of their shingles. Texts without words are alike. An empty table gives an empty one."""
@@ -185,24 +201,24 @@ def _alike_rows(docs: DataFrame, size: int, num: int, den: int, radius: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], dtype=np.int64), *first])))
                 nodes, prints = (np.array([f(h) for h in each], dtype=np.uint64).view(np.int64) for f in (_node, set_fingerprint))
                 sketches = np.frombuffer(b"".join(map(parity, each)), dtype="<i8").reshape(-1, LONGS)
-                cols = [b.column(0), b.column(1), pa.array(nodes), pa.array(prints), pa.array([len(h) for h in each], type=pa.int64()), *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(LONGS)], lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", "fp", "n", *SKETCH, "first"])
+                cols = [b.column(0), b.column(1), pa.array(nodes), pa.array(prints), pa.array([len(h) for h in each], type=pa.int64()), *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(LONGS)], pa.array([parity(h, WIDE) for h in each], type=pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", "fp", "n", *SKETCH, "wide", "first"])
 
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
-        schema = f"doc_id long, key long, node long, fp long, n long, {', '.join(f'{p} long' for p in SKETCH)}, first array<long>"
+        schema = f"doc_id long, key long, node long, fp long, n long, {', '.join(f'{p} long' for p in SKETCH)}, wide binary, first array<long>"
         each = scratch.write(texts.mapInArrow(run, schema), "rows")
     rows = scratch.write(each.select("doc_id", "key", "node"), "ids")
+    wide = scratch.write(each.select("node", "n", "wide"), "wide")
     carriers = scratch.write(each.groupBy("node").agg(F.min("key").alias("key")), "carriers")
     shared = each.select("node", F.explode("first").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     shared = scratch.write(shared, "shared")
     # The first shingles that several sets have; a row for each set, not for each of its copies. Sketches join what is left.
-    few = F.broadcast(shared) if shared.count() <= MOST_BROADCAST else shared
-    met = scratch.write(each.select("node", F.posexplode("first").alias("pos", "token")).join(few, "token").select("token", "node", "pos").distinct(), "held")
+    met = scratch.write(each.select("node", F.posexplode("first").alias("pos", "token")).join(shared, "token").select("token", "node", "pos").distinct(), "held")
     sets = each.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", *SKETCH).distinct()
     met = scratch.write(met.join(sets, "node"), "met")
     by_index = scratch.write(_index_pairs(each.select("node", "fp"), radius, scratch), "by-index")
     scratch.drop("rows", "shared", "held", "nodes", "classes", "index-roots")
-    links = _verified(by_index.union(_end_pairs(met, num, den)).distinct(), docs, carriers, size, num, den, scratch, "ends")
+    links = _verified(by_index.union(_end_pairs(met, num, den)).distinct(), docs, carriers, wide, size, num, den, scratch, "ends")
     roots = scratch.write(components(spark, links, scratch), "roots")
     named = scratch.write(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     scratch.drop("met", "by-index")
@@ -210,10 +226,10 @@ def _alike_rows(docs: DataFrame, size: int, num: int, den: int, radius: int) ->
     mixed = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     left = scratch.write(named.join(mixed, "token"), "left")
     scratch.drop("named")
-    rest = _verified(_pairs(left, num, den), docs, carriers, size, num, den, scratch, "rest")
+    rest = _verified(_pairs(left, num, den), docs, carriers, wide, size, num, den, scratch, "rest")
     if rest.head(1):
         roots = scratch.write(components(spark, links.union(rest), scratch), "all-roots")
-    scratch.drop("left", "carriers")
+    scratch.drop("left", "carriers", "wide")
     return rows.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 
 
