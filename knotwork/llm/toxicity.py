@@ -29,7 +29,7 @@ from knotwork.llm.common import Scratch, batches
 LEXICON = ("clown", "disgusting", "dumb", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: Patterns that vote toxic.
 PATTERNS = (r"[!?]{3,}", r"\b(?:shut up|go away|get lost)\b", r"\b(?:[A-Z]{4,}\s+){3,}", r"\b(?:you are|you're|du bist|eres|tu es) an? \w+")
-FIT_ROWS, MOST_VOTERS = 8000, 1000
+FIT_ROWS, MOST_VOTERS = 8000, 400
 #: Lengths of word beginnings that can be voters, and how many different words with one make it fire.
 BEGINNINGS, TIMES = (4, 5, 6, 7, 8), (1, 2, 4)
 WORD = re.compile(r"[^\W\d_]+")
@@ -176,14 +176,13 @@ def learnable(doc_id: F.Column) -> F.Column:
 
 
 class Model:
-    def __init__(self, voters: Voters, own: np.ndarray, weights: np.ndarray, bias: float):
-        """own: numbers of the voters that count."""
-        self.voters, self.own, self.weights, self.bias = voters, own, weights, bias
+    def __init__(self, voters: Voters, weights: np.ndarray, bias: float):
+        self.voters, self.weights, self.bias = voters, weights, bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        z = features(np.array([self.voters.votes(t)[self.own] for t in texts])) @ self.weights + self.bias
+        z = features(np.array([self.voters.votes(t) for t in texts])) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -224,15 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     if not rows:
         w = np.zeros(voters.size + 2)
         w[: voters.size] = 2.0
-        return Model(voters, np.arange(voters.size), w, -3.0)
+        return Model(voters, w, -3.0)
     votes = np.zeros((len(rows), voters.size), dtype=np.uint8)
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
-    # Voters that are never at odds are one voter.
+    # To the label model, voters that are never at odds are one voter.
     own = np.sort(np.unique(votes, axis=1, return_index=True)[1])
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    model = LabelModel(votes[:, own], y)
-    return Model(voters, own, *train_linear(features(votes[:, own].astype(float)), model.post))
+    model = LabelModel(votes[:, own], np.array([r["toxic"] for r in rows], dtype=float))
+    return Model(voters, *train_linear(features(votes.astype(float)), model.post))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = score_toxicity(d, lab).where("held_out").join(lab, "doc_id").select("predicted", "toxic").toPandas()
     hit = ((m.predicted == 1) & (m.toxic == 1)).sum()
-    assert hit >= 0.9 * (m.toxic == 1).sum() and hit >= 0.95 * (m.predicted == 1).sum()
+    assert hit >= 0.9 * (m.toxic == 1).sum() and hit >= 0.97 * (m.predicted == 1).sum()
 
 
 def test_held_out_labels_are_not_used(spark, documents, sf):
