@@ -194,9 +194,10 @@ class ShardStore:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
         (file,) = fresh(rows, "__file")
-        about = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.name, s.rows, s.bytes, s.tier) for s in shards], f"{file} string, {', '.join(f'{c} {t}' for c, t in COLUMNS)}")
+        # Folders of one append hold files of one name: a file is known by its path below the data folder.
+        about = self.spark.createDataFrame([(s.path.removeprefix("data/"), s.name, s.rows, s.bytes, s.tier) for s in shards], f"{file} string, {', '.join(f'{c} {t}' for c, t in COLUMNS)}")
         # A row for each live file, some hundred bytes: a thousandth of a thousandth of the data.
-        named = rows.drop(*[c for c, _ in COLUMNS]).withColumn(file, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        named = rows.drop(*[c for c, _ in COLUMNS]).withColumn(file, F.substring_index(F.col("_metadata.file_path"), "/data/", -1))
         return named.join(F.broadcast(about) if len(shards) <= 200_000 else about, file).drop(file)
 
 

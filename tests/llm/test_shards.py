@@ -50,6 +50,15 @@ def test_every_row_is_in_one_live_shard(spark, documents):
     assert not any(fs.exists(path(f"{root}/{s.path}")) for s in set(store.live(3)) - set(live))
 
 
+def test_files_of_one_name_in_several_arrivals(spark, documents):
+    """Too few to merge: each arrival's file stays, and all of one task have one name."""
+    store = shard_documents(documents.coalesce(1), Scratch(spark, "t").path("store"), arrivals=4, fan=10)
+    assert len({s.path.rsplit("/", 1)[1] for s in store.live()}) < len(store.live()) == 4
+    rows = store.read()
+    assert sorted(r["doc_id"] for r in rows.collect()) == sorted(r["doc_id"] for r in documents.collect())
+    assert {r["shard"]: r["count"] for r in rows.groupBy("shard").count().collect()} == {s.name: s.rows for s in store.live()}
+
+
 def test_commits_do_not_overwrite(spark, documents):
     store = ShardStore(spark, Scratch(spark, "t").path("store"))
     store.append(documents.limit(5))
