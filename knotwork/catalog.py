@@ -12,8 +12,7 @@ from knotwork.engine import Engine
 from knotwork.operators import algorithms as A
 from knotwork.operators import idsets, traversal, writes
 from knotwork.plans.compiler import Config
-from knotwork.sources import documents, metrics
-from knotwork.sources import scrub as scrubbing
+from knotwork.sources import metrics
 from knotwork.sources.mapping import SHIFT, TAGS, TURNS, events_dynamic, ident, table_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,11 +362,6 @@ def _bitmap_sketch(spark, sf_dir):
     return idsets.bitmap_cardinality(idsets.bitmaps(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderstatus", "o_custkey"), "o_orderstatus")
 
 
-@query("hll")
-def _hll(spark, sf_dir):
-    return idsets.merged_estimate(idsets.sketches(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", "l_partkey"))
-
-
 @query("membership_any_all", "SELECT c_custkey AS id FROM customer WHERE (c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
 def _membership(spark, sf_dir):
     o, c = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
@@ -467,14 +461,6 @@ def _upsert_edge(spark, sf_dir):
 
 # documents, metrics, scrubbing
 
-@query("export_doc", "SELECT r_regionkey::BIGINT AS k, r_name AS name, 'Region,Place' AS kinds FROM region")
-def _export(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    rec = documents.node_records(type(g)(spark, g.nodes[:1], []))
-    doc = rec.select(F.from_json("record", "id string, kinds array<string>, properties struct<r_regionkey: bigint, r_name: string>").alias("d"))
-    return doc.select("d.properties.r_regionkey", "d.properties.r_name", F.array_join("d.kinds", ",")).toDF("k", "name", "kinds")
-
-
 _M = "SELECT {} AS histogram, {}::VARCHAR AS key, count(*) AS count FROM {} GROUP BY 1, 2"
 
 
@@ -487,12 +473,6 @@ def _metrics(spark, sf_dir):
     return metrics.histograms(type(g)(spark, [s for s in g.nodes if "Nation" in s.static], [s for s in g.edges if "TOP_TRADE" in s.static]))
 
 
-@query("scrub")
-def _scrub(spark, sf_dir):
-    g = scrubbing.scrub(events_dynamic(spark, sf_dir), scrubbing.Rules(salt="s"))
-    return Engine(g).query("MATCH (e:Event) RETURN e.type AS t, count(e) AS n")
-
-
 @query("plain_sql", "SELECT 'TOP_TRADE' AS kind, count(*) AS n FROM (WITH " + TT + " SELECT * FROM tt)")
 def _plain_sql(spark, sf_dir):
     return Engine(table_graph(spark, sf_dir)).sql("SELECT kind, count(*) AS n FROM edges WHERE kind = 'TOP_TRADE' GROUP BY 1")

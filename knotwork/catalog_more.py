@@ -203,7 +203,7 @@ def _row_limit(spark, sf_dir):
     return _raised(spark, MemoryError, lambda: traversal.paths(edges, _roots(nodes, 0), most_rows=1))
 
 
-@query("hll_error", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', true")
+@query("hll", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', true")
 def _hll_error(spark, sf_dir):
     """Estimates of single and of merged sketches within five hundredths of the count: three times the error of sketches of 2^12 buckets."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -278,7 +278,7 @@ def _metrics_all(spark, sf_dir):
     return spark.createDataFrame([(sum(m["node_kind_histogram"].values()), sum(m["edge_kind_histogram"].values()))], "nodes long, edges long")
 
 
-@query("scrub_shapes", "SELECT count(DISTINCT event_type) AS types, true AS shaped, true AS kept FROM events")
+@query("scrub", "SELECT count(DISTINCT event_type) AS types, true AS shaped, true AS kept FROM events")
 def _scrub_shapes(spark, sf_dir):
     """Texts become pseudonyms, as many as there were texts; numbers stay."""
     g, s = events_dynamic(spark, sf_dir), scrubbing.scrub(events_dynamic(spark, sf_dir), scrubbing.Rules(salt="s"))

@@ -193,7 +193,13 @@ class Planner:
     def env(self, frame: Frame, flags: dict | None = None) -> Env:
         return Env(frame.names, self.params, exists=(lambda e: F.col(flags[e])) if flags is not None else None, lenient=self.config.lenient)
 
+    #: Lists that a query only asks for membership, as tables of node ids.
+    members: dict[str, DataFrame] = {}
+
     def filter(self, frame: Frame, e: S.Expr) -> Frame:
+        if isinstance(e, S.Bin) and e.op == "in" and isinstance(e.right, S.Var) and e.right.name in self.members:
+            ids, own = self.members[e.right.name], frame.names[e.left.name]
+            return Frame(frame.df.join(ids, F.col(own.id) == F.col(ids.columns[0]), "left_semi"), frame.names)
         if isinstance(e, S.PatternExists):
             return self._exists(frame, e, "left_semi")
         if isinstance(e, S.Un) and e.op == "not" and isinstance(e.of, S.PatternExists):
@@ -231,7 +237,8 @@ class Planner:
     def settle(self, frame: Frame, pending: list[S.Expr], wait: set[str]) -> Frame:
         """Apply the conditions whose names are all there; wait: names that are still to come."""
         for e in list(pending):
-            if not (free_names(e) & wait) - set(frame.names) and free_names(e) - self.pattern_only(e) <= set(frame.names):
+            there = set(frame.names) | set(self.members)
+            if not (free_names(e) & wait) - there and free_names(e) - self.pattern_only(e) <= there:
                 pending.remove(e)
                 frame = self.filter(frame, e)
         return frame
@@ -684,8 +691,8 @@ class Planner:
             out = Frame(frame.df.withColumns(new) if new else frame.df, names)
             order_names = {**frame.names, **names}
         if p.distinct:
-            # Entities are equal if their ids are; what hangs on them follows.
-            keys = [b.id if isinstance(b, (NodeB, EdgeB)) else b.col for b in out.names.values()]
+            # Entities are equal if their ids are, edges if their ends are as well; what hangs on them follows.
+            keys = [c for b in out.names.values() for c in (self._told_by(b) if isinstance(b, (NodeB, EdgeB)) else [b.col])]
             out = Frame(out.df.select(*out.columns()).dropDuplicates(list(dict.fromkeys(keys))), out.names)
             order_names = out.names
         if p.order:
@@ -704,6 +711,10 @@ class Planner:
             out = self.filter(out, e)
         return Frame(out.df.select(*out.columns()) if out.columns() else out.df, out.names)
 
+    @staticmethod
+    def _told_by(b: NodeB | EdgeB) -> list[str]:
+        return [b.id] if isinstance(b, NodeB) else [b.id, b.start, b.end]
+
     def _aggregate(self, frame: Frame, items: list[S.Item]) -> tuple[Frame, dict]:
         env = self.env(frame)
         keys: dict[S.Expr, tuple] = {}  # expression -> binding
@@ -718,8 +729,8 @@ class Planner:
                 return
             if isinstance(e, S.Var) and isinstance(b := frame.names.get(e.name), (NodeB, EdgeB)):
                 keys[e] = b
-                group[b.id] = None
-                carried.extend(c for c in b.columns() if c != b.id)  # the id decides the rest
+                group.update(dict.fromkeys(self._told_by(b)))
+                carried.extend(c for c in b.columns() if c not in self._told_by(b))  # these decide the rest
                 return
             v, c = env(e), fresh("g")
             pre[c] = v.col
@@ -737,6 +748,9 @@ class Planner:
                     v = None
                     if not e.star:
                         ident = env.id_of(e.args[0]) if e.name == "count" else None
+                        b = frame.names.get(e.args[0].name) if isinstance(e.args[0], S.Var) else None
+                        if ident is not None and e.distinct and isinstance(b, EdgeB):
+                            ident = F.when(F.col(b.id).isNotNull(), F.struct(*self._told_by(b)))
                         v = Val(ident, INT) if ident is not None else env(e.args[0])
                     col, ty = aggregates.aggregate(e.name, v, e.distinct)
                     c = fresh("agg")
@@ -823,6 +837,11 @@ class Planner:
             elif isinstance(c, S.Unwind):
                 frame = self.unwind(frame, c)
             elif isinstance(c, S.Project):
+                if (ids := self._only_members(frame, c, query.clauses[k + 1 :])) is not None:
+                    self.members = {c.items[0].alias: ids}
+                    self.report.note("membership by a semi-join", c.items[0].alias)
+                    frame = Frame(None)
+                    continue
                 frame = self.project(frame, c)
                 if c.final:
                     result = self.finish(frame, c)
@@ -834,6 +853,20 @@ class Planner:
             result = result if query.union_all else result.distinct()
         return result, self.graph
 
+    def _only_members(self, frame: Frame, p: S.Project, later: tuple) -> DataFrame | None:
+        """WITH collect(x) AS xs MATCH ... WHERE y IN xs, and xs nowhere else: the ids of x, which need no gathering into one row."""
+        if len(p.items) != 1 or p.star or p.distinct or p.order or p.skip or p.limit is not None or p.where is not None or p.final or not later:
+            return None
+        e, name, m = p.items[0].expr, p.items[0].alias, later[0]
+        if not (isinstance(e, S.Call) and e.name == "collect" and len(e.args) == 1 and isinstance(e.args[0], S.Var) and isinstance(b := frame.names.get(e.args[0].name), NodeB)):
+            return None
+        if not isinstance(m, S.Match) or m.optional or sum(isinstance(x, S.Var) and x.name == name for x in S.walk(later)) != 1:
+            return None
+        nodes = {n.var for part in m.parts for n in part.nodes if n.var}
+        if not any(isinstance(x, S.Bin) and x.op == "in" and isinstance(x.left, S.Var) and x.left.name in nodes and x.right == S.Var(name) for x in conjuncts(m.where)):
+            return None
+        return frame.df.select(F.col(b.id).alias(fresh("member"))).distinct()
+
     @staticmethod
     def _no_counts(p: S.Project) -> bool:
         """Whether how often a row comes makes no difference."""

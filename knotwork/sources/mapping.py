@@ -40,19 +40,35 @@ def _edge(df: DataFrame, start: Column, end: Column, tag: int, *props: str) -> D
 
 
 _SCHEMAS: dict[tuple, StructType] = {}
+_GRAPHS: dict[tuple, tuple[tuple, PropertyGraph]] = {}
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; its schema is looked up once for each state of the file or folder, which saves a job."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    changed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
-    key = (spark.sparkContext.applicationId, path, changed)
+    key = (spark.sparkContext.applicationId, path, _changed(spark, path))
     if key not in _SCHEMAS:
         _SCHEMAS[key] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
+
+
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The tables of a folder as a graph. Its plans are made once for each session and state of the tables; nothing is kept of the data."""
+    key, state = (spark.sparkContext.applicationId, id(spark), sf_dir), tuple(_changed(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+    if key not in _GRAPHS or _GRAPHS[key][0] != state or _GRAPHS[key][1].spark is not spark:
+        _GRAPHS[key] = (state, _table_graph(spark, sf_dir))
+    graph = _GRAPHS[key][1]
+    return PropertyGraph(spark, [*graph.nodes], [*graph.edges])
+
+
+def _table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = lambda name: read_table(spark, f"{sf_dir}/{name}.parquet")
     region, nation, customer, supplier = t("region"), t("nation"), t("customer"), t("supplier")
     part, orders, line, events, docs, turns = t("part"), t("orders"), t("lineitem"), t("events"), t("documents"), t("conversations")

@@ -250,6 +250,8 @@ def test_edges_whose_ids_collide_are_told_apart_by_their_ends(spark):
     assert rows(e.update("MATCH ({name: 'n1'})-[r:E]->({name: 'n5'}) DELETE r").query("MATCH ()-[r:E]->() RETURN r.w AS w")) == [("a",), ("b",), ("c",), ("d",)]
     changed = e.update("MATCH ({name: 'n1'})-[r:E]->({name: 'n5'}) SET r.w = 'z'")
     assert rows(changed.query("MATCH ()-[r:E]->() RETURN r.w AS w")) == [("a",), ("b",), ("c",), ("d",), ("z",)]
+    assert rows(e.query("MATCH ()-[r:E]->() RETURN count(DISTINCT r) AS n")) == [(5,)] and e.query("MATCH ()-[r:E]->() RETURN DISTINCT r").count() == 5
+    assert rows(e.query("MATCH ()-[r:E]->() WITH r, count(*) AS n RETURN r.w AS w, n")) == [(w, 1) for w in "abcde"]
     root = spark.createDataFrame([(2,)], "root long")
     assert [r["node_ids"] for r in traversal.paths(edges, root, acyclic=False)[0].orderBy("node_ids").collect()] == [[2, 3, 4, 1, 2], [2, 3, 4, 1, 5]]
     both = sets.relationships(e.graph, spark.createDataFrame([(1,)], "id long"), "both")

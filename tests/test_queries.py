@@ -198,3 +198,15 @@ def test_kinds_known_from_edges_follow_updates(spark):
     assert rows(e.query("MATCH (a:Nation)-[:TOP_TRADE]->(b:Supplier) RETURN count(*) AS n")) == [(0,)]
     assert rows(e.query("MATCH (a:Region)-[:TOP_TRADE*0..1]->(b:Nation) RETURN count(*) AS n")) == [(0,)]
     assert rows(e.query("MATCH (a)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n) WHERE id(c) = id(c) RETURN count(*) AS n")) == rows(e.query("MATCH ()-[:PLACED]->() RETURN count(*) AS n"))
+
+
+def test_lists_that_are_only_asked_for_members(spark):
+    nodes, edges = plain("abcd", ("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"))
+    e = engine(spark, nodes, edges)
+    one = "MATCH (x:N) WHERE x.name IN ['b', 'd'] WITH collect(x) AS xs MATCH (a)-[:E]->(y) WHERE y IN xs AND a.name <> 'c' RETURN a.name AS a, y.name AS y"
+    assert "membership by a semi-join" in e.explain(one) and rows(e.query(one)) == [('"a"', '"b"'), ('"a"', '"d"')]
+    other = one.replace("RETURN", "RETURN size(xs) AS n,")  # the list itself is asked for
+    assert "membership by a semi-join" not in e.explain(other) and rows(e.query(other)) == [(2, '"a"', '"b"'), (2, '"a"', '"d"')]
+    assert rows(e.query(one.replace("['b', 'd']", "['z']"))) == []
+    not_in = one.replace("y IN xs", "NOT y IN xs")
+    assert rows(e.query(not_in)) == [('"b"', '"c"')]
