@@ -43,7 +43,7 @@ class Rules:
     sensitive: str = r"password|secret|token|credential|privatekey|apikey|email|mail|phone|address|name|dns"
     organisation: tuple[str, ...] = ("title", "department", "division", "company", "organization", "office", "location")
     #: Objects within objects are scrubbed so deep; what lies deeper is redacted.
-    depth: int = 3
+    depth: int = 1
 
     @classmethod
     def of(cls, settings: dict) -> Rules:
@@ -78,22 +78,31 @@ def _sid(d: Column) -> Column:
     return F.concat_ws("-", F.lit("S-1-5-21"), *nine)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pseudonym(value: Column, rules: Rules) -> Column:
     """A text of the same shape; blank stays blank."""
     t = F.trim(value)
-    d = keyed_digest(t, rules.salt)
-    of_sid = _sid(keyed_digest(F.regexp_extract(t, SHAPES["object_sid"], 1), rules.salt))
-    sub = lambda a, n: F.substring(d, a, n)
-    return (
-        F.when(t == "", value)
-        .when(t.rlike(SHAPES["email"]), F.concat(F.lit("user-"), sub(1, 12), F.lit(f"@{rules.domain}")))
-        .when(t.rlike(SHAPES["uuid"]), F.concat_ws("-", sub(1, 8), sub(9, 4), sub(13, 4), sub(17, 4), sub(21, 12)))
-        .when(t.rlike(SHAPES["domain_sid"]), _sid(d))
-        .when(t.rlike(SHAPES["object_sid"]), F.concat_ws("-", of_sid, F.regexp_extract(t, SHAPES["object_sid"], 2)))
-        .when(t.rlike(SHAPES["ipv4"]), F.concat_ws(".", F.lit("10"), *[_int(sub(a, 2)).cast("string") for a in (1, 3, 5)]))
-        .when(t.rlike(SHAPES["host"]), F.concat(F.lit("host-"), sub(1, 12), F.lit(f".{rules.domain}")))
-        .otherwise(F.concat(F.lit("value-"), sub(1, 16)))
-    )
+    sid = F.regexp_extract(t, SHAPES["object_sid"], 1)
+
+    def by(d: Column) -> Column:
+        sub = lambda a, n: F.substring(d, a, n)
+        return (
+            F.when(t == "", value)
+            .when(t.rlike(SHAPES["email"]), F.concat(F.lit("user-"), sub(1, 12), F.lit(f"@{rules.domain}")))
+            .when(t.rlike(SHAPES["uuid"]), F.concat_ws("-", sub(1, 8), sub(9, 4), sub(13, 4), sub(17, 4), sub(21, 12)))
+            .when(t.rlike(SHAPES["domain_sid"]), _sid(d))
+            .when(sid != "", F.concat_ws("-", _sid(d), F.regexp_extract(t, SHAPES["object_sid"], 2)))
+            .when(t.rlike(SHAPES["ipv4"]), F.concat_ws(".", F.lit("10"), *[_int(sub(a, 2)).cast("string") for a in (1, 3, 5)]))
+            .when(t.rlike(SHAPES["host"]), F.concat(F.lit("host-"), sub(1, 12), F.lit(f".{rules.domain}")))
+            .otherwise(F.concat(F.lit("value-"), sub(1, 16)))
+        )
+
+    # An object's SID keeps its last part; the digest is that of the domain's.
+    return _let(keyed_digest(F.when(sid != "", sid).otherwise(t), rules.salt), by)
 
 
 def action(key: Column, fragment: Column, rules: Rules) -> Column:
@@ -126,17 +135,18 @@ def _quote(text: Column) -> Column:
 
 def _each(fragment: Column, one) -> Column:
     """A function of texts on a text, on each item of a list, and on no other fragment."""
-    items = F.from_json(fragment, "array<string>")
-    quoted = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: _quote(one(x))), ","), F.lit("]"))
-    return F.when(fragment.startswith('"'), _quote(one(json_text(fragment)))).when(fragment.startswith("[") & fragment.contains('"'), quoted).otherwise(fragment)
+    is_text = fragment.startswith('"')
+    items = F.when(is_text, F.array(json_text(fragment))).otherwise(F.from_json(fragment, "array<string>"))
+    joined = F.array_join(F.transform(items, lambda x: _quote(one(x))), ",")
+    return F.when(is_text, joined).when(fragment.startswith("[") & fragment.contains('"'), F.concat(F.lit("["), joined, F.lit("]"))).otherwise(fragment)
 
 
-def _shifted(text: Column, rules: Rules) -> Column:
+def _moved(text: Column, rules: Rules) -> Column:
+    """A moment that many days later; null for other texts."""
     moment = text.try_cast("timestamp")
     is_moment = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$") & moment.isNotNull()
     new = F.date_format(F.to_utc_timestamp(moment + F.expr(f"interval {rules.shift_days} days"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    short = F.regexp_replace(F.regexp_replace(new, "0+$", ""), r"\.$", "")
-    return F.when(is_moment, F.concat(short, F.lit("Z"))).otherwise(pseudonym(text, rules))
+    return F.when(is_moment, F.concat(F.regexp_replace(new, r"\.?0+$", ""), F.lit("Z")))
 
 
 def _inside(fragment: Column, rules: Rules, depth: int) -> Column:
@@ -150,22 +160,28 @@ def _inside(fragment: Column, rules: Rules, depth: int) -> Column:
         parts = F.transform(pairs, lambda e: F.concat(_quote(e["k"]), F.lit(":"), F.when(e["v"] == "null", e["v"]).otherwise(scrubbed(e["k"], e["v"], rules, depth - 1))))
         return F.coalesce(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")), _quote(F.lit(rules.marker)))
 
-    items = F.transform(F.try_variant_get(F.try_parse_json(fragment), "$", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
-    many = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.when(x.startswith("{"), one(x)).otherwise(_quote(F.lit(rules.marker)))), ","), F.lit("]"))
-    return F.when(fragment.startswith("{"), one(fragment)).otherwise(F.coalesce(many, _quote(F.lit(rules.marker))))
+    # An object is gone into as a list of one, so that the rules stand in the plan once for each depth.
+    found = F.transform(F.try_variant_get(F.try_parse_json(fragment), "$", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+    items = F.when(fragment.startswith("{"), F.array(fragment)).otherwise(found)
+    parts = F.array_join(F.transform(items, lambda x: F.when(x.startswith("{"), one(x)).otherwise(_quote(F.lit(rules.marker)))), ",")
+    return F.coalesce(F.when(fragment.startswith("{"), parts).otherwise(F.concat(F.lit("["), parts, F.lit("]"))), _quote(F.lit(rules.marker)))
 
 
 def scrubbed(key: Column, fragment: Column, rules: Rules, depth: int | None = None) -> Column:
     """The fragment as the rules leave it. Objects, and lists that hold objects, are gone into unless their key is preserved or redacted."""
     depth = rules.depth if depth is None else depth
-    number = fragment.rlike("^-?[0-9]")
     seconds = (fragment.try_cast("decimal(38,6)") + F.lit(rules.shift_days * 86400)).cast("string")
-    shift = F.when(number, F.when(fragment.contains("."), F.regexp_replace(F.regexp_replace(seconds, "0+$", ""), r"\.$", "")).otherwise(F.regexp_replace(seconds, r"\..*$", ""))).otherwise(_each(fragment, lambda t: _shifted(t, rules)))
+    shifted = F.when(fragment.contains("."), F.regexp_replace(F.regexp_replace(seconds, "0+$", ""), r"\.$", "")).otherwise(F.regexp_replace(seconds, r"\..*$", ""))
     redacted = F.when(fragment.startswith("["), F.concat(F.lit("["), F.array_join(F.transform(F.from_json(fragment, "array<string>"), lambda _: _quote(F.lit(rules.marker))), ","), F.lit("]"))).otherwise(_quote(F.lit(rules.marker)))
-    a = action(key, fragment, rules)
     nested = fragment.startswith("{") | (fragment.startswith("[") & fragment.contains("{") & fragment.rlike(r"^\[\s*\{|\}\s*\]$"))
-    if_nested = F.when(a == "redact", redacted).when(normalised(key).isin(*rules.preserve), fragment).otherwise(_inside(fragment, rules, depth))
-    return F.when(nested, if_nested).when(a == "pseudonymize", _each(fragment, lambda t: pseudonym(t, rules))).when(a == "redact", redacted).when(a == "shift_timestamp", shift).otherwise(fragment)
+    preserved = normalised(key).isin(*rules.preserve)
+
+    def by(a: Column) -> Column:
+        shift = a == "shift_timestamp"
+        text = lambda t: F.coalesce(F.when(shift, _moved(t, rules)), pseudonym(t, rules))
+        return F.when(a == "redact", redacted).when(nested, F.when(preserved, fragment).otherwise(_inside(fragment, rules, depth))).when(a == "preserve", fragment).when(shift & fragment.rlike("^-?[0-9]"), shifted).otherwise(_each(fragment, text))
+
+    return _let(action(key, fragment, rules), by)
 
 
 def scrub_map(bag: Column, rules: Rules) -> Column:
