@@ -1,7 +1,7 @@
 """Token ids as Parquet list columns (op 9).
 
-Documents are dealt out by ranges of doc_id, sorted, encoded and written once by Spark's own Parquet
-writer, whose commit survives lost executors. Numbers are delta encoded (a dictionary of ids costs more to
+Documents are dealt out by ranges of doc_id, unless they are found to lie in such ranges already, sorted, encoded and
+written once by Spark's own Parquet writer, whose commit survives lost executors. Numbers are delta encoded (a dictionary of ids costs more to
 build than it saves), row groups and pages have set sizes, and the writer adds column and offset indexes, so that a
 reader can fetch the metadata columns, or the tokens of a few documents, without the rest.
 """
@@ -193,9 +193,12 @@ def _gathered(it: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator
         yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, place: dict[int, int] | None = None):
+    """place: the number of each task's range, where that is not the task's own."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, at = encoder(path, end), TaskContext.get().partitionId(), 0
+        encode, task, at = encoder(path, end), TaskContext.get().partitionId(), 0
+        shard = task if place is None else place.get(task, task)
         for b in _gathered(it):
             ids, offsets = encode(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -212,26 +215,44 @@ def _place(doc_id: F.Column, bounds: list[int]) -> F.Column:
     return F.when(doc_id.isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= doc_id)))
 
 
+def _ranges(rows: DataFrame, by: str) -> list | None:
+    """Values of `by` in order of the ids found there; None if ids of two of them overlap or touch, or some are null. A row for each comes to the driver."""
+    found = rows.groupBy(by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.count("doc_id").alias("known")).collect()
+    found.sort(key=lambda r: (r["lo"] is not None, r["lo"]))
+    if any(r["n"] > r["known"] for r in found) or any(a["hi"] >= b["lo"] for a, b in zip(found, found[1:], strict=False)):
+        return None
+    return [r[by] for r in found]
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, partitions: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Encode docs (doc_id, text, ...) and write (doc_id, shard, local_start, n_tokens, tokens) to out in ascending doc_id order, null ids first.
 
     Null texts count as empty; each document ends with the id `end`. Rows that share a doc_id follow each
     other by text, repeated rows stay repeated, other columns are ignored. shard is the number of the file
-    range, local_start the number of ids before the document within its range.
+    range, local_start the number of ids before the document within its range. Without `partitions`, a look at the ids
+    alone shows whether docs' partitions are ranges already; if so, no text is shuffled. What was written is looked at
+    again, so that a plan whose partitions are not the same twice is found out and dealt out after all.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "snappy"}
+
+    def write(ranged: DataFrame, place: dict[int, int] | None = None) -> None:
+        with batches(spark, 256):
+            rows = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer, end, place), "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>")
+            rows.write.mode("overwrite").options(**options).parquet(out)
+
+    order = None if partitions else _ranges(docs.select("doc_id", F.spark_partition_id().alias("part")), "part")
+    if order is not None:
+        write(docs, {p: k for k, p in enumerate(order)})
+        if _ranges(spark.read.parquet(out).select("doc_id", "shard"), "shard") == list(range(len(order))):
+            return
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with batches(spark, 256):
-        if 1 < n <= MOST_BOUNDS:  # from the ids alone: repartitionByRange would sample by reading the texts once more
-            bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
-            ranged = docs.repartitionById(n, _place(F.col("doc_id"), sorted(set(bounds or []))))
-        else:
-            ranged = docs.repartitionByRange(n, "doc_id")
-        ranged = ranged.sortWithinPartitions("doc_id", "text")
-        rows = ranged.mapInArrow(_encode(tokenizer, end), "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>")
-        options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "snappy"}
-        rows.write.mode("overwrite").options(**options).parquet(out)
+    if 1 < n <= MOST_BOUNDS:  # from the ids alone: repartitionByRange would sample by reading the texts once more
+        bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+        write(docs.repartitionById(n, _place(F.col("doc_id"), sorted(set(bounds or [])))))
+    else:
+        write(docs.repartitionByRange(n, "doc_id"))
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:

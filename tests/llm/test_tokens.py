@@ -92,6 +92,28 @@ def test_many_ranges_and_one(spark, odd_docs, monkeypatch):
         assert sorted((tuple(r) for r in tokens.token_digests(spark, out).collect()), key=lambda r: r[1]) == want
 
 
+def test_documents_in_ranges_are_not_dealt_out(spark, monkeypatch, tmp_path):
+    """Files in any order of ranges; then ranges that touch, and partitions that are others when read again."""
+    from knotwork.llm import tokens
+
+    rows = [(i, f"text number {i} of some words {i * 7}") for i in range(60)]
+    dealt = []
+    whole = tokens._place
+    monkeypatch.setattr(tokens, "_place", lambda *a: dealt.append(1) or whole(*a))
+    for k, part in enumerate((rows[40:], rows[:15], rows[15:40])):
+        spark.createDataFrame(part[::-1], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = spark.read.option("maxPartitionBytes", 1 << 10).parquet(f"{tmp_path}/in")
+    with tokens.batches(spark, 7):
+        assert digests(files) == brute(rows) and not dealt
+    odd = spark.createDataFrame([*rows, (14, "another 14"), (3, None)], "doc_id long, text string").repartition(3)
+    assert digests(odd) == brute([*rows, (14, "another 14"), (3, None)]) and dealt
+    # A first look that is wrong is found out.
+    dealt.clear()
+    real, looks = tokens._ranges, []
+    monkeypatch.setattr(tokens, "_ranges", lambda df, by: looks.append(by) or ([2, 1, 0] if by == "part" else real(df, by)))
+    assert digests(odd.where("doc_id <> 14 and text is not null").repartition(3)) == brute([r for r in rows if r[0] != 14]) and dealt and looks == ["part", "shard"]
+
+
 def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
     own = Tokenizer.from_file(PATH)
     texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n c", "one <|endoftext| > two", "one two", "日 <|endoftext|> 本"]
