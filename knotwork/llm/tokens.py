@@ -27,7 +27,7 @@ GAPS = r" \z|  |\n | \n|\n\n|\t|\r"
 #: In front of a text's first word, which has no space before it, and behind its last; texts that hold either are not plain.
 FIRST, LAST = "\x00", "\x01"
 #: In two generations, each below the size at which a table of Python's doubles (0.7 million).
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_100_000
 #: Of texts encoded at once, unless one batch has more.
 BATCH_BYTES = 4 << 20
 #: More ranges than so many are left to repartitionByRange, which finds a row's range by halving.
@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, partit
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "snappy"}
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "uncompressed"}
 
     def write(ranged: DataFrame, place: dict[int, int] | None = None) -> None:
         with batches(spark, 256):
