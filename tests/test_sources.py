@@ -184,3 +184,28 @@ def test_edge_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("select * from deg")) == [(1, 1, 0), (2, 1, 1), (3, 0, 1)]
+
+
+def test_documents_are_read_in_pieces(spark, tmp_path):
+    """No task reads a file whole: any layout, braces and quotes in texts, other keys, elements over many blocks."""
+    odd = ['}"{', "\\", '\\"}', "]],[[", "é}" * 40, '","nodes":[{']
+    nodes = [{"id": f"n{i}", "kinds": ["X"] * (i % 3), "properties": {"t": odd[i % 6], "o": {"a": [{"b": {}}, "}"]}}} for i in range(60)]
+    edges = [{"start_id": f"n{i}", "end_id": f"n{(i * 7) % 60}", "kind": "R}", "properties": {"w": i}} for i in range(60)]
+    graph = {"edges": edges, "note": [{"nodes": [{"id": "no"}]}], "nodes": nodes, "more": {"edges": [{"kind": "no"}]}}
+    doc = {"nodes": [{"id": "no"}], "graph": graph, "meta": {"nodes": [{"id": "no"}], "graph": {"x": 1}}}
+    want = sorted((n["id"], len(n["kinds"]), json.dumps(n["properties"]["t"], ensure_ascii=False)) for n in nodes)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, text in ((old, json.dumps(doc)), ("999b", json.dumps(doc)), ("999b", json.dumps(doc, indent=3, ensure_ascii=False) + "\n \n")):
+            (tmp_path / "p.json").write_text(text)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            n, e = documents.read_documents(spark, str(tmp_path / "p.json"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+            assert rows(n.selectExpr("id", "size(kinds)", "props['t']")) == want
+            assert [(r["start_id"], r["end_id"], r["kind"], r["w"]) for r in e.orderBy("at").selectExpr("*", "props['w'] w").collect()] == [(x["start_id"], x["end_id"], x["kind"], str(x["properties"]["w"])) for x in edges]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for bad in (json.dumps(doc)[:-1], json.dumps(doc)[:-30], json.dumps(doc) + "}"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(documents.DocumentError, match="brackets"):
+            documents.read_documents(spark, str(tmp_path / "bad.json"))
