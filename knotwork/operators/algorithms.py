@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.expand import oriented, pairs_in_reach, reach
+from knotwork.operators.expand import _union, oriented, pairs_in_reach, reach
 from knotwork.scratch import Scratch
 
 SMALL_EDGES = 200_000
@@ -105,8 +105,50 @@ def _tarjan(pairs: list[tuple[int, int]], nodes: list[int]) -> dict[int, int]:
     return out
 
 
+def _chains(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, rings) of the nodes with one edge in and one out, by pointers that double their reach each round: as many rounds as the longest chain's length has binary digits.
+
+    steps (id, chain, place, before, after): chain is the first such node of a row of them, place the number in the row, before
+    and after the nodes at its ends, which are no such nodes. rings (id, component): rows that come back to themselves. edges (start_id, end_id) are
+    distinct and without loops.
+    """
+    one = lambda x: edges.groupBy(F.col(x).alias("id")).agg(F.count("*").alias("n"), F.min("end_id" if x == "start_id" else "start_id").alias("other")).where("n = 1")
+    inner = scratch.write(one("end_id").select("id", F.col("other").alias("before")).join(one("start_id").select("id", F.col("other").alias("after")).hint("merge"), "id"))
+    ids = inner.select(F.col("id").alias("before"), F.lit(True).alias("linked"))
+    at = inner.join(ids.hint("merge"), "before", "left").select("id", F.when(F.col("linked"), F.col("before")).otherwise(F.col("id")).alias("to"))
+    # to: so many steps back, or the first of the row if it comes sooner; place: the steps; least: the smallest id met.
+    at = scratch.write(at.select("id", "to", (F.col("id") != F.col("to")).cast("long").alias("place"), F.least("id", "to").alias("least"), (F.col("id") == F.col("to")).alias("done")))
+    done = [at.where("done")]
+    walking = at.where("not done")
+    while True:
+        there = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("place").alias("p2"), F.col("least").alias("l2"), F.col("done").alias("d2"))
+        at = scratch.write(walking.join(there.hint("merge"), "to").select("id", F.col("to2").alias("to"), (F.col("place") + F.col("p2")).alias("place"), F.least("least", "l2").alias("least"), F.col("d2").alias("done"), ((F.col("l2") < F.col("least")) | F.col("d2")).alias("news")))
+        done.append(at.where("done").drop("news"))
+        news = at.where("news").head(1)
+        walking = at = at.where("not done").drop("news")
+        if not news:
+            break
+        # A row's first nodes are asked for by those behind them.
+        at = _union([*done, at])
+    first = inner.select(F.col("id").alias("chain"), F.col("before").alias("head"))
+    rows = _union(done).select("id", F.col("to").alias("chain"), "place").join(inner.select("id", "after").hint("merge"), "id")
+    tails = rows.join(inner.select(F.col("id").alias("after")).hint("merge"), "after", "left_anti").select("chain", F.col("after").alias("tail"))
+    steps = rows.select("id", "chain", "place").join(first.hint("merge"), "chain").join(tails.hint("merge"), "chain").select("id", "chain", "place", F.col("head").alias("before"), F.col("tail").alias("after"))
+    return scratch.write(steps), walking.select("id", F.col("least").alias("component"))
+
+
+def _without(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """Edges of a graph whose rows of nodes with one edge in and one out are an edge each."""
+    gone = steps.select("id")
+    rest = edges.join(gone.withColumnRenamed("id", "start_id").hint("merge"), "start_id", "left_anti").join(gone.withColumnRenamed("id", "end_id").hint("merge"), "end_id", "left_anti")
+    return rest.select("start_id", "end_id").union(steps.where("place = 0 and before <> after").select("before", "after")).distinct()
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
-    """(id, component): the smallest id of the node's strongly connected component."""
+    """(id, component): the smallest id of the node's strongly connected component.
+
+    Large graphs lose their rows of single edges and what no cycle can hold first, as long as there is much of either; what is left is coloured.
+    """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "scc")
     e = scratch.write(edges.select("start_id", "end_id").where("start_id <> end_id").distinct())
@@ -114,34 +156,67 @@ def strong_components(nodes: DataFrame, edges: DataFrame, small: int = SMALL_EDG
     if e.count() <= small and v.count() <= small:
         found = _tarjan([tuple(r) for r in e.collect()], [r[0] for r in v.collect()])
         return spark.createDataFrame(sorted(found.items()), "id long, component long")
+    done, folded, size = [], [], e.count()
+    while size:
+        steps, rings = _chains(scratch, e)
+        folded.append(steps)
+        done.append(rings)
+        ringed = rings.select(F.col("id").alias("start_id")).hint("merge")
+        e = scratch.write(_without(e.join(ringed, "start_id", "left_anti"), steps))
+        # A node without an edge in, or without one out, is alone in its component.
+        starts, ends = e.select(F.col("start_id").alias("end_id")).distinct(), e.select(F.col("end_id").alias("start_id")).distinct()
+        e = scratch.write(e.join(starts.hint("merge"), "end_id", "left_semi").join(ends.hint("merge"), "start_id", "left_semi").select("start_id", "end_id"))
+        old, size = size, e.count()
+        if size > 0.9 * old:
+            break
+    if size:
+        done.append(_coloured(scratch, e))
+    labels = _union(done) if done else v.limit(0).select("id", F.col("id").alias("component"))
+    for steps in reversed(folded):
+        # A row lies in a component if the nodes at its ends lie in the same.
+        of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_c")).hint("merge")
+        ends = steps.where("place = 0").select("chain", "before", "after").join(of("before"), "before", "left").join(of("after"), "after", "left")
+        same = ends.where("before = after or before_c = after_c").select("chain", F.coalesce("before_c", "before").alias("c"))
+        inside = scratch.write(steps.select("id", "chain").join(same.hint("merge"), "chain").select("id", F.col("c").alias("component")))
+        if inside.head(1):
+            lone = same.select(F.col("c").alias("id"), F.col("c").alias("component")).distinct().join(labels.select("id").hint("merge"), "id", "left_anti")
+            labels = scratch.write(_union([labels, inside, lone]))
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    named = labels.join(least.hint("merge"), "component").select("id", "least")
+    return scratch.write(v.join(named.hint("merge"), "id", "left").select("id", F.coalesce("least", "id").alias("component")))
+
+
+def _coloured(scratch: Scratch, e: DataFrame) -> DataFrame:
+    """(id, component) of the nodes with edges: the smallest id that reaches a node is its colour, and what reaches that id within the colour is its component."""
+    v = scratch.write(e.select(F.col("start_id").alias("id")).union(e.select("end_id")).distinct())
     done = None
     while True:
         # Colour: the smallest id that reaches a node, itself included.
         colour = scratch.write(v.select("id", F.col("id").alias("c")))
         while True:
-            came = e.join(colour, F.col("start_id") == F.col("id")).groupBy("end_id").agg(F.min("c").alias("m"))
-            new = scratch.write(colour.join(came, F.col("id") == F.col("end_id"), "left").select("id", F.least("c", "m").alias("c")))
-            same = not new.join(colour.withColumnRenamed("c", "old"), "id").where("c < old").head(1)
-            colour = new
+            came = e.join(colour.hint("merge"), F.col("start_id") == F.col("id")).groupBy("end_id").agg(F.min("c").alias("m"))
+            new = scratch.write(colour.join(came.hint("merge"), F.col("id") == F.col("end_id"), "left").select("id", F.least("c", "m").alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+            same = not new.where("moved").head(1)
+            colour = new.select("id", "c")
             if same:
                 break
         # Back from each colour's first node, within the colour.
         a, b = colour.select(F.col("id").alias("start_id"), F.col("c").alias("ca")), colour.select(F.col("id").alias("end_id"), F.col("c").alias("cb"))
-        inside = scratch.write(e.join(a, "start_id").join(b, "end_id").where("ca = cb").select("start_id", "end_id"))
+        inside = scratch.write(e.join(a.hint("merge"), "start_id").join(b.hint("merge"), "end_id").where("ca = cb").select("start_id", "end_id"))
         roots = colour.where("id = c").select(F.col("id").alias("root"))
         back = reach(inside.select(F.lit(0).cast("long").alias("id"), "start_id", "end_id"), roots, "in")
         own = scratch.write(back.select(F.col("next").alias("id"), F.col("root").alias("component")).union(roots.select("root", "root")).distinct())
         done = own if done is None else done.union(own)
-        v = scratch.write(v.join(own, "id", "left_anti"))
+        v = scratch.write(v.join(own.hint("merge"), "id", "left_anti"))
         if not v.head(1):
             return done
-        e = scratch.write(e.join(v.select(F.col("id").alias("start_id")), "start_id", "left_semi").join(v.select(F.col("id").alias("end_id")), "end_id", "left_semi"))
+        e = scratch.write(e.join(v.select(F.col("id").alias("start_id")).hint("merge"), "start_id", "left_semi").join(v.select(F.col("id").alias("end_id")).hint("merge"), "end_id", "left_semi"))
 
 
 def condensation(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(start_id, end_id) between different components, each once. Isolated components are in components alone."""
     a, b = components.select(F.col("id").alias("start_id"), F.col("component").alias("a")), components.select(F.col("id").alias("end_id"), F.col("component").alias("b"))
-    return edges.select("start_id", "end_id").join(a, "start_id").join(b, "end_id").where("a <> b").select(F.col("a").alias("start_id"), F.col("b").alias("end_id")).distinct()
+    return edges.select("start_id", "end_id").join(a.hint("merge"), "start_id").join(b.hint("merge"), "end_id").where("a <> b").select(F.col("a").alias("start_id"), F.col("b").alias("end_id")).distinct()
 
 
 def component_histogram(components: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
