@@ -236,6 +236,7 @@ class Reachability:
         self.members = self.scratch.write(strong_components(nodes, edges))
         self.dag = self.scratch.write(condensation(self.members, edges).select(F.lit(0).cast("long").alias("id"), "start_id", "end_id"))
         self.known: dict[str, DataFrame] = {}
+        self.folded: tuple[DataFrame, DataFrame] | None = None
         self.computed = 0
 
     def closure(self, components: DataFrame, direction: str = "out") -> DataFrame:
@@ -259,11 +260,27 @@ class Reachability:
 
     def can_reach(self, pairs: DataFrame, direction: str = "out") -> DataFrame:
         """(a, b, reachable) of pairs (a, b). A node reaches itself; unknown ids reach nothing. Only components are walked, their members are not listed."""
-        of = lambda x: self.members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        of = lambda x: self.members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")).hint("merge")
         asked = self.scratch.write(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "ca", "cb"))
-        far = pairs_in_reach(self.dag, asked.where("ca <> cb").select(F.col("ca").alias("root"), F.col("cb").alias("next")), direction)
-        hit = far.select(F.col("root").alias("ca"), F.col("next").alias("cb"), F.lit(True).alias("hit"))
-        return asked.join(hit, ["ca", "cb"], "left").select("a", "b", F.coalesce("hit", F.col("ca") == F.col("cb"), F.lit(False)).alias("reachable"))
+        hit = self._pairs(asked.where("ca <> cb").select(F.col("ca").alias("root"), F.col("cb").alias("next")).distinct(), direction)
+        hit = hit.select(F.col("root").alias("ca"), F.col("next").alias("cb"), F.lit(True).alias("hit"))
+        return asked.join(hit.hint("merge"), ["ca", "cb"], "left").select("a", "b", F.coalesce("hit", F.col("ca") == F.col("cb"), F.lit(False)).alias("reachable"))
+
+    def _pairs(self, pairs: DataFrame, direction: str) -> DataFrame:
+        """The pairs (root, next) of components of which next can be reached from root. Rows of components with one edge in and one out are a step each, however long they are."""
+        if self.folded is None:
+            steps, _ = _chains(self.scratch, self.dag.select("start_id", "end_id"))
+            self.folded = steps, self.scratch.write(_without(self.dag.select("start_id", "end_id"), steps).select(F.lit(0).cast("long").alias("id"), "start_id", "end_id"))
+        steps, short = self.folded
+        a, b = ("next", "root") if direction == "in" else ("root", "next")
+        of = lambda x, k: steps.select(F.col("id").alias(x), F.col("chain").alias(f"chain{k}"), F.col("place").alias(f"place{k}"), F.col("after" if k == 1 else "before").alias(f"end{k}")).hint("merge")
+        placed = pairs.join(of(a, 1), a, "left").join(of(b, 2), b, "left")
+        one = F.coalesce(F.col("chain1") == F.col("chain2"), F.lit(False))
+        placed = self.scratch.write(placed.select("root", "next", one.alias("one"), (one & ((F.col("place1") <= F.col("place2")) | (direction == "both"))).alias("along"), F.coalesce("end1", a).alias("frm"), F.coalesce("end2", b).alias("to")))
+        apart = placed.where("not one")
+        far = pairs_in_reach(short, apart.where("frm <> to").select(F.col("frm").alias("root"), F.col("to").alias("next")), "both" if direction == "both" else "out")
+        met = apart.join(far.select(F.col("root").alias("frm"), F.col("next").alias("to")).hint("merge"), ["frm", "to"], "left_semi")
+        return placed.where("along or (not one and frm = to)").select("root", "next").union(met.select("root", "next"))
 
     def or_reach(self, ids: DataFrame, into: DataFrame | None = None, direction: str = "out") -> DataFrame:
         """(id) what any of the nodes reaches, each without itself, joined with into (id)."""
