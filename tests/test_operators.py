@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from knotwork import fluent as Q
 from knotwork.engine import Engine
@@ -311,3 +312,15 @@ def test_long_rows_are_folded(spark, seed, monkeypatch):
         got = {(r["a"], r["b"]): r["reachable"] for r in reach.can_reach(spark.createDataFrame(ask, "a long, b long"), direction).collect()}
         assert got == {(a, b): a == b or b in way[a] for a, b in ask}
     assert len(written) < 140
+
+
+def test_wipe_filters_sources_where_they_are(spark):
+    """No join for the nodes, and nothing written; edges are those among the nodes that stay."""
+    from knotwork.sources.mapping import table_graph
+
+    g = sets.wipe(table_graph(spark, "/root/testdata/sf0.001"), F.array_contains("kinds", "Place"))
+    plan = g.node_scan()[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "orders.parquet" not in plan and "Aggregate" not in plan
+    e = engine(spark, {"a": (["X"], {}), "b": (["X"], {}), "c": (["Y"], {}), "d": ([], {})}, [("a", "R", "b", None), ("b", "R", "c", None), ("c", "R", "a", None), ("d", "R", "d", None)])
+    left = sets.wipe(e.graph, F.when(F.array_contains("kinds", "X"), True))
+    assert left.node_scan()[0].count() == 2 and left.edge_scan()[0].count() == 1
