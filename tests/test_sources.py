@@ -209,3 +209,16 @@ def test_documents_are_read_in_pieces(spark, tmp_path):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(documents.DocumentError, match="brackets"):
             documents.read_documents(spark, str(tmp_path / "bad.json"))
+
+
+def test_derived_edges_of_a_dump_are_made_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(4).select("id", F.lit("x").alias("name"))
+    edges = spark.range(40).selectExpr("id % 4 as start_id", "id % 3 as end_id").groupBy("start_id", "end_id").count().select(F.monotonically_increasing_id().alias("id"), "start_id", "end_id")
+    g = documents.PropertyGraph.empty(spark).with_nodes(nodes, ["N"]).with_edges(edges, "E")
+    scans, scan = [], type(g).edge_scan
+    monkeypatch.setattr(type(g), "edge_scan", lambda self, *a, **k: (scans.append([s.derived() for s in self.edges]), scan(self, *a, **k))[1])
+    m = dump.dump(g, str(tmp_path / "d"), partitions=2)
+    documents.export_to(g, str(tmp_path / "g.json"))
+    assert m["graphs"][0]["edge_count"] == 12 and scans and not any(map(any, scans)) and g.edges[0].derived()
